@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 #: Labelled rows looked at for a language, and characters of them that its automaton holds.
 SAMPLE_ROWS = 256
@@ -205,6 +205,7 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", out: str
     Null texts and texts without a letter are ``und`` with score 0; empty training data makes
     every document ``und``. Other columns and repeated rows stay as they are.
     """
+    ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(training_rows(training))  # SAMPLE_CHARS for a language
 
     @F.pandas_udf("lang string, score double")

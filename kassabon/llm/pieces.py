@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments whose ids a process remembers; the table is emptied when full.
@@ -185,6 +187,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encoded(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text; null text gives null, empty text no ids."""
 
+    ship(docs.sparkSession)
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab = vocabulary(path)
@@ -197,6 +200,7 @@ def encoded(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "
 def decoded(docs: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of every id list; null gives null."""
 
+    ship(docs.sparkSession)
     @F.pandas_udf("string")
     def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab = vocabulary(path)
@@ -212,6 +216,7 @@ def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Null text counts as empty. ``round_trip`` tells whether decoding gave the text again.
     """
 
+    ship(docs.sparkSession)
     @F.pandas_udf("n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(path)

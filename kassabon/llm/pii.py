@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 KINDS = ("email", "ip", "card", "phone")
 #: Windows: a core of so many characters, with a margin on either side.
 CORE, MARGIN = 64, 24
@@ -332,6 +334,7 @@ def reported(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     Null text counts as empty: no spans and the hash of an empty string. Spans are in code points.
     """
+    ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())  # a few thousand weights
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
@@ -350,6 +353,7 @@ def reported(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 def redacted(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; where spans overlap, one bracket
     with the kind of the first covers them all. Null text stays null, other columns as they are."""
+    ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
 
     @F.pandas_udf("string")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, mixing, multiset_hash, pieces, pii, toxicity, url_cascade
+from . import ann, language, mixing, multiset_hash, pieces, pii, toxicity, url_cascade
 from .common import table
 
 
@@ -24,6 +25,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op6_language, op9_fingerprints, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op5_nearest_vectors, op6_language, op9_fingerprints, op10_url_filter)}
 
 ORACLES = {
     "op10_url_filter": """

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .language import remainder
 
 #: Labelled rows learned from (those of smallest hash), and how many terms and exceptions are kept.
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
 
 def rated(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a toxicity from 0 to 1 of every whole text; null text is rated as empty."""
+    ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms and EXCEPTIONS phrases at most
 
     @F.pandas_udf("double")
