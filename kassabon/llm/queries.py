@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, multiset_hash, ngram_join, pieces, pii, toxicity, url_cascade
+from . import ann, language, mixing, multiset_hash, ngram_join, pieces, pii, suffix_dedup, toxicity, url_cascade
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents")).drop("key")
 
@@ -45,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op5_nearest_vectors, op6_language, op8_ngram_join, op9_fingerprints, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op5_nearest_vectors, op6_language, op7_suffix_dedup, op8_ngram_join, op9_fingerprints, op10_url_filter)}
 
 ORACLES = {
     "op10_url_filter": """
