@@ -57,7 +57,7 @@ def fold(text: str) -> str:
     def plain(m: re.Match) -> str:
         word = m[0]
         body = word.rstrip("!|")
-        return body.translate(_digits) + " " * (len(word) - len(body))
+        return body.translate(_digits) + word[len(body) :]
 
     return _mixed.sub(plain, text)
 
