@@ -1,11 +1,15 @@
 """Self-join of documents by Jaccard similarity of word shingles, with token-combination prefixes.
 
 A document's shingles in order of their hash have a prefix that it must share with every
-document similar enough: among its first n - ceil(t n) + k shingles at least k are common. With
-k = 1 + floor(0.15 n), rare shingles of the prefix are indexed singly. Frequent ones matter only
-to documents with k or more of them in their prefix; those index pairs of frequent shingles that
-stand at most GAP apart among them: of k common ones, two neighbours do so in both documents.
-Short documents, whose k is small, index frequent shingles singly too.
+document similar enough: of its first n - ceil(t n) + k shingles at least k are common to both.
+With k = 1 + floor(0.15 n) that extended prefix is about a third of the document. How many
+documents have a shingle in their prefix is counted over all documents. In order of that count,
+two similar documents also share one of the shingles that are left when each drops its most
+frequent ones, as many as it can (see ``dropped``); shingles that nobody else has need no entry.
+What is left is indexed by single shingles where they are rare. Where frequent shingles are left
+too, pairs of frequent ones are indexed that stand at most GAP apart among the frequent ones of
+the prefix: of k common ones, two neighbours do so in both documents. Short documents, whose k is
+small, index frequent shingles singly.
 
 Candidates are verified on the texts. A list of documents under one index key is first compared
 with one of its documents, which links most groups of near copies with as many comparisons as
@@ -30,12 +34,14 @@ SHINGLE = 5
 #: Similarity in hundredths.
 LEAST = 80
 #: A shingle in the prefixes of more distinct sets than this is frequent.
-FREQUENT = 32
+FREQUENT = 64
 GAP = 6
 #: Sizes up to which frequent shingles are indexed singly, and from which in pairs.
 SINGLE_TO, PAIRS_FROM = 35, 27
 #: Rounds against one document of each list at most, before lists are compared in full.
 ROUNDS = 6
+#: Bytes of text that are hashed at a time.
+AT_ONCE = 1 << 20
 
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -46,17 +52,80 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; ``trim`` keeps the memory bounded."""
+def _powers(n: int, base: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, by doubling."""
+    out = np.ones(1, np.uint64)
+    step = base
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(step)])
+        step = step * step % 2**64
+    return out[:n]
 
-    def __missing__(self, word: bytes) -> int:
-        got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = got
-        return got
 
-    def trim(self) -> None:
-        if len(self) > 500_000:
-            self.clear()
+class Hasher:
+    """Shingle hashes of many texts at once.
+
+    A word's hash is a sum of byte codes times powers of an odd number, taken from running sums
+    over the bytes and shifted to the word's start by the inverse power.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self):
+        self.codes = np.random.default_rng(20240611).integers(1, 2**63, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.grow(AT_ONCE)
+
+    def grow(self, n: int) -> None:
+        self.up, self.down = _powers(n + 1, self.BASE), _powers(n + 1, pow(self.BASE, -1, 2**64))
+
+    def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Sorted hashes of each text's distinct shingles; with fewer than five words the whole sequence is one."""
+        for first, last in spans([len(t) for t in texts]):
+            data = [t.encode("utf-8", "surrogatepass") for t in texts[first:last]]
+            yield from self.chunk(data)
+
+    def chunk(self, data: list[bytes]) -> Iterator[np.ndarray]:
+        joined = np.frombuffer(b" ".join(data).lower() + b" ", np.uint8)
+        if len(joined) >= len(self.up):
+            self.grow(len(joined))
+        gap = self.space[joined]
+        first = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+        last = np.flatnonzero(gap & np.append(False, ~gap[:-1]))
+        total = np.cumsum(self.codes[joined] * self.up[: len(joined)])
+        before = np.where(first > 0, total[first - 1], np.uint64(0))
+        h = mixed((total[last - 1] - before) * self.down[first])
+        ends = np.searchsorted(first, np.cumsum([len(d) + 1 for d in data]))
+        start = 0
+        rolled = np.full(max(0, len(h) - SHINGLE + 1), SHINGLE, np.uint64)
+        for i in range(SHINGLE):
+            rolled = mixed(rolled * _factors[i] + h[i : len(h) - SHINGLE + 1 + i]) if len(rolled) else rolled
+        for end in ends.tolist():
+            n = end - start
+            if n >= SHINGLE:
+                own = np.sort(rolled[start : end - SHINGLE + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
+            elif n:
+                one = np.full(1, n, np.uint64)
+                for i in range(n):
+                    one = mixed(one * _factors[i] + h[start + i : start + i + 1])
+                yield one
+            else:
+                yield h[:0]
+            start = end
+
+
+def spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive items of about AT_ONCE together, a larger item alone."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > AT_ONCE:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if sizes:
+        yield first, len(sizes)
 
 
 def words(text: str) -> list[bytes]:
@@ -70,19 +139,6 @@ def shingle_set(ws: list[bytes]) -> set:
     return set(zip(*(ws[i:] for i in range(SHINGLE)), strict=False))
 
 
-def shingle_hashes(text: str, known: WordHashes) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; with fewer than five words the whole sequence is one."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    n = min(SHINGLE, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        total = mixed(total * _factors[i] + h[i : len(h) - n + 1 + i])
-    return np.unique(total)
-
-
 def kept(n: int) -> int:
     """ceil(t n): what any similar document shares at least."""
     return -(-LEAST * n // 100)
@@ -97,72 +153,83 @@ def prefix(n: int) -> int:
     return min(n, n - kept(n) + common(n))
 
 
+def dropped(n: int) -> int:
+    """How many of its most frequent prefix shingles a document may leave out.
+
+    Two similar documents share k shingles of their prefixes, k that of the smaller one. The
+    rarest shared one is followed, in order of count, by the k - 1 others.
+    """
+    return common(kept(n)) - 1
+
+
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = WordHashes()
+    hasher = Hasher()
     for batch in batches:
         rows = []
-        for text in batch["text"]:
-            h = shingle_hashes(text, known)
+        for h in hasher.sets(batch["text"].tolist()):
             d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
             rows.append((len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-        known.trim()
         n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
         yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "n": np.array(n, np.int64), "sig_a": np.array(a, np.int64), "sig_b": np.array(b, np.int64)})
 
 
 def _prefixes(full: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = Hasher()
         for batch in batches:
-            hs, keys, places, sizes = [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle_hashes(text, known)
-                p = h[: prefix(len(h))].view(np.int64)
-                hs.append(p)
+            texts, keys = batch.column("text").to_pylist(), np.array(batch.column("key").to_pylist(), np.int64)
+            made, at, size = [], 0, 0
+            for i, h in enumerate(hasher.sets(texts)):
+                made.append((h[: prefix(len(h))].view(np.int64), len(h)))
+                size += len(made[-1][0])
+                if size < 200_000 and i + 1 < len(texts):
+                    continue
+                columns = {"h": np.concatenate([p for p, _ in made])}
                 if full:
-                    keys.append(np.full(len(p), key, np.int64))
-                    places.append(np.arange(len(p), dtype=np.int32))
-                    sizes.append(np.full(len(p), len(h), np.int32))
-            known.trim()
-            none = [np.zeros(0, np.int64)]
-            columns = {"h": np.concatenate(hs or none)}
-            if full:
-                columns |= {"key": np.concatenate(keys or none), "pos": np.concatenate(places or [np.zeros(0, np.int32)]), "n": np.concatenate(sizes or [np.zeros(0, np.int32)])}
-            made = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
-            for start in range(0, made.num_rows, 100_000):
-                yield made.slice(start, 100_000)
+                    sizes = np.array([len(p) for p, _ in made])
+                    columns["key"] = np.repeat(keys[at : i + 1], sizes)
+                    columns["pos"] = (np.arange(size) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                    columns["n"] = np.repeat(np.array([n for _, n in made], np.int32), sizes)
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+                made, at, size = [], i + 1, 0
 
     return emit
 
 
 def index_keys(n: int, pos: np.ndarray, h: np.ndarray, count: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
-    """Keys under which a document of n shingles is indexed, from those of its prefix that others have too (by position)."""
-    often = count > frequent
-    if n <= SINGLE_TO:
-        single = h
+    """Keys under which a document of n shingles is indexed, from those of its prefix that others have too (by position).
+
+    The other shingles of the prefix are its own and come first in order of count.
+    """
+    order = np.lexsort((h, count))
+    own = prefix(n) - len(h)
+    left = order[: max(0, prefix(n) - dropped(n) - own)]
+    often = count[left] > frequent
+    if n <= SINGLE_TO or not often.any():
+        single = h[left]
     else:
-        single = h[~often]
+        single = h[left[~often]]
     if n < PAIRS_FROM or not often.any():
         return single
-    spots = pos[often]
-    heavy = any(np.count_nonzero(spots < n - kept(n) + j) >= j for j in range(common(kept(n)), common(n) + 1))
-    if not heavy:
-        return single
-    f = h[often]
+    f = h[count > frequent]
     pairs = [mixed(f[:-g] * _factors[0] + mixed(f[g:] * _factors[1])) for g in range(1, min(GAP, len(f) - 1) + 1)]
     return np.unique(np.concatenate([single, *pairs]))
 
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
+        ik, owner, sizes = [], [], []
         for key, n, tokens in zip(batch["key"], batch["n"], batch["tokens"], strict=True):
+            if prefix(n) - len(tokens) >= prefix(n) - dropped(n):
+                continue  # its own shingles fill what is left
             got = sorted((t["pos"], t["h"], t["c"]) for t in tokens)
             pos, h, c = (np.array(x, np.int64) for x in zip(*got, strict=True))
             keys = index_keys(int(n), pos, h.view(np.uint64), c).view(np.int64)
-            out.append(pd.DataFrame({"ik": keys, "key": np.int64(key), "n": np.int32(n)}))
-        if out:
-            yield pd.concat(out)
+            ik.append(keys)
+            owner.append(np.full(len(keys), key, np.int64))
+            sizes.append(np.full(len(keys), n, np.int32))
+        if ik:
+            yield pd.DataFrame({"ik": np.concatenate(ik), "key": np.concatenate(owner), "n": np.concatenate(sizes)})
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

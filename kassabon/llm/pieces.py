@@ -13,6 +13,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,13 @@ from .common import ship
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments whose ids a process remembers; the table is emptied when full.
+#: Segments whose ids a process remembers, twice: a full table becomes the older one.
 REMEMBERED = 400_000
+#: Parts up to this length are segmented without commits, if made of the ALPHABET - 1 commonest characters of the pieces.
+SHORT, ALPHABET = 32, 128
+#: Characters of text that are segmented at a time.
+AT_ONCE = 1 << 20
+NEVER = -(1 << 60)
 #: Scores are whole numbers, so that sums don't depend on where they start.
 SCALE = 1 << 24
 
@@ -48,8 +54,10 @@ class Vocabulary:
         self.byte_score = min(self.score.values(), default=0) - SCALE
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # ids as little-endian 32-bit words
         self.decoded: list[str] = [p.replace(MARK, " ") for p in pieces]
+        self.tables()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -115,48 +123,103 @@ class Vocabulary:
             b = at
         yield from reversed(path)
 
-    def brief(self, part: str) -> tuple[int, ...]:
-        """A part no longer than the window, which needs no commits: the same choice in plain lists."""
-        score, n = self.score, len(part)
-        best, back = [0], [0]
-        for end in range(1, n + 1):
-            if part[end - 1] not in score:  # may have to be spelt in bytes
-                return tuple(i for run in self.stream(part) for i in run)
-            top, at = -math.inf, -1
-            for start in range(end):
-                s = score.get(part[start:end])
-                if s is not None and best[start] + s > top:
-                    top, at = best[start] + s, start
-            best.append(top)
-            back.append(at)
-        path = []
-        while n:
-            path.append(self.ids[part[back[n] : n]])
-            n = back[n]
-        return tuple(reversed(path))
-
-    def segment(self, part: str) -> tuple[int, ...]:
-        got = self.memory.get(part)
-        if got is None:
-            got = self.brief(part) if len(part) <= self.width else tuple(i for run in self.stream(part) for i in run)
-            if len(part) <= 64:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
+    def tables(self) -> None:
+        """A trie of the pieces that are made of the commonest characters, as dense arrays: node 0 is the root, 1 a dead end."""
+        counts: dict[str, int] = {}
+        for piece in self.ids:
+            for ch in piece:
+                counts[ch] = counts.get(ch, 0) + 1
+        chosen = sorted((ch for ch in counts if ch in self.ids), key=lambda ch: (-counts[ch], ch))[: ALPHABET - 1]
+        self.letter = {ch: i + 1 for i, ch in enumerate(chosen)}
+        nexts: list[dict[int, int]] = [{}, {}]
+        ends: dict[int, int] = {}
+        for piece, i in self.ids.items():
+            if all(ch in self.letter for ch in piece):
+                node = 0
+                for ch in piece:
+                    node = nexts[node].setdefault(self.letter[ch], len(nexts))
+                    if node == len(nexts):
+                        nexts.append({})
+                ends[node] = i
+        self.trie = np.ones((len(nexts), ALPHABET), np.int32)
+        for node, out in enumerate(nexts):
+            for ch, to in out.items():
+                self.trie[node, ch] = to
+        self.node_score = np.full(len(nexts), NEVER, np.int64)
+        self.node_id = np.zeros(len(nexts), np.int32)
+        for node, i in ends.items():
+            self.node_score[node], self.node_id[node] = self.score[self.pieces[i]], i
+
+    def brief(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts made of the chosen characters, all in step: from each boundary on to every piece that starts there.
+
+        Parts of bounded length need no commits; the choice is the one that ``stream`` makes.
+        """
+        sizes = np.array([len(p) for p in parts])
+        n, rows = int(sizes.max()), len(parts)
+        codes = np.zeros((n, rows), np.int32)
+        flat = np.fromiter(map(self.letter.__getitem__, "".join(parts)), np.int32)
+        at = np.repeat(np.arange(rows), sizes)
+        codes[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), at] = flat
+        best = np.full((n + 1, rows), NEVER, np.int64)
+        best[0] = 0
+        back, piece = np.zeros((n + 1, rows), np.int32), np.zeros((n + 1, rows), np.int32)
+        for start in range(n):
+            live = np.flatnonzero(sizes > start)
+            node, base = np.zeros(len(live), np.int32), best[start, live]
+            for end in range(start + 1, min(n, start + self.width) + 1):
+                node = self.trie[node, codes[end - 1, live]]
+                on = node != 1
+                if not on.all():
+                    live, node, base = live[on], node[on], base[on]
+                    if not len(live):
+                        break
+                score = base + self.node_score[node]
+                better = score > best[end, live]
+                who = live[better]
+                best[end, who], back[end, who], piece[end, who] = score[better], start, self.node_id[node[better]]
+        # walk all parts back in step, writing ids from the right end
+        ids, end, spot, every = np.zeros((rows, n), "<i4"), sizes.copy(), np.full(rows, n), np.arange(rows)
+        while len(every):
+            spot[every] -= 1
+            ids[every, spot[every]] = piece[end[every], every]
+            end[every] = back[end[every], every]
+            every = every[end[every] > 0]
+        whole, width = ids.tobytes(), 4 * n
+        return [whole[i * width + 4 * s : (i + 1) * width] for i, s in enumerate(spot.tolist())]
+
+    def remember(self, parts: set[str]) -> None:
+        """See that the ids of these parts are in memory."""
+        if len(self.memory) + len(parts) > REMEMBERED:  # what wasn't seen since the last time is forgotten
+            self.older, self.memory = self.memory, {}
+        new = []
+        for part in [p for p in parts if p not in self.memory]:
+            got = self.older.get(part)
+            if got is not None:
                 self.memory[part] = got
-        return got
+            elif len(part) <= SHORT and self.letter.keys() >= set(part):
+                new.append(part)
+            else:
+                self.memory[part] = np.array([i for run in self.stream(part) for i in run], "<i4").tobytes()
+        new.sort(key=len)
+        for i in range(0, len(new), 4096):
+            self.memory.update(zip(new[i : i + 4096], self.brief(new[i : i + 4096]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids (32-bit) of whole texts, with one blank set before each; an empty text has none."""
+        if not self.splits:
+            for text in texts:
+                yield np.array([i for run in self.stream(MARK + escape(text).replace(" ", MARK)) for i in run] if text else [], "<i4")
+            return
+        for first, last in _spans(texts):
+            parts = [_segments.findall(MARK + escape(t).replace(" ", MARK)) if t else [] for t in texts[first:last]]
+            self.remember(set(chain.from_iterable(parts)))
+            known = self.memory.__getitem__
+            for own in parts:
+                yield np.frombuffer(b"".join(map(known, own)), "<i4")
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, with one blank set before it; an empty text has none."""
-        if not text:
-            return []
-        text = MARK + escape(text).replace(" ", MARK)
-        if not self.splits:
-            return [i for run in self.stream(text) for i in run]
-        out: list[int] = []
-        add, known, segment = out.extend, self.memory.get, self.segment
-        for part in _segments.findall(text):
-            add(known(part) or segment(part))
-        return out
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text again, byte for byte: pieces joined, runs of byte pieces as UTF-8, the first blank dropped."""
@@ -171,6 +234,17 @@ ESCAPE = "\U0010fffe"  # a non-character that stands for a literal mark
 _segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > AT_ONCE:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def escape(text: str) -> str:
     return text.replace(MARK, ESCAPE) if MARK in text else text
 
@@ -192,7 +266,9 @@ def encoded(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab = vocabulary(path)
         for part in parts:
-            yield pd.Series([None if t is None else np.array(vocab.encode(t), np.int32) for t in part], dtype=object)
+            null = part.isna().tolist()
+            made = vocab.encode_all(["" if x else t for t, x in zip(part, null, strict=True)])
+            yield pd.Series([None if x else ids for ids, x in zip(made, null, strict=True)], dtype=object)
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -222,10 +298,10 @@ def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
         vocab = vocabulary(path)
         for part in parts:
             rows = []
-            for text in part.fillna(""):
-                ids = vocab.encode(text)
-                again = vocab.decode(ids)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(again.encode("utf-8", "surrogatepass")).hexdigest(), again == text))
+            texts = part.fillna("").tolist()
+            for text, ids in zip(texts, vocab.encode_all(texts), strict=True):
+                again = vocab.decode(ids.tolist())
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(again.encode("utf-8", "surrogatepass")).hexdigest(), again == text))
             yield pd.DataFrame(rows, columns=["n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return docs.select("doc_id", both(F.col("text")).alias("x")).select("doc_id", "x.*")

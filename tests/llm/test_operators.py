@@ -384,13 +384,15 @@ def test_index_keys_meet():
         if 100 * both < 80 * (len(a) + len(b) - both):
             continue
         often = rng.random()
-        counts = {int(h): 100 if rng.random() < often else 5 for h in np.union1d(a, b)}
+        shared = set(np.intersect1d(a, b).tolist())
+        counts = {h: rng.randint(60, 3000) if rng.random() < often else rng.randint(2 if h in shared else 1, 64) for h in np.union1d(a, b).tolist()}
         keys = []
         for s in (a, b):
             p = np.sort(ngram_join.mixed(s))
             origin = {int(m): int(h) for m, h in zip(ngram_join.mixed(s), s, strict=True)}
             p = p[: ngram_join.prefix(len(s))]
-            keys.append(ngram_join.index_keys(len(s), np.arange(len(p)), p, np.array([counts[origin[int(m)]] for m in p])))
+            c = np.array([counts[origin[int(m)]] for m in p])
+            keys.append(ngram_join.index_keys(len(s), np.flatnonzero(c > 1), p[c > 1], c[c > 1]))
         assert len(np.intersect1d(*keys))
 
 
