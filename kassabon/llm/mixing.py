@@ -91,6 +91,8 @@ def assignment(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> Data
     short = short.select(F.lit(-(-total // shard)).cast("long").alias("shard"), "sidx", (F.col("slots") - F.col("k0")).alias("n"), "k0")
     parts = counts.select("shard", "sidx", "n", "k0").unionByName(short.filter("n > 0"))
     parts = parts.join(own, "sidx").withColumn("k1", F.least(F.col("k0") + F.col("n"), "slots")).filter("k1 > k0")
+    # a few rows that become many: dealt out first, by a number that adaptive execution doesn't lower
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "sidx")
     parts = parts.withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1)))
     epoch = F.floor(F.col("k") / F.col("blocks"))
     return parts.select("shard", "sidx", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sidx"), epoch, F.lit(seed)).alias("block"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hexed, unique_ids
+from .common import cut, hexed, stored, unique_ids
 
 SEEDS = (11, 23, 37, 53)
 PAIRS = 32
@@ -89,13 +89,16 @@ def edits(docs: DataFrame) -> DataFrame:
     sized = cut(own.select("doc_id", F.char_length("text").cast("long").alias("n")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n")))
     follows = cut(sized.join(successors(sized.select("doc_id")), "doc_id"))
     wanted = follows.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    heads = own if unique_ids(own) else own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    unique = unique_ids(own)
+    heads = own if unique else own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     heads = heads.join(wanted, "doc_id").select(F.col("to_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("q")).alias("head"))
     both = own.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
     q = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.col("text").substr(F.lit(1), (F.col("n_chars") - q).cast("int"))
     edited = F.concat(kept, F.coalesce(F.col("head").substr(F.lit(1), q), F.lit("")))
-    both = both.withColumn("rid", F.monotonically_increasing_id()).withColumn("edited", edited)
+    # a unique id tells rows apart by itself, and the same way when a lost task runs again
+    both = both.withColumn("rid", F.lit(0).cast("long") if unique else F.monotonically_increasing_id()).withColumn("edited", edited)
+    both = both if unique else stored(both)
     both = both.select("rid", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
     sides = both.select("rid", "doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
     sides = sides.select("rid", "doc_id", "n_chars", "edited_sha256", "x.side", "x.body")
