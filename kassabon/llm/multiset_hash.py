@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hexed, stored, unique_ids
+from .common import hexed, stored, unique_ids
 
 SEEDS = (11, 23, 37, 53)
 PAIRS = 32
@@ -60,21 +60,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", fingerprint(F.col("hashes"), F.col("signs"), F.col("total")).alias("fingerprint"))
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next larger id, after the last one the first.
+def starts(ids: DataFrame, ranges: int) -> list:
+    """First id of each of at most ``ranges`` ranges of about as many ids: a bounded list, whatever the size of ``ids``."""
+    dealt = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in dealt.collect())
 
-    Ids are dealt into ranges; the successor of a range's last id is the first id of the next
-    range, taken from a table of one row a range. ``ids`` are distinct and not null.
+
+def place(value: Column, firsts: list, kind) -> tuple[Column, Column]:
+    """The range of an id, found by halving, and whether it is the first of it."""
+    known = F.array(*[F.lit(x).cast(kind) for x in firsts])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(firsts).bit_length())))])
+    at = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(known, lo + step) <= value, lo + step).otherwise(lo))
+    return at, F.get(known, at) == value
+
+
+def followed(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text) with the text of the next larger id, after the last one the first: next_text.
+
+    Ids are distinct and not null. Texts are dealt by range of id, once; the first of each range
+    also goes to the range before, where it closes the row.
     """
-    spark = ids.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(ids.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()))
-    heads = ranged.groupBy("range").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("range")
-    heads = heads.select("range", F.coalesce(F.lead("head").over(order), F.min("head").over(Window.partitionBy())).alias("after"))
-    inner = F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
-    joined = ranged.withColumn("inner", inner).join(F.broadcast(heads), "range")  # a row for each shuffle partition at most
-    return joined.select("doc_id", F.coalesce("inner", "after").alias("next_id"))
+    spark = texts.sparkSession
+    firsts = starts(texts.select("doc_id"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not firsts:
+        return texts.withColumn("range", F.lit(0)).withColumn("next_text", F.col("text"))
+    at, is_first = place(F.col("doc_id"), firsts, texts.schema["doc_id"].dataType)
+    spot = lambda at, closes: F.struct(at.cast("int").alias("range"), F.lit(closes).alias("closes"))
+    before = F.pmod(F.col("at") - 1, F.lit(len(firsts)))
+    own = texts.withColumn("at", at).withColumn("first", is_first)
+    own = own.withColumn("spot", F.explode(F.when(F.col("first"), F.array(spot(F.col("at"), False), spot(before, True))).otherwise(F.array(spot(F.col("at"), False)))))
+    order = Window.partitionBy("range").orderBy("closes", "doc_id")
+    own = own.select("doc_id", "text", "spot.range", "spot.closes").withColumn("next_text", F.lead("text").over(order))
+    return own.filter("not closes").drop("closes")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -83,30 +100,26 @@ def edits(docs: DataFrame) -> DataFrame:
     Edited: the last quarter of the code points (rounded down) gives way to the first as many of
     the next document by doc_id, after the last one the first. Null text is empty. Rows that
     repeat an id share their successor; where the successor's id repeats, its smallest text
-    counts. Rows without an id have no successor. No row has a likeness outside 0 to 1.
+    counts. Rows without an id have no successor, and likeness 0 to it. No likeness is outside 0 to 1.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sized = cut(own.select("doc_id", F.char_length("text").cast("long").alias("n")).filter("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n")))
-    follows = cut(sized.join(successors(sized.select("doc_id")), "doc_id"))
-    wanted = follows.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    unique = unique_ids(own)
-    heads = own if unique else own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    heads = heads.join(wanted, "doc_id").select(F.col("to_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("q")).alias("head"))
-    both = own.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    if unique_ids(own):
+        rows, keys = followed(own), ["range", "doc_id"]
+    else:
+        nexts = followed(own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))).select("doc_id", "next_text")
+        rows = stored(own.withColumn("rid", F.monotonically_increasing_id()))
+        rows, keys = rows.join(nexts, "doc_id", "left"), ["rid", "doc_id"]
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     q = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.col("text").substr(F.lit(1), (F.col("n_chars") - q).cast("int"))
-    edited = F.concat(kept, F.coalesce(F.col("head").substr(F.lit(1), q), F.lit("")))
-    # a unique id tells rows apart by itself, and the same way when a lost task runs again
-    both = both.withColumn("rid", F.lit(0).cast("long") if unique else F.monotonically_increasing_id()).withColumn("edited", edited)
-    both = both if unique else stored(both)
-    both = both.select("rid", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "text", "edited")
-    sides = both.select("rid", "doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
-    sides = sides.select("rid", "doc_id", "n_chars", "edited_sha256", "x.side", "x.body")
-    got = vectors(sides, ["rid", "doc_id", "n_chars", "edited_sha256", "side"], "body")
+    rows = rows.withColumn("edited", F.concat(kept, F.coalesce(F.col("next_text").substr(F.lit(1), q), F.lit(""))))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    keys = [*keys, "n_chars", "edited_sha256"]
+    side = lambda i, body: F.struct(F.lit(i).alias("side"), F.col(body).alias("body"))
+    sides = rows.select(*keys, F.inline(F.array(side(0, "text"), side(1, "edited"), side(2, "next_text")))).filter("body is not null")
+    # dealt by range (or id) already, so that neither aggregation moves rows
+    got = vectors(sides, [*keys, "side"], "body")
     lanes = F.struct("hashes", "signs", "total")
-    got = got.groupBy("rid", "doc_id", "n_chars", "edited_sha256").agg(F.max(F.when(F.col("side") == 0, lanes)).alias("a"), F.max(F.when(F.col("side") == 1, lanes)).alias("b"))
-    got = got.join(follows.select("doc_id", "next_id"), "doc_id", "left")
-    nexts = got.filter("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("a").alias("c"))
-    got = got.join(nexts, "next_id", "left")
+    got = got.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, lanes)).alias(name) for i, name in enumerate("abc")])
     of = lambda s: (F.col(f"{s}.hashes"), F.col(f"{s}.signs"), F.col(f"{s}.total"))
     return got.select("doc_id", "n_chars", "edited_sha256", fingerprint(*of("a")).alias("fingerprint"), fingerprint(*of("b")).alias("edited_fingerprint"), likeness(of("a"), of("b")).alias("near_edited"), F.coalesce(likeness(of("a"), of("c")), F.lit(0.0)).alias("near_next"))
