@@ -11,7 +11,8 @@ too, pairs of frequent ones are indexed that stand at most GAP apart among the f
 the prefix: of k common ones, two neighbours do so in both documents. Short documents, whose k is
 small, index frequent shingles singly.
 
-Candidates are verified on the texts. A list of documents under one index key is first compared
+Candidates are sifted by size and by sketches of 256 parities, which only drop pairs that can't be
+similar enough, and verified on the texts. A list of documents under one index key is first compared
 with one of its documents, which links most groups of near copies with as many comparisons as
 documents; only lists that still hold several components are compared in full, across components.
 """
@@ -40,6 +41,8 @@ GAP = 6
 SINGLE_TO, PAIRS_FROM = 35, 27
 #: Rounds against one document of each list at most, before lists are compared in full.
 ROUNDS = 6
+#: Comparisons of sketches for each index row that a comparison in full may take before the last round.
+FULL = 50
 #: Bytes of text that are hashed at a time.
 AT_ONCE = 1 << 20
 
@@ -162,38 +165,48 @@ def dropped(n: int) -> int:
     return common(kept(n)) - 1
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: 256 bits in four words: bit i is the parity of the shingles whose hash ends in i.
+SKETCH = ("s0", "s1", "s2", "s3")
+_SETS = "key long, doc_id long, n long, sig_a long, sig_b long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def close(left: tuple[str, ...], right: tuple[str, ...], m: str, n: str):
+    """Whether sketches allow the similarity: each bit in which they differ stands for a shingle that only one has."""
+    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right, strict=True)), F.lit(0))
+    return apart * (100 + LEAST) <= (F.col(m) + F.col(n)) * (100 - LEAST)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, digest, sketch and prefix of each text's set, in one pass over the texts."""
     hasher = Hasher()
     for batch in batches:
-        rows = []
-        for h in hasher.sets(batch["text"].tolist()):
-            d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-            rows.append((len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-        n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "n": np.array(n, np.int64), "sig_a": np.array(a, np.int64), "sig_b": np.array(b, np.int64)})
-
-
-def _prefixes(full: bool):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), np.array(batch.column("key").to_pylist(), np.int64)
-            made, at, size = [], 0, 0
-            for i, h in enumerate(hasher.sets(texts)):
-                made.append((h[: prefix(len(h))].view(np.int64), len(h)))
-                size += len(made[-1][0])
-                if size < 200_000 and i + 1 < len(texts):
-                    continue
-                columns = {"h": np.concatenate([p for p, _ in made])}
-                if full:
-                    sizes = np.array([len(p) for p, _ in made])
-                    columns["key"] = np.repeat(keys[at : i + 1], sizes)
-                    columns["pos"] = (np.arange(size) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-                    columns["n"] = np.repeat(np.array([n for _, n in made], np.int32), sizes)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
-                made, at, size = [], i + 1, 0
-
-    return emit
+        key, doc_id, made = batch.column("key"), batch.column("doc_id"), []
+        at = size = 0
+
+        def out() -> pa.RecordBatch:
+            rows = slice(at, at + len(made))  # noqa: B023
+            n, digests, sketches, prefixes = zip(*made, strict=True)  # noqa: B023
+            sig = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            s = np.stack(sketches)
+            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+            columns = {"key": key.slice(rows.start, len(made)), "doc_id": doc_id.slice(rows.start, len(made)), "n": pa.array(n, pa.int64())}  # noqa: B023
+            columns |= {"sig_a": pa.array(sig[:, 0]), "sig_b": pa.array(sig[:, 1])} | {c: pa.array(s[:, i]) for i, c in enumerate(SKETCH)}
+            columns["prefix"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+            return pa.RecordBatch.from_pydict(columns)
+
+        for h in hasher.sets(batch.column("text").to_pylist()):
+            made.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), sketch(h), h[: prefix(len(h))].view(np.int64)))
+            size += len(made[-1][3])
+            if size >= 200_000:
+                yield out()
+                at, size, made = at + len(made), 0, []
+        if made:
+            yield out()
 
 
 def index_keys(n: int, pos: np.ndarray, h: np.ndarray, count: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
@@ -218,18 +231,21 @@ def index_keys(n: int, pos: np.ndarray, h: np.ndarray, count: np.ndarray, freque
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ik, owner, sizes = [], [], []
-        for key, n, tokens in zip(batch["key"], batch["n"], batch["tokens"], strict=True):
+        ik, owner, sizes, which = [], [], [], []
+        for at, (key, n, tokens) in enumerate(zip(batch["key"], batch["n"], batch["tokens"], strict=True)):
             if prefix(n) - len(tokens) >= prefix(n) - dropped(n):
                 continue  # its own shingles fill what is left
             got = sorted((t["pos"], t["h"], t["c"]) for t in tokens)
             pos, h, c = (np.array(x, np.int64) for x in zip(*got, strict=True))
             keys = index_keys(int(n), pos, h.view(np.uint64), c).view(np.int64)
             ik.append(keys)
+            which.append(at)
             owner.append(np.full(len(keys), key, np.int64))
             sizes.append(np.full(len(keys), n, np.int32))
         if ik:
-            yield pd.DataFrame({"ik": np.concatenate(ik), "key": np.concatenate(owner), "n": np.concatenate(sizes)})
+            spread = np.repeat(np.array(which), [len(x) for x in ik])
+            kept_columns = {c: batch[c].to_numpy()[spread] for c in SKETCH}
+            yield pd.DataFrame({"ik": np.concatenate(ik), "key": np.concatenate(owner), "n": np.concatenate(sizes)} | kept_columns)
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,25 +278,25 @@ def fits(m: str, n: str):
 def links(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as all links."""
     done, found = None, None
-    rows = index
+    rows = index.select("ik", "key", "n", *SKETCH, F.col("key").alias("comp"))
+    theirs = tuple(f"t{c}" for c in SKETCH)
     for turn in range(ROUNDS + 1):
         order = F.xxhash64("key", F.lit(turn))
-        sizes = rows.groupBy("ik").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(order.alias("o"), "key", "n")).alias("hub"))
+        hub = [F.min_by(c, order).alias(name) for c, name in zip(("key", "n", *SKETCH), ("a", "m", *theirs), strict=True)]
+        sizes = stored(rows.groupBy("ik").agg(F.count(F.lit(1)).alias("c"), *hub).filter("c > 1"))
         load = sizes.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("full"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
-        in_full = turn > 0 and (turn == ROUNDS or load["full"] <= 4 * load["rows"] + 1_000_000)
+        in_full = turn > 0 and (turn == ROUNDS or load["full"] <= FULL * load["rows"] + 1_000_000)
         if load["rows"] == 0:
             break
         if in_full:
-            left = rows.select("ik", F.col("key").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"))
-            right = rows.select("ik", F.col("key").alias("b"), "n", F.col("comp").alias("cb"))
+            left = rows.select("ik", F.col("key").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"), *[F.col(c).alias(t) for c, t in zip(SKETCH, theirs, strict=True)])
+            right = rows.select("ik", F.col("key").alias("b"), "n", *SKETCH, F.col("comp").alias("cb"))
             pairs = left.join(right, "ik").filter("a < b and ca <> cb")
         else:
-            hubs = stored(sizes.filter("c > 1").select("ik", F.col("hub.key").alias("a"), F.col("hub.n").alias("m")))
-            pairs = rows.select("ik", F.col("key").alias("b"), "n").join(hubs, "ik").filter("a <> b")
-        pairs = pairs.filter(fits("m", "n")).select("a", "b").distinct()
+            pairs = rows.select("ik", F.col("key").alias("b"), "n", *SKETCH).join(sizes.drop("c"), "ik").filter("a <> b")
+        pairs = pairs.filter(fits("m", "n") & close(theirs, SKETCH, "m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
-            seen = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         done = pairs if done is None else done.unionByName(pairs)
         new = verified(pairs, docs)
@@ -288,7 +304,7 @@ def links(docs: DataFrame, index: DataFrame) -> DataFrame:
         if in_full:
             break
         comps = components(found)
-        labelled = index.join(comps, "key", "left").select("ik", "key", "n", F.coalesce("comp", "key").alias("comp"))
+        labelled = rows.drop("comp").join(comps, "key", "left").select("ik", "key", "n", *SKETCH, F.coalesce("comp", "key").alias("comp"))
         mixed_lists = labelled.groupBy("ik").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("ik")
         rows = stored(labelled.join(stored(mixed_lists), "ik", "left_semi"))
     return found if found is not None else index.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -303,17 +319,17 @@ def joined(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = keyed(docs)
-    sets = stored(docs.mapInPandas(_described, "key long, doc_id long, n long, sig_a long, sig_b long"))
+    sets = stored(docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_described, _SETS))
     reps = stored(sets.filter("n > 0").groupBy("sig_a", "sig_b").agg(F.min("key").alias("rep")))
     copies = cut(sets.join(reps, ["sig_a", "sig_b"]).filter("key <> rep").select("key"))
     alone = cut(sets.filter("n = 0").select("key"))
     skip = copies.unionByName(alone).distinct()
-    single = docs.join(small(skip), "key", "left_anti").select("key", "text")
-    counts = single.mapInArrow(_prefixes(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    counts = stored(counts)
-    tokens = single.mapInArrow(_prefixes(True), "h long, key long, pos int, n int").join(counts, "h")
-    tokens = tokens.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "h", "c")).alias("tokens"))
-    index = stored(tokens.mapInPandas(_indexed, "ik long, key long, n int"))
+    single = sets.join(small(skip), "key", "left_anti")
+    counts = stored(single.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    tokens = single.select("key", F.posexplode("prefix").alias("pos", "h")).join(counts, "h")
+    tokens = tokens.groupBy("key").agg(F.collect_list(F.struct("pos", "h", "c")).alias("tokens"))
+    tokens = tokens.join(single.select("key", "n", *SKETCH), "key")
+    index = stored(tokens.mapInPandas(_indexed, "ik long, key long, n int, s0 long, s1 long, s2 long, s3 long"))
     comps = components(links(docs, index))
     of = sets.join(reps, ["sig_a", "sig_b"], "left").join(comps.withColumnRenamed("key", "rep"), "rep", "left")
     of = stored(of.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "key").alias("comp"), (F.col("n") == 0).alias("alone")))

@@ -11,7 +11,8 @@ are never compared again. Neighbours in the merged order tell how far a suffix i
 the right; an exact comparison of the windows around the anchor settles the left side.
 
 First 80 bytes that occur very often would gather in one task: windows around those anchors are
-counted by a grouped aggregation instead, which adds up copies before they are moved.
+compared by grouped aggregations instead: the text around an anchor is counted as a whole, and
+each distinct one is cut into windows once, so that copies add up before anything is moved.
 """
 
 from __future__ import annotations
@@ -115,18 +116,13 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _heads(with_key: bool):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array(batch.column("key").to_pylist(), np.int64)
-            for a, ends, _, at, _, _, h in _scan(_encoded(batch.column("text"))):
-                if len(at):
-                    columns = {"h": pa.array(h)}
-                    if with_key:
-                        columns["key"] = pa.array(keys[a + np.searchsorted(ends, at, side="right")])
-                    yield pa.RecordBatch.from_pydict(columns)
-
-    return emit
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.array(batch.column("key").to_pylist(), np.int64)
+        for a, ends, _, at, _, _, h in _scan(_encoded(batch.column("text"))):
+            if len(at):
+                owner = keys[a + np.searchsorted(ends, at, side="right")]
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h), "key": pa.array(owner)})
 
 
 # ---------------------------------------------------------------- runs
@@ -229,40 +225,58 @@ def merged(blobs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes]]:
 _PLACE = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
 
 
+#: Suffixes that a task gathers before it sorts them into runs, and contexts it remembers having sent whole.
+RUN = 40_000
+_MOVED = ("part", "run", "c1", "c2", "key", "lo", "hi", "context")
+
+
 def _runs(parts: int):
-    """Sorted runs of the wanted suffixes of each batch, one row for each receiving partition; hot anchors' windows apart."""
+    """Sorted runs of the wanted suffixes, one row for each receiving partition; contexts of hot anchors apart (part -1).
+
+    A context is the text from an anchor's first window to the end of its last one, known by its
+    hash; its bytes travel with the first row that a task has of it.
+    """
+
+    def flushed(found: dict[int, dict[tuple[bytes, bytes], list]]) -> pd.DataFrame:
+        runs = [front_coded([(right, left, np.array(places, _PLACE).tobytes()) for (right, left), places in sorted(entries.items())]) for entries in found.values()]
+        return pd.DataFrame({"part": np.array(list(found), np.int32), "run": runs, "c1": np.int64(0), "c2": np.int64(0), "key": np.int64(0), "lo": np.int32(0), "hi": np.int32(0), "context": None}, columns=_MOVED)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, dict[tuple[bytes, bytes], list]] = {}
+        held, sent = 0, set()
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
             keys, cold, hot = batch["key"].to_numpy(), batch["cold"].to_list(), batch["hot"].to_list()
-            found: dict[int, dict[tuple[bytes, bytes], list]] = {}
             for a, ends, data, at, lo, hi, h in _scan(texts):
                 row = np.searchsorted(ends, at, side="right")
                 starts = np.concatenate([[0], ends[:-1]])
                 whole = data.tobytes()
-                wanted_cold = np.isin(h, np.concatenate([np.asarray(x, np.int64) for x in cold[a : a + len(ends)]] or [h[:0]]))
-                wanted_hot = np.isin(h, np.concatenate([np.asarray(x, np.int64) for x in hot[a : a + len(ends)]] or [h[:0]]))
-                for i in np.flatnonzero(wanted_cold).tolist():
+                wanted = [np.concatenate([np.asarray(x, np.int64) for x in own[a : a + len(ends)]] or [h[:0]]) for own in (cold, hot)]
+                for i in np.flatnonzero(np.isin(h, wanted[0])).tolist():
                     r, p = int(row[i]), int(at[i])
                     right = whole[p : min(p + WINDOW, int(ends[r]))]
                     left = whole[int(lo[i]) : p]
                     s = int(starts[r])
                     place = (int(keys[a + r]), int(lo[i]) - s, int(hi[i]) - s, p - s)
                     found.setdefault(int(h[i]) % parts, {}).setdefault((right, left), []).append(place)
+                    held += 1
+                if held >= RUN:
+                    yield flushed(found)
+                    found, held = {}, 0
                 rows = []
-                for i in np.flatnonzero(wanted_hot).tolist():
+                for i in np.flatnonzero(np.isin(h, wanted[1])).tolist():
                     r = int(row[i])
                     s = int(starts[r])
-                    for p in range(int(lo[i]), int(hi[i]) + 1):
-                        d = hashlib.blake2b(whole[p : p + WINDOW], digest_size=16).digest()
-                        rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), int(keys[a + r]), p - s))
+                    context = whole[int(lo[i]) : int(hi[i]) + WINDOW]
+                    d = hashlib.blake2b(context, digest_size=16).digest()
+                    rows.append((-1, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), int(keys[a + r]), int(lo[i]) - s, int(hi[i]) - s, None if d in sent else context))
+                    sent.add(d)
                 if rows:
-                    w1, w2, k, p = zip(*rows, strict=True)
-                    yield pd.DataFrame({"part": np.int32(-1), "run": None, "w1": w1, "w2": w2, "key": k, "p": np.array(p, np.int32)})
-            for part, entries in found.items():
-                run = front_coded([(right, left, np.array(places, _PLACE).tobytes()) for (right, left), places in sorted(entries.items())])
-                yield pd.DataFrame({"part": np.array([part], np.int32), "run": [run], "w1": np.int64(0), "w2": np.int64(0), "key": np.int64(0), "p": np.int32(0)})
+                    yield pd.DataFrame(rows, columns=_MOVED)
+                if len(sent) > RUN:
+                    sent = set()
+        if found:
+            yield flushed(found)
 
     return emit
 
@@ -351,12 +365,6 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, data[last:]])
 
 
-def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-        yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "n_bytes": np.array([len(t) for t in texts], np.int64), "whole": [hashlib.sha256(t).hexdigest() for t in texts]})
-
-
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -366,26 +374,43 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
 
 
+def hot_spans(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi) of repeated windows among contexts (c1, c2, key, lo, hi, context).
+
+    All windows of a context that occurs twice are repeated. Each distinct context is then cut
+    into windows once, however often it occurs; those of single contexts are looked up among all.
+    """
+    contexts = stored(rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("context").alias("context")))
+    same = rows.join(contexts.filter("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("key", "lo", "hi")
+    spots = F.explode(F.sequence(F.lit(0), F.length("context") - WINDOW)).alias("p")
+    windows = contexts.select("c1", "c2", "n", "context", spots).withColumn("w", F.expr(f"substring(context, p + 1, {WINDOW})"))
+    windows = windows.select("c1", "c2", "n", "p", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(97), "w").alias("w2"))
+    again = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2"))
+    single = windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").select("c1", "c2", "p")
+    at = (F.col("lo") + F.col("p")).cast("int")
+    single = rows.select("c1", "c2", "key", "lo").join(single, ["c1", "c2"]).select("key", at.alias("lo"), at.alias("hi"))
+    return same.unionByName(single)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, lo, hi) arrays for each document with repeated windows: first and last starts, in bytes. ``docs`` has key and text."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("key", "text")
     long = docs.filter(F.octet_length("text") >= WINDOW)
-    counts = long.mapInArrow(_heads(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = stored(long.mapInArrow(_heads, "h long, key long"))
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     counts = stored(counts.select("h", (F.col("c") > HOT).alias("hot")))
-    wanted = long.mapInArrow(_heads(True), "h long, key long").join(counts, "h")
+    wanted = found.join(counts, "h")
     lists = {k: F.collect_set(F.when(F.col("hot") if k == "hot" else ~F.col("hot"), F.col("h"))).alias(k) for k in ("cold", "hot")}
     wanted = stored(wanted.groupBy("key").agg(lists["cold"], lists["hot"]))
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("cold") + F.size("hot")), F.lit(0)).alias("m")).first()
     few = size["n"] <= BROADCAST_ROWS and size["m"] <= 8 * BROADCAST_ROWS  # 32 MB of hashes; a shuffle join beyond
     own = long.join(F.broadcast(wanted) if few else wanted, "key")
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = stored(own.mapInPandas(_runs(parts), "part int, run binary, w1 long, w2 long, key long, p int"))
+    moved = stored(own.mapInPandas(_runs(parts), "part int, run binary, c1 long, c2 long, key long, lo int, hi int, context binary"))
     cold = moved.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge, "key long, lo int, hi int")
-    hot = moved.filter("part < 0")
-    windows = stored(hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"))
-    hot = hot.join(windows, ["w1", "w2"], "left_semi").select("key", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    hot = hot_spans(moved.filter("part < 0").drop("part", "run"))
     spans = cold.unionByName(hot)
     return stored(spans.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
 
@@ -399,7 +424,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """
     docs = keyed(docs)
     found = repeats(docs)
-    plain = docs.mapInPandas(_plain, "key long, doc_id long, n_bytes long, whole string")
+    plain = docs.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     few = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("lo")), F.lit(0)).alias("m")).first()
     few = few["n"] <= BROADCAST_ROWS and few["m"] <= 8 * BROADCAST_ROWS
     changed = docs.join(F.broadcast(found) if few else found, "key").select("key", "text", "lo", "hi").mapInPandas(_cut, "key long, n_removed long, n_spans long, kept string")
