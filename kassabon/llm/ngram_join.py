@@ -2,7 +2,8 @@
 
 A document's shingles in order of their hash have a prefix that it must share with every
 document similar enough: of its first n - ceil(t n) + k shingles at least k are common to both.
-With k = 1 + floor(0.15 n) that extended prefix is about a third of the document. How many
+With k = 1 + floor(0.15 n) that extended prefix is about a third of a long document; of a short
+one it is the whole. How many
 documents have a shingle in their prefix is counted over all documents. In order of that count,
 two similar documents also share one of the shingles that are left when each drops its most
 frequent ones, as many as it can (see ``dropped``); shingles that nobody else has need no entry.
@@ -39,10 +40,12 @@ FREQUENT = 64
 GAP = 6
 #: Sizes up to which frequent shingles are indexed singly, and from which in pairs.
 SINGLE_TO, PAIRS_FROM = 35, 27
+#: Sizes up to which the prefix is the whole document.
+WHOLE_TO = 160
 #: Rounds against one document of each list at most, before lists are compared in full.
 ROUNDS = 6
 #: Comparisons of sketches for each index row that a comparison in full may take before the last round.
-FULL = 50
+FULL = 200
 #: Bytes of text that are hashed at a time.
 AT_ONCE = 1 << 20
 
@@ -148,8 +151,12 @@ def kept(n: int) -> int:
 
 
 def common(n: int) -> int:
-    """k: how many shingles two similar documents share in their prefixes."""
-    return 1 + 15 * n // 100
+    """k: how many shingles two similar documents share in their prefixes.
+
+    A short document's prefix is all of it, so that a passage it has in common with many others
+    is left out of the index unless it makes up most of the document.
+    """
+    return kept(n) if n <= WHOLE_TO else 1 + 15 * n // 100
 
 
 def prefix(n: int) -> int:
@@ -159,10 +166,11 @@ def prefix(n: int) -> int:
 def dropped(n: int) -> int:
     """How many of its most frequent prefix shingles a document may leave out.
 
-    Two similar documents share k shingles of their prefixes, k that of the smaller one. The
+    Two similar documents share k shingles of their prefixes, k the smaller of theirs. The
     rarest shared one is followed, in order of count, by the k - 1 others.
     """
-    return common(kept(n)) - 1
+    least = common(kept(n))
+    return (min(least, common(WHOLE_TO + 1)) if kept(n) <= WHOLE_TO < 100 * n // LEAST else least) - 1
 
 
 #: 256 bits in four words: bit i is the parity of the shingles whose hash ends in i.

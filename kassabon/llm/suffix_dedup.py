@@ -36,7 +36,7 @@ KMER = 16
 PLACES = 121
 HEAD = WINDOW - PLACES + 1
 #: Heads that occur more often than this are hot.
-HOT = 500
+HOT = 5_000
 #: Receiving partitions of the sorted runs for each shuffle partition of the session.
 SLICE = 1 << 20
 
@@ -386,9 +386,12 @@ def hot_spans(rows: DataFrame) -> DataFrame:
     windows = contexts.select("c1", "c2", "n", "context", spots).withColumn("w", F.expr(f"substring(context, p + 1, {WINDOW})"))
     windows = windows.select("c1", "c2", "n", "p", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(97), "w").alias("w2"))
     again = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2"))
-    single = windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").select("c1", "c2", "p")
-    at = (F.col("lo") + F.col("p")).cast("int")
-    single = rows.select("c1", "c2", "key", "lo").join(single, ["c1", "c2"]).select("key", at.alias("lo"), at.alias("hi"))
+    single = windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_set("p").alias("ps"))  # PLACES at most
+    first = F.array_sort(F.filter("ps", lambda p: ~F.array_contains("ps", p - 1)))
+    last = F.array_sort(F.filter("ps", lambda p: ~F.array_contains("ps", p + 1)))
+    single = single.select("c1", "c2", F.arrays_zip(first.alias("a"), last.alias("b")).alias("spans"))
+    single = rows.select("c1", "c2", "key", "lo").join(single, ["c1", "c2"]).select("key", F.col("lo").alias("start"), F.inline("spans"))
+    single = single.select("key", (F.col("start") + F.col("a")).cast("int").alias("lo"), (F.col("start") + F.col("b")).cast("int").alias("hi"))
     return same.unionByName(single)
 
 
@@ -425,9 +428,7 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     found = repeats(docs)
     plain = docs.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    few = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("lo")), F.lit(0)).alias("m")).first()
-    few = few["n"] <= BROADCAST_ROWS and few["m"] <= 8 * BROADCAST_ROWS
-    changed = docs.join(F.broadcast(found) if few else found, "key").select("key", "text", "lo", "hi").mapInPandas(_cut, "key long, n_removed long, n_spans long, kept string")
+    changed = docs.join(found, "key").select("key", "text", "lo", "hi").mapInPandas(_cut, "key long, n_removed long, n_spans long, kept string")
     changed = stored(changed.dropDuplicates(["key"]))
     got = plain.join(changed, "key", "left")
     return got.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))

@@ -445,3 +445,9 @@ def test_cascade_is_exact(spark, most_bits):
     assert made.keys is not None or len(made.levels) > 2
     none = url_cascade.cascade(keys.filter("not listed"))
     assert none.flag(keys, "key", "hit").filter("hit").count() == 0
+
+
+def test_no_document_drops_what_a_similar_one_needs():
+    for n in range(1, 2000):
+        partners = range(ngram_join.kept(n), n * 100 // ngram_join.LEAST + 1)
+        assert ngram_join.dropped(n) < min(ngram_join.common(n), *map(ngram_join.common, partners), 10**9)
