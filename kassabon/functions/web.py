@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import none_if_empty
 
@@ -26,13 +27,13 @@ def decode_entities(x: Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """All named and numeric entities, which Spark has no function for."""
     return x.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, which Spark has no function for."""
     return x.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")
@@ -65,7 +66,7 @@ def json_ld(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def typed_objects(x: pd.Series, kind: pd.Series) -> pd.Series:
     """JSON texts of the objects of a type in a JSON text, looking into lists and @graph."""
 
@@ -88,7 +89,7 @@ def typed_objects(x: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(x, kind, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_value(x: pd.Series, key: pd.Series) -> pd.Series:
     """The first scalar under a key anywhere in a JSON text, depth first."""
 
@@ -110,7 +111,7 @@ def first_value(x: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(x, key, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def instruction_steps(x: pd.Series) -> pd.Series:
     """Texts of recipe instructions: a text, a list, or sections of steps."""
 
