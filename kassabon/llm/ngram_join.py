@@ -285,7 +285,7 @@ def fits(m: str, n: str):
 
 def links(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as all links."""
-    done, found = None, None
+    done, found, full = None, None, None
     rows = index.select("ik", "key", "n", *SKETCH, F.col("key").alias("comp"))
     theirs = tuple(f"t{c}" for c in SKETCH)
     for turn in range(ROUNDS + 1):
@@ -293,7 +293,9 @@ def links(docs: DataFrame, index: DataFrame) -> DataFrame:
         hub = [F.min_by(c, order).alias(name) for c, name in zip(("key", "n", *SKETCH), ("a", "m", *theirs), strict=True)]
         sizes = stored(rows.groupBy("ik").agg(F.count(F.lit(1)).alias("c"), *hub).filter("c > 1"))
         load = sizes.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("full"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
-        in_full = turn > 0 and (turn == ROUNDS or load["full"] <= FULL * load["rows"] + 1_000_000)
+        idle = full is not None and load["full"] > 0.7 * full  # a round that settled little; another would, too
+        full = load["full"]
+        in_full = turn > 0 and (turn == ROUNDS or idle or full <= FULL * load["rows"] + 1_000_000)
         if load["rows"] == 0:
             break
         if in_full:
@@ -303,9 +305,9 @@ def links(docs: DataFrame, index: DataFrame) -> DataFrame:
         else:
             pairs = rows.select("ik", F.col("key").alias("b"), "n", *SKETCH).join(sizes.drop("c"), "ik").filter("a <> b")
         pairs = pairs.filter(fits("m", "n") & close(theirs, SKETCH, "m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs)
+        if done is not None:
+            pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
         new = verified(pairs, docs)
         found = new if found is None else found.unionByName(new)

@@ -35,8 +35,8 @@ KMER = 16
 #: Places of a window at which its anchor may stand, and what every window shares from its anchor on.
 PLACES = 121
 HEAD = WINDOW - PLACES + 1
-#: Heads that occur more often than this are hot.
-HOT = 5_000
+#: Heads that occur more often than this are hot; a task holds so many contexts of a head, of some 600 bytes each, at most.
+HOT = 20_000
 #: Receiving partitions of the sorted runs for each shuffle partition of the session.
 SLICE = 1 << 20
 
