@@ -36,7 +36,7 @@ KMER = 16
 PLACES = 121
 HEAD = WINDOW - PLACES + 1
 #: Heads that occur more often than this are hot; a task holds so many contexts of a head, of some 600 bytes each, at most.
-HOT = 20_000
+HOT = 100_000
 #: Receiving partitions of the sorted runs for each shuffle partition of the session.
 SLICE = 1 << 20
 
