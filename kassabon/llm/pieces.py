@@ -25,7 +25,7 @@ from .common import ship
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments whose ids a process remembers, twice: a full table becomes the older one.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Parts up to this length are segmented without commits, if made of the ALPHABET - 1 commonest characters of the pieces.
 SHORT, ALPHABET = 32, 128
 #: Characters of text that are segmented at a time.
