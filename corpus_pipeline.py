@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text."""
     coded = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+    return stored(coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids"))  # in small batches
 
 
 STAGES = [
