@@ -64,17 +64,17 @@ def search_many(products: DataFrame, queries: DataFrame, count: int = 8, store:
     if store is not None:
         rows = rows.filter(F.col("store_id") == store)
     asked = prepared(queries)
-    found = rows.join(candidates(rows, asked), "name_search").join(asked, "query_id")
+    # scores depend on the search name alone: each distinct name is scored once, then products take its score
+    named = candidates(rows, asked).join(asked, "query_id")
     similar = F.round(best_extent(F.array_distinct(trigrams(F.col("qre"))), trigrams(F.col("name_search"))), 6)
-    first = Window.partitionBy("query_id").orderBy(F.desc("_similar"), "id")
-    found = found.withColumn("_similar", similar).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= CANDIDATES)
-    words = _words(F.col("name_search"))
-    found = found.withColumn("_q", _graded(F.col("qtok"))).withColumn("_p", _graded(words))
-    found = found.withColumn("_s", F.filter("_p", lambda x: ~x["w"].isin(*SEARCH_STOP)))
-    found = found.withColumn("_coverage", _mean_of_best(F.col("_q"), F.col("_p"), False)).withColumn("_specificity", _mean_of_best(F.col("_s"), F.col("_q"), True))
+    named = named.withColumn("_similar", similar).withColumn("_q", _graded(F.col("qtok"))).withColumn("_p", _graded(_words(F.col("name_search"))))
+    named = named.withColumn("_s", F.filter("_p", lambda x: ~x["w"].isin(*SEARCH_STOP)))
+    named = named.withColumn("_coverage", _mean_of_best(F.col("_q"), F.col("_p"), False)).withColumn("_specificity", _mean_of_best(F.col("_s"), F.col("_q"), True))
     length = F.char_length("qre") / F.greatest(F.char_length("name_search"), F.lit(1))
     score = F.least(F.lit(1.0), 0.55 * F.col("_coverage") + 0.45 * F.col("_specificity") + 0.05 * length)
-    found = found.filter("_coverage > 0").withColumn("match_score", F.round(score, 6))
+    named = named.select("query_id", "name_search", "_similar", "_coverage", F.round(score, 6).alias("match_score"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("_similar"), "id")
+    found = rows.join(named, "name_search").withColumn("_r", F.row_number().over(first)).filter((F.col("_r") <= CANDIDATES) & (F.col("_coverage") > 0))
     order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.char_length("name"), F.col("current_price_cents").asc_nulls_last(), "name", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).select("query_id", *products.columns, "match_score", "rank")
 
