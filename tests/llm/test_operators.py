@@ -244,6 +244,45 @@ def test_nearest(spark):
     assert few.count() == 2 and ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def in_full(vectors, queries, k=20):
+    """query -> [(id, score)] of the k largest inner products, equal ones by id."""
+    out = {}
+    for q in queries:
+        scores = sorted((-float((vectors[q] * v).sum()), i) for i, v in vectors.items() if i != q)
+        out[q] = [(i, round(-s, 9)) for s, i in scores[:k]]
+    return out
+
+
+def listed(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    return out
+
+
+def test_nearest_of_few(spark):
+    g = np.random.default_rng(11)
+    some = g.normal(size=(40, 64))
+    for n, copies in ((3, 1), (21, 1), (40, 1), (30, 25)):
+        vectors = {i: some[i % n] for i in range(n * copies)}
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+        asked = range(min(n, 40))
+        got = listed(ann.search(table, F.col("vec_id") < len(asked)).collect())
+        assert got == in_full(vectors, asked)
+
+
+def test_nearest_out_of_reach(spark):
+    """Most vectors lie in one direction, queries elsewhere meet few of them; another length has few vectors."""
+    g = np.random.default_rng(12)
+    far = np.concatenate([g.normal(size=(40, 64)), np.eye(64)[:1] * 10 + g.normal(size=(ann.PART + 100, 64)) / 1000])
+    vectors = dict(enumerate(far))
+    short = {10_000 + i: v for i, v in enumerate(g.normal(size=(25, 48)))}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in (vectors | short).items()], "vec_id long, embedding array<double>")
+    got = listed(ann.search(table, (F.col("vec_id") < 40) | (F.col("vec_id") >= 10_000)).collect())
+    assert all(len(got[q]) == 20 for q in [*range(40), *short])
+    assert {q: got[q] for q in short} == in_full(short, short)
+
+
 # ---------------------------------------------------------------- 6 language
 
 
