@@ -78,8 +78,11 @@ def _candidate_key(kind: str, name: str) -> Column:
     return F.concat(F.lit(f"{kind}:name:"), F.col(name), F.lit(":variant:"), F.col("variant_sig"), F.lit(":unit:"), F.coalesce("base_price_unit", F.lit("")), F.lit(":qty:"), F.coalesce(F.col("pack_qty").cast("string"), F.lit("")))
 
 
-def review_candidates(silver: DataFrame, members: DataFrame, most: int = 2000) -> DataFrame:
-    """Candidates of both kinds: equal names without a number, and generic names of one pack; each over several stores."""
+def review_candidates(silver: DataFrame, members: DataFrame, most: int | None = 2000) -> DataFrame:
+    """Candidates of both kinds: equal names without a number, and generic names of one pack; each over several stores.
+
+    ``most`` keeps the first of each kind; None keeps all, in no order.
+    """
     free = silver.filter(F.coalesce(F.trim("ean"), F.lit("")) == "").join(members.select(F.col("silver_product_id").alias("id")), "id", "left_anti")
     exact = _features(free, 3).withColumn("norm_name", text.catalog_norm(F.col("name"))).filter("norm_name is not null")
     exact = exact.withColumn("candidate_key", _candidate_key("exact", "norm_name"))
@@ -90,7 +93,8 @@ def review_candidates(silver: DataFrame, members: DataFrame, most: int = 2000) -
     for kind, rows, largest, confidence, order in (("exact", exact, 10, 0.72, ("store", "name")), ("substitute", substitute, 16, 0.62, ("store", "price", "name"))):
         got = rows.groupBy("candidate_key").agg(F.min("name").alias("canonical_name"), F.count(F.lit(1)).alias("member_count"), F.count_distinct("store").alias("store_count"), ordered_list("id", *order).alias("silver_ids"))
         got = got.filter((F.col("member_count").between(2, largest)) & (F.col("store_count") >= 2))
-        got = got.orderBy(F.desc("store_count"), F.desc("member_count"), "canonical_name", "candidate_key").limit(most)
+        if most is not None:
+            got = got.orderBy(F.desc("store_count"), F.desc("member_count"), "canonical_name", "candidate_key").limit(most)
         got = got.withColumn("candidate_kind", F.lit(kind)).withColumn("confidence", F.lit(confidence)).withColumn("status", F.lit("pending")).withColumn("source", F.lit("rule"))
         out = got if out is None else out.unionByName(got)
     return out

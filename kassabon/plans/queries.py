@@ -445,7 +445,7 @@ def tf14_plain_ean_groups(spark, sf_dir):
 def tf15_review_candidates(spark, sf_dir):
     rows = silver_rows(spark, sf_dir)
     none = rows.select(F.col("id").alias("silver_product_id")).limit(0)
-    found = grouping.review_candidates(rows, none, most=2_000_000)
+    found = grouping.review_candidates(rows, none, most=None)
     return found.select("candidate_kind", "candidate_key", "canonical_name", "member_count", "store_count")
 
 
