@@ -45,28 +45,63 @@ def aliases(silver: DataFrame, groups: DataFrame) -> DataFrame:
     return ean_keys(silver).join(groups.select("group_key"), "group_key").select("group_key", F.col("name").alias("alias")).distinct()
 
 
-def refresh_exact_groups(silver: DataFrame, products: DataFrame, groups: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """Groups, members and products after article-number groups were made anew, and a report of the steps.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _moved(products: DataFrame, to: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """``products`` with ``column`` set by ``to`` (silver_product_id, _to) where it was null or a group of article numbers, and whether it changed."""
+    own = groups.filter("source = 'ean'").select(F.col("group_key").alias(column), F.lit(True).alias("_ean"))
+    rows = products.join(own, column, "left").join(to, "silver_product_id", "left")
+    moves = F.col("_to").isNotNull() & (F.col(column).isNull() | F.col("_ean").isNotNull()) & ~F.col(column).eqNullSafe(F.col("_to"))
+    return rows.withColumn("_moved", moves).withColumn(column, F.when(moves, F.col("_to")).otherwise(F.col(column))).select(*products.columns, "_moved")
+
+
+def refresh_exact_groups(silver: DataFrame, products: DataFrame, groups: DataFrame, members: DataFrame, ingredients: DataFrame, names: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:
+    """All tables after article-number groups were made anew, exact and substitute, and a report of the eight steps.
 
     Groups and memberships that a person or a model made stay; a product keeps such a group.
-    ``products`` has id, silver_product_id and exact_group_key.
+    ``products`` has id, silver_product_id, exact_group_key and ingredient_key; ``groups``
+    group_key, canonical_name, ean, source and confidence, ``ingredients`` group_kind too;
+    ``members`` group_key, silver_product_id, source and confidence; ``names`` (aliases) group_key,
+    alias, language and confidence; ``mappings`` silver_product_id, group_key, confidence,
+    mapping_source and review_status.
     """
-    others = groups.filter("source <> 'ean'")
+    old = F.coalesce((F.col("source") == "ean") & F.col("group_key").startswith("ean:"), F.lit(False))
+    cleared, counts = products, []
+    for column, table, step in (("exact_group_key", groups, "cleared_exact_products"), ("ingredient_key", ingredients, "cleared_substitute_products")):
+        gone = table.filter(old).select(F.col("group_key").alias(column), F.lit(True).alias("_gone"))
+        marked = cleared.join(gone, column, "left")
+        counts.append((step, marked.filter("_gone")))
+        cleared = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*products.columns)
+    others, other_ingredients = groups.filter(~old), ingredients.filter(~old)
+    lost = lambda rows, table: rows.join(table.filter(old).select("group_key"), "group_key", "left_anti").select(*rows.columns)
     fresh = ean_groups(silver).select("group_key", "canonical_name", "ean", F.lit("ean").alias("source"), F.lit(1.0).alias("confidence"))
-    groups_after = others.select(*fresh.columns).unionByName(insert_new(others, fresh, ["group_key"]))
-    found = group_members(silver, fresh)
-    kept = members.filter("source <> 'ean'")
-    members_after = upsert(kept, found, ["silver_product_id"], when=lambda old: old("source") == "ean")
-    loose = products.join(others.select(F.col("group_key").alias("exact_group_key"), F.lit(True).alias("_firm")), "exact_group_key", "left")
-    loose = loose.withColumn("exact_group_key", F.when(F.col("_firm"), F.col("exact_group_key"))).drop("_firm")
-    to = members_after.select("silver_product_id", F.col("group_key").alias("_to"))
-    products_after = loose.join(to, "silver_product_id", "left").withColumn("exact_group_key", F.coalesce("exact_group_key", "_to")).select(*products.columns)
-    steps = [("exact_groups", fresh), ("exact_members", found), ("public_exact_products", products_after.filter("exact_group_key is not null"))]
-    report = None
-    for name, table in steps:
-        row = table.agg(F.lit(name).alias("step"), F.count(F.lit(1)).cast("int").alias("rows_affected")).select("step", "rows_affected")
-        report = row if report is None else report.unionByName(row)
-    return {"groups": groups_after, "members": members_after, "products": products_after, "report": report}
+
+    groups_after = upsert(others, fresh, ["group_key"])
+    found = group_members(silver, groups_after)
+    kept = lost(members, groups)
+    members_after = upsert(kept, found, ["silver_product_id"], when=lambda before: before("source") == "ean", order=[F.col("group_key")])
+    written = found.join(kept.filter("source is null or source <> 'ean'").select("silver_product_id"), "silver_product_id", "left_anti")
+    exact = _moved(cleared, members_after.select("silver_product_id", F.col("group_key").alias("_to")), "exact_group_key", groups_after)
+    counts += [("exact_groups", fresh), ("exact_members", written), ("public_exact_products", exact.filter("_moved"))]
+
+    fresh_ingredients = fresh.withColumn("group_kind", F.lit("substitute"))
+    ingredients_after = upsert(other_ingredients, fresh_ingredients, ["group_key"], keep=("group_kind",))
+    named = aliases(silver, ingredients_after).withColumns({"language": F.lit("nl"), "confidence": F.lit(1.0)})
+    kept_names = lost(names, ingredients)
+    names_after = kept_names.unionByName(insert_new(kept_names, named, ["group_key", "alias"]).select(*names.columns))
+    mapped = group_members(silver, ingredients_after).select("silver_product_id", "group_key", "confidence", F.lit("rule").alias("mapping_source"), F.lit("approved").alias("review_status"))
+    mappings_after = upsert(lost(mappings, ingredients), mapped, ["silver_product_id", "group_key"])
+    approved = mappings_after.filter("review_status = 'approved'").join(ingredients_after.filter("source = 'ean'").select("group_key"), "group_key", "left_semi")
+    approved = approved.groupBy("silver_product_id").agg(F.min("group_key").alias("_to"))
+    both = _moved(exact.drop("_moved"), approved, "ingredient_key", ingredients_after)
+    counts += [("substitute_groups", fresh), ("substitute_mappings", mapped), ("public_substitute_products", both.filter("_moved"))]
+    report = _union([table.agg(F.lit(step).alias("step"), F.count(F.lit(1)).cast("int").alias("rows_affected")).select("step", "rows_affected") for step, table in counts])
+    return {"groups": groups_after, "members": members_after, "products": both.drop("_moved"), "ingredients": ingredients_after, "aliases": names_after, "mappings": mappings_after, "report": report}
 
 
 def _features(silver: DataFrame, places: int) -> DataFrame:
@@ -106,24 +141,44 @@ def candidate_members(candidates: DataFrame) -> DataFrame:
     return rows.select("candidate_key", "silver_product_id", (F.col("at") + 1).alias("position"))
 
 
-def apply_reviews(candidates: DataFrame, reviews: DataFrame, groups: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """Candidates, groups and members after reviews (candidate_key, action, reviewer of 'ai' or 'manual', ai_confidence).
+def apply_reviews(candidates: DataFrame, reviews: DataFrame, silver: DataFrame, products: DataFrame, groups: DataFrame, members: DataFrame, ingredients: DataFrame, names: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:
+    """All tables after reviews (candidate_key, action, reviewer of 'ai' or 'manual', ai_confidence), and the products each changed.
 
-    Approving makes a group of the candidate's members with the first known of the confidences;
-    reject and needs_later only change the status. Settled candidates are left alone.
+    Approving an exact candidate makes a group of its members, approving another an ingredient
+    with their names and mappings, with the first known of the confidences; exact groups stay as
+    they were then. Reject and needs_later only change the status. Settled candidates are left
+    alone. Tables are as in ``refresh_exact_groups``.
     """
     pending = candidates.join(one_per_key(reviews, ["candidate_key"], [F.col("action")]), "candidate_key", "left")
     act = F.when((F.col("status") == "pending") & F.col("action").isin("approve", "reject", "needs_later"), F.col("action"))
     status = F.when(act == "approve", "approved").when(act == "reject", "rejected").when(act == "needs_later", "needs_later").otherwise(F.col("status"))
     done = pending.withColumn("_act", act)
-    approved = done.filter("_act = 'approve'")
     sure = F.coalesce("ai_confidence", "confidence", F.lit(0.8))
-    new_groups = approved.select(F.col("candidate_key").alias("group_key"), "canonical_name", F.lit(None).cast("string").alias("ean"), F.coalesce("reviewer", F.lit("manual")).alias("source"), sure.alias("confidence"))
-    new_members = approved.select(F.col("candidate_key").alias("group_key"), F.explode("silver_ids").alias("silver_product_id"), F.coalesce("reviewer", F.lit("manual")).alias("source"), sure.alias("confidence"))
+    approved = done.filter("_act = 'approve'").withColumns({"source": F.coalesce("reviewer", F.lit("manual")), "confidence": sure, "group_key": F.col("candidate_key"), "ean": F.lit(None).cast("string")})
+    exact = F.coalesce(F.col("candidate_kind") == "exact", F.lit(False))
+    rows = approved.withColumn("silver_product_id", F.explode("silver_ids"))
+    of_group, of_ingredient = rows.filter(exact), rows.filter(~exact)
+    made = approved.filter(~exact).withColumn("group_kind", F.lit("substitute"))
+    called = of_ingredient.join(silver.filter("name is not null").select(F.col("id").alias("silver_product_id"), F.col("name").alias("alias")), "silver_product_id").withColumn("language", F.lit("nl"))
+    mapped = of_ingredient.withColumns({"mapping_source": F.when(F.col("source") == "ai", "ai_batch").otherwise("manual"), "review_status": F.lit("approved")})
+
+    after, changed = products, []
+    for column, part in (("exact_group_key", of_group), ("ingredient_key", of_ingredient)):
+        to = part.groupBy("silver_product_id").agg(F.min("group_key").alias("_to"))
+        moved = after.join(to, "silver_product_id", "left")
+        changed.append(moved.filter(F.col("_to").isNotNull() & ~F.col(column).eqNullSafe(F.col("_to"))).select(F.col("_to").alias("candidate_key")))
+        after = moved.withColumn(column, F.coalesce("_to", column)).select(*products.columns)
+    counts = _union(changed).groupBy("candidate_key").agg(F.count(F.lit(1)).cast("int").alias("rows_affected"))
+    report = done.filter("_act is not null").select("candidate_key", status.alias("status")).join(counts, "candidate_key", "left").fillna(0, ["rows_affected"])
     return {
         "candidates": done.withColumn("status", status).select(*candidates.columns),
-        "groups": upsert(groups, new_groups.select(*groups.columns), ["group_key"]),
-        "members": upsert(members, new_members.select(*members.columns), ["silver_product_id"], order=[F.col("group_key")]),
+        "groups": upsert(groups, approved.filter(exact).select(*groups.columns), ["group_key"], keep=("ean",)),
+        "members": upsert(members, of_group.select(*members.columns), ["silver_product_id"], order=[F.col("group_key")]),
+        "products": after,
+        "ingredients": upsert(ingredients, made.select(*ingredients.columns), ["group_key"], keep=("group_kind", "ean")),
+        "aliases": names.unionByName(insert_new(names, called.select(*names.columns), ["group_key", "alias"])),
+        "mappings": upsert(mappings, mapped.select(*mappings.columns), ["silver_product_id", "group_key"]),
+        "report": report,
     }
 
 

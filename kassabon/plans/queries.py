@@ -449,6 +449,65 @@ def tf15_review_candidates(spark, sf_dir):
     return found.select("candidate_kind", "candidate_key", "canonical_name", "member_count", "store_count")
 
 
+def _grouped_before(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Products, groups, members, ingredients, aliases and mappings before a refresh: some of article numbers, some of a person."""
+    rows, k = silver_rows(spark, sf_dir), F.col("id").cast("long")
+    pick = lambda n: F.when(k % n == 0, "ean:old").when(k % n == 1, "review:kept")
+    products = rows.select("id", F.col("id").alias("silver_product_id"), pick(10).alias("exact_group_key"), pick(9).alias("ingredient_key"))
+    groups = spark.createDataFrame([("ean:old", "old", "1", "ean", 1.0), ("review:kept", "kept", None, "manual", 0.9)], "group_key string, canonical_name string, ean string, source string, confidence double")
+    owner = lambda c: F.when(F.col(c) == "ean:old", "ean").otherwise("manual")
+    members = products.filter("exact_group_key is not null").select(F.col("exact_group_key").alias("group_key"), "silver_product_id", owner("exact_group_key").alias("source"), F.lit(1.0).alias("confidence"))
+    of = products.filter("ingredient_key is not null").select("silver_product_id", F.col("ingredient_key").alias("group_key"))
+    names = of.select("group_key", F.lit("a name").alias("alias"), F.lit("nl").alias("language"), F.lit(1.0).alias("confidence")).distinct()
+    mappings = of.withColumns({"confidence": F.lit(0.9), "mapping_source": F.lit("manual"), "review_status": F.lit("approved")})
+    return [products, groups, members, groups.withColumn("group_kind", F.lit("substitute")), names, mappings]
+
+
+_FOUND = f"{CATALOGUE}, {_EAN_KEYS}, g AS (SELECT group_key FROM keys GROUP BY group_key HAVING count(*) >= 2), found AS (SELECT * FROM keys SEMI JOIN g USING (group_key))"
+
+
+@query(f"""
+    WITH {_FOUND}, c AS (SELECT count(*) FILTER (k % 10 = 0) AS e, count(*) FILTER (k % 9 = 0) AS s FROM catalogue), n AS (SELECT count(*) AS n FROM g),
+         f AS (SELECT count(*) AS n, count(*) FILTER (k % 10 <> 1) AS e, count(*) FILTER (k % 9 <> 1) AS s FROM found)
+    SELECT unnest(['cleared_exact_products', 'cleared_substitute_products', 'exact_groups', 'exact_members', 'public_exact_products', 'substitute_groups', 'substitute_mappings', 'public_substitute_products']) AS step,
+           unnest([c.e, c.s, n.n, f.e, f.e, n.n, f.n, f.s]) AS rows_affected FROM c, n, f
+""")
+def tf13_refresh_steps(spark, sf_dir):
+    return grouping.refresh_exact_groups(silver_rows(spark, sf_dir), *_grouped_before(spark, sf_dir))["report"]
+
+
+@query(f"""
+    WITH {_FOUND} SELECT id AS silver_product_id, group_key, 'rule' AS mapping_source, 'approved' AS review_status, 1.0::DOUBLE AS confidence FROM found
+    UNION ALL SELECT id, 'review:kept', 'manual', 'approved', 0.9::DOUBLE FROM catalogue WHERE k % 9 = 1
+""")
+def tf13_substitute_mappings(spark, sf_dir):
+    return grouping.refresh_exact_groups(silver_rows(spark, sf_dir), *_grouped_before(spark, sf_dir))["mappings"]
+
+
+@query(f"""
+    WITH {_FOUND} SELECT group_key, name AS alias, 'nl' AS language, 1.0::DOUBLE AS confidence FROM (SELECT DISTINCT group_key, name FROM found)
+    UNION ALL SELECT DISTINCT 'review:kept', 'a name', 'nl', 1.0::DOUBLE FROM catalogue WHERE k % 9 = 1
+""")
+def tf13_ingredient_aliases(spark, sf_dir):
+    return grouping.refresh_exact_groups(silver_rows(spark, sf_dir), *_grouped_before(spark, sf_dir))["aliases"]
+
+
+@query("""
+    WITH c AS (SELECT p_name, CASE WHEN p_size % 2 = 0 THEN 'exact' ELSE 'substitute' END AS kind, p_size, p_partkey, p_name || p_partkey AS key FROM part)
+    SELECT kind, 'group:' || key AS group_key, CAST(p_partkey AS VARCHAR) AS silver_product_id, CASE WHEN kind = 'exact' THEN 'ai' ELSE 'ai_batch' END AS source, 0.7::DOUBLE AS confidence FROM c WHERE p_size % 3 = 0
+""")
+def tf16_reviewed_members(spark, sf_dir):
+    """A candidate for each product; a third is approved, by a model."""
+    part, rows = table(spark, sf_dir, "part"), silver_rows(spark, sf_dir)
+    kind = F.when(F.col("p_size") % 2 == 0, "exact").otherwise("substitute")
+    found = part.select(F.concat(F.lit("group:"), "p_name", F.col("p_partkey").cast("string")).alias("candidate_key"), kind.alias("candidate_kind"), F.col("p_name").alias("canonical_name"), F.array(F.col("p_partkey").cast("string")).alias("silver_ids"), F.lit(0.6).alias("confidence"), F.lit("pending").alias("status"), F.lit("rule").alias("source"), "p_size")
+    reviews = found.select("candidate_key", F.element_at(F.array(F.lit("approve"), F.lit("reject"), F.lit("needs_later")), (F.col("p_size") % 3 + 1).cast("int")).alias("action"), F.lit("ai").alias("reviewer"), F.lit(0.7).alias("ai_confidence"))
+    before = _grouped_before(spark, sf_dir)
+    got = grouping.apply_reviews(found.drop("p_size"), reviews, rows, before[0], *[t.limit(0) for t in before[1:]])
+    exact = got["members"].select(F.lit("exact").alias("kind"), "group_key", "silver_product_id", "source", "confidence")
+    return exact.unionByName(got["mappings"].select(F.lit("substitute").alias("kind"), "group_key", "silver_product_id", F.col("mapping_source").alias("source"), "confidence"))
+
+
 @query(f"""
     WITH {CATALOGUE}, o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM catalogue)
     SELECT id, CAST(r % 80 AS INT) AS item_index, 1 AS segment, printf('catalog-segment-01-group-%05d', CAST(r // 80 + 1 AS INT)) AS custom_id FROM o
