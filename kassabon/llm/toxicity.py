@@ -120,11 +120,12 @@ class Finder:
     def __init__(self, model: dict):
         self.a, self.b = model["a"], model["b"]
         self.machine = ahocorasick.Automaton()
-        for term, weight in model["weights"].items():
-            stem = term.removesuffix("*")
-            self.machine.add_word(stem, (len(stem), weight, stem != term))
+        weights = model["weights"]
+        for stem in {term.removesuffix("*") for term in weights}:
+            begins = weights.get(stem + "*")  # of longer words, and of the word itself if it is no term
+            self.machine.add_word(stem, (len(stem), weights.get(stem, begins), begins))
         for phrase in model["exceptions"]:
-            self.machine.add_word(phrase, (len(phrase), 0.0, False))
+            self.machine.add_word(phrase, (len(phrase), 0.0, None))
         self.ready = len(self.machine) > 0
         if self.ready:
             self.machine.make_automaton()
@@ -138,7 +139,9 @@ class Finder:
         hits = []
         for end, (size, weight, begins) in self.machine.iter(folded):
             start = end - size + 1
-            if (start == 0 or not folded[start - 1].isalnum()) and (begins or end + 1 == len(folded) or not folded[end + 1].isalnum()):
+            if end + 1 < len(folded) and folded[end + 1].isalnum():
+                weight = begins
+            if weight is not None and (start == 0 or not folded[start - 1].isalnum()):
                 hits.append((start, -end, weight))
         hits.sort()
         for start, neg_end, weight in hits:  # leftmost, then longest

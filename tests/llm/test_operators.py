@@ -170,6 +170,13 @@ def test_toxicity(spark, repeated):
     assert toxicity.predictions(table, marks.limit(0)).count() == table.count()
 
 
+def test_word_and_beginning():
+    """A word and the beginning of words of the same letters keep a weight each."""
+    for weights in ({"scum": 2.0, "scum*": 3.0}, {"scum*": 3.0, "scum": 2.0}):
+        finder = toxicity.Finder({"weights": weights, "exceptions": [], "a": 1.0, "b": 0.0})
+        assert [finder.strength(t) for t in ("scum", "scum!", "scummy", "a scum, scums", "xscum")] == [2.0, 2.0, 3.0, 5.0, 0.0]
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("1d10t ІDІOТ st\u200bupid 2024 no!") == "idiot idiot stupid 2024 no!"
     finder = toxicity.Finder({"weights": {"scum": 2.0, "vile*": 1.0}, "exceptions": ["pond scum"], "a": 1.0, "b": 0.0})
