@@ -348,17 +348,23 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one row of each component: the one of smallest id (then key) stays."""
+    """``docs`` without all but one row of each component: the one of smallest id (then key) stays.
+
+    Rows without words belong to no component and stay, repeated ones too.
+    """
     got = stored(joined(docs.select("doc_id", "text")))
     stay = got.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x"))
     gone = got.join(cut(stay.select("component_id", F.col("x.key").alias("stay"))), "component_id").filter("key <> stay and n_shingles > 0")
     gone = cut(gone.select("key").distinct())
-    keys = keyed(docs.select("doc_id", "text"))
-    if gone.count() == 0:
-        return docs
-    if dict(keys.dtypes)["key"] and got.filter("doc_id is null or key <> doc_id").limit(1).count():
+    n = gone.count()
+    if got.filter("doc_id is null or key <> doc_id").limit(1).count():  # keys are hashes, so rows may repeat
         own = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-        own = own.dropDuplicates(["_key"])
+        blank = small(cut(got.filter("n_shingles = 0").select(F.col("key").alias("_key")).distinct()))
+        own = own.join(blank, "_key", "left_anti").dropDuplicates(["_key"]).unionByName(own.join(blank, "_key", "left_semi"))
+    elif n == 0:
+        return docs
     else:
         own = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if n == 0:
+        return own.select(*docs.columns)
     return own.join(small(gone.withColumnRenamed("key", "_key")), "_key", "left_anti").drop("_key")

@@ -400,6 +400,16 @@ def edited(text, n):
     return " ".join(ws)
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_one_of_repeated_rows(spark, other):
+    """Repeated rows with words become one, those without stay, whether or not another duplicate goes."""
+    rows = [(1, "one two three four five six seven eight"), (1, "one two three four five six seven eight"), (2, "nine ten eleven twelve"), (3, ""), (3, ""), (4, None), (4, None)]
+    more = [(5, "nine ten eleven twelve")] if other else []
+    table = spark.createDataFrame(rows + more, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in ngram_join.one_of_each(table).collect())
+    assert kept == Counter([rows[0], *rows[2:]])
+
+
 @pytest.mark.parametrize("frequent", [32, 2])
 def test_ngram_join(spark, docs, repeated, frequent, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
