@@ -14,7 +14,10 @@ from kassabon.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no language: null texts and texts without a letter."""
+    """Drops documents that have no language: null texts and texts without a letter.
+
+    Only 'und' is rejected: the language found and its score decide nothing, ``lang`` stays as given.
+    """
     told = language.identify(docs, docs.select("doc_id", "lang", "text"), out="_told")
     return told.filter(F.col("_told.lang") != language.UNKNOWN).select(*docs.columns)
 
