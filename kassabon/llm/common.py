@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table is broadcast only after it was counted and found at most this long.
 BROADCAST_ROWS = 500_000
@@ -118,7 +119,16 @@ def unique_ids(docs: DataFrame) -> bool:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text) with a key of each row: ``doc_id`` where that is unique, else a hash of id and text."""
+    """(key, doc_id, text) with a key of each row: ``doc_id`` where that is a whole number and unique, else a hash of id and text."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.col("doc_id").cast("long") if unique_ids(docs) else F.xxhash64("doc_id", "text")
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    key = F.col("doc_id").cast("long") if whole and unique_ids(docs) else F.xxhash64("doc_id", "text")
     return own.select(key.alias("key"), "doc_id", "text")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,26 +1,29 @@
 """Self-join of documents by Jaccard similarity of word shingles, with token-combination prefixes.
 
-A document's shingles in order of their hash have a prefix that it must share with every
-document similar enough: of its first n - ceil(t n) + k shingles at least k are common to both.
-With k = 1 + floor(0.15 n) that extended prefix is about a third of a long document; of a short
-one it is the whole. How many
-documents have a shingle in their prefix is counted over all documents. In order of that count,
-two similar documents also share one of the shingles that are left when each drops its most
-frequent ones, as many as it can (see ``dropped``); shingles that nobody else has need no entry.
-What is left is indexed by single shingles where they are rare. Where frequent shingles are left
-too, pairs of frequent ones are indexed that stand at most GAP apart among the frequent ones of
-the prefix: of k common ones, two neighbours do so in both documents. Short documents, whose k is
-small, index frequent shingles singly.
-
-Candidates are sifted by size and by sketches of 256 parities, which only drop pairs that can't be
-similar enough, and verified on the texts. A list of documents under one index key is first compared
-with one of its documents, which links most groups of near copies with as many comparisons as
-documents; only lists that still hold several components are compared in full, across components.
+How many distinct sets have a shingle is counted over all documents. Each document's shingles stand
+in order of that count, rarest first. Of two documents similar enough, each has at most
+n - ceil(t (n + m) / (1 + t)) shingles that the other one lacks, so they share one of as many and
+one more from the front (the prefix). Rare shingles of the prefix are indexed singly. Frequent ones
+are dealt to classes by their hash and indexed in pairs of a class; the prefix is extended by what
+pairs need, so that dropping what the other one lacks still leaves a rare shingle or a pair.
+
+An index entry knows its slack: the largest overlap for which it still belongs to the prefix. Two
+entries only make a candidate where both allow the overlap that their sizes demand.
+
+Shingles travel packed: each task sorts those of a batch of documents, counts repeats within it and
+sends every part of the hash range one row of coded hashes; counts come back the same way, batch by
+batch. So a shingle costs a few bytes, and one that every document holds is one entry of a batch.
+
+The documents under one index key are first compared with the most typical of them (the one with
+the smallest share of shingles that nobody else has), which links a group of near copies with as
+many comparisons as documents; what is left is compared across components. Candidates are verified
+on their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +31,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, keyed, ship, small, stored
+from .common import cut, free_name, keyed, ship, small, stored, unique_ids
 from .graph import components
 
 SHINGLE = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: A shingle in the prefixes of more distinct sets than this is frequent.
-FREQUENT = 64
-GAP = 6
-#: Sizes up to which frequent shingles are indexed singly, and from which in pairs.
-SINGLE_TO, PAIRS_FROM = 35, 27
-#: Sizes up to which the prefix is the whole document.
-WHOLE_TO = 160
-#: Rounds against one document of each list at most, before lists are compared in full.
-ROUNDS = 6
-#: Comparisons of sketches for each index row that a comparison in full may take before the last round.
-FULL = 200
+#: A shingle of more distinct sets than this is frequent.
+FREQUENT = 256
+#: Shingles that a task sorts at a time, and of one part of the hash range: a few dozen MB.
+BATCH = 1 << 20
+#: Documents of a batch at most, so that two bytes number them.
+BATCH_DOCS = 1 << 16
+#: Texts that one row of a popular document's text is compared with, roughly.
+CHUNK = 1 << 10
 #: Bytes of text that are hashed at a time.
 AT_ONCE = 1 << 20
 
@@ -145,115 +146,191 @@ def shingle_set(ws: list[bytes]) -> set:
     return set(zip(*(ws[i:] for i in range(SHINGLE)), strict=False))
 
 
-def kept(n: int) -> int:
+def kept(n):
     """ceil(t n): what any similar document shares at least."""
     return -(-LEAST * n // 100)
 
 
-def common(n: int) -> int:
-    """k: how many shingles two similar documents share in their prefixes.
-
-    A short document's prefix is all of it, so that a passage it has in common with many others
-    is left out of the index unless it makes up most of the document.
-    """
-    return kept(n) if n <= WHOLE_TO else 1 + 15 * n // 100
-
-
-def prefix(n: int) -> int:
-    return min(n, n - kept(n) + common(n))
-
-
-def dropped(n: int) -> int:
-    """How many of its most frequent prefix shingles a document may leave out.
-
-    Two similar documents share k shingles of their prefixes, k the smaller of theirs. The
-    rarest shared one is followed, in order of count, by the k - 1 others.
-    """
-    least = common(kept(n))
-    return (min(least, common(WHOLE_TO + 1)) if kept(n) <= WHOLE_TO < 100 * n // LEAST else least) - 1
-
-
-#: 256 bits in four words: bit i is the parity of the shingles whose hash ends in i.
-SKETCH = ("s0", "s1", "s2", "s3")
-_SETS = "key long, doc_id long, n long, sig_a long, sig_b long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def close(left: tuple[str, ...], right: tuple[str, ...], m: str, n: str):
-    """Whether sketches allow the similarity: each bit in which they differ stands for a shingle that only one has."""
-    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right, strict=True)), F.lit(0))
-    return apart * (100 + LEAST) <= (F.col(m) + F.col(n)) * (100 - LEAST)
+def classes_of(band):
+    """How many classes frequent shingles are dealt to, for documents of 2^band shingles or more."""
+    return np.maximum(1, (1 << np.asarray(band)) // 16)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, digest, sketch and prefix of each text's set, in one pass over the texts."""
+    """Size and digest of each text's set."""
     hasher = Hasher()
     for batch in batches:
-        key, doc_id, made = batch.column("key"), batch.column("doc_id"), []
-        at = size = 0
-
-        def out() -> pa.RecordBatch:
-            rows = slice(at, at + len(made))  # noqa: B023
-            n, digests, sketches, prefixes = zip(*made, strict=True)  # noqa: B023
-            sig = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            s = np.stack(sketches)
-            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-            columns = {"key": key.slice(rows.start, len(made)), "doc_id": doc_id.slice(rows.start, len(made)), "n": pa.array(n, pa.int64())}  # noqa: B023
-            columns |= {"sig_a": pa.array(sig[:, 0]), "sig_b": pa.array(sig[:, 1])} | {c: pa.array(s[:, i]) for i, c in enumerate(SKETCH)}
-            columns["prefix"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            return pa.RecordBatch.from_pydict(columns)
-
+        n, digests = [], []
         for h in hasher.sets(batch.column("text").to_pylist()):
-            made.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), sketch(h), h[: prefix(len(h))].view(np.int64)))
-            size += len(made[-1][3])
-            if size >= 200_000:
-                yield out()
-                at, size, made = at + len(made), 0, []
-        if made:
-            yield out()
-
-
-def index_keys(n: int, pos: np.ndarray, h: np.ndarray, count: np.ndarray, frequent: int = FREQUENT) -> np.ndarray:
-    """Keys under which a document of n shingles is indexed, from those of its prefix that others have too (by position).
-
-    The other shingles of the prefix are its own and come first in order of count.
+            n.append(len(h))
+            digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+        sig = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "sig_a": pa.array(sig[:, 0]), "sig_b": pa.array(sig[:, 1])})
+
+
+# ---------------------------------------------------------------- packed shingles
+
+#: Bits of a hash that travel; those that fall together only add candidates.
+BITS = 48
+
+
+def packed(a: np.ndarray, width: int, rising: bool = False) -> bytes:
+    """Whole numbers below 256^width, byte by byte; of rising ones the steps."""
+    a = a.astype("<u8")
+    if rising and len(a):
+        a = np.concatenate([a[:1], a[1:] - a[:-1]])
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def unpacked(data: bytes, width: int, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    out = out.view("<u8").ravel()
+    return np.cumsum(out, dtype=np.uint64) if rising else out
+
+
+#: Rows of a batch. Part -1 and below: the batch itself, with its keys, sizes, the hashes that several of its
+#: documents have, how many and which. Other parts: hashes of one document and its number, then hashes of several and how many.
+_PACKED = "part int, batch long, a binary, b binary, c binary, d binary, e binary"
+_COLUMNS = ["part", "batch", "a", "b", "c", "d", "e"]
+
+
+def _dealt(parts: int):
+    """Batches of documents as packed rows for ``parts`` parts of the hash range."""
+    edges = np.array([-(-p * 2**BITS // parts) for p in range(parts + 1)], np.uint64)
+
+    def rows(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(h) for h in sets])
+        h = np.concatenate(sets) >> np.uint64(64 - BITS)
+        order = np.argsort(h, kind="stable")
+        h, who = h[order], np.repeat(np.arange(len(n)), n)[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        times = np.diff(np.append(first, len(h)))
+        several = np.repeat(times > 1, times)
+        one, one_who = h[~several], who[~several]
+        many, count = h[first[times > 1]], times[times > 1]
+        out = [(-1 - keys[0] % parts, keys[0], np.array(keys, np.int64).tobytes(), packed(n, 4), packed(many, 6, True), packed(count, 4), packed(who[several], 2))]
+        x, y = np.searchsorted(one, edges), np.searchsorted(many, edges)
+        for p in range(parts):
+            if x[p] < x[p + 1] or y[p] < y[p + 1]:
+                ones, manys = slice(x[p], x[p + 1]), slice(y[p], y[p + 1])
+                out.append((p, keys[0], packed(one[ones], 6, True), packed(one_who[ones], 2), packed(many[manys], 6, True), packed(count[manys], 4), None))
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(_COLUMNS, zip(*out, strict=True), types, strict=True)})
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        keys, sets, size = [], [], 0
+        for batch in batches:
+            for key, h in zip(batch.column("key").to_pylist(), hasher.sets(batch.column("text").to_pylist()), strict=True):
+                if not len(h):
+                    continue
+                if size and (size + len(h) > BATCH or len(keys) == BATCH_DOCS):
+                    yield rows(keys, sets)
+                    keys, sets, size = [], [], 0
+                keys.append(key)
+                sets.append(h)
+                size += len(h)
+        if keys:
+            yield rows(keys, sets)
+
+    return emit
+
+
+def _counted(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the hash range, the hashes that several documents have, with their counts, for each batch.
+
+    Batches themselves pass unchanged. Columns: hashes of one document of the batch, its number, their counts; hashes of several, their counts.
     """
-    order = np.lexsort((h, count))
-    own = prefix(n) - len(h)
-    left = order[: max(0, prefix(n) - dropped(n) - own)]
-    often = count[left] > frequent
-    if n <= SINGLE_TO or not often.any():
-        single = h[left]
-    else:
-        single = h[left[~often]]
-    if n < PAIRS_FROM or not often.any():
-        return single
-    f = h[count > frequent]
-    pairs = [mixed(f[:-g] * _factors[0] + mixed(f[g:] * _factors[1])) for g in range(1, min(GAP, len(f) - 1) + 1)]
-    return np.unique(np.concatenate([single, *pairs]))
-
-
-def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ik, owner, sizes, which = [], [], [], []
-        for at, (key, n, tokens) in enumerate(zip(batch["key"], batch["n"], batch["tokens"], strict=True)):
-            if prefix(n) - len(tokens) >= prefix(n) - dropped(n):
-                continue  # its own shingles fill what is left
-            got = sorted((t["pos"], t["h"], t["c"]) for t in tokens)
-            pos, h, c = (np.array(x, np.int64) for x in zip(*got, strict=True))
-            keys = index_keys(int(n), pos, h.view(np.uint64), c).view(np.int64)
-            ik.append(keys)
-            which.append(at)
-            owner.append(np.full(len(keys), key, np.int64))
-            sizes.append(np.full(len(keys), n, np.int32))
-        if ik:
-            spread = np.repeat(np.array(which), [len(x) for x in ik])
-            kept_columns = {c: batch[c].to_numpy()[spread] for c in SKETCH}
-            yield pd.DataFrame({"ik": np.concatenate(ik), "key": np.concatenate(owner), "n": np.concatenate(sizes)} | kept_columns)
+    if frame["part"].iat[0] < 0:
+        return frame
+    one = [unpacked(x, 6, True) for x in frame["a"]]
+    many = [unpacked(x, 6, True) for x in frame["c"]]
+    sizes = [len(x) for pair in zip(one, many, strict=True) for x in pair]
+    h = np.concatenate([x for pair in zip(one, many, strict=True) for x in pair])
+    times = np.concatenate([x for a, d in zip(one, frame["d"], strict=True) for x in (np.ones(len(a), np.int64), unpacked(d, 4).astype(np.int64))])
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    total = np.add.reduceat(times[order], first)
+    count = np.empty(len(h), np.int64)
+    count[order] = np.repeat(total, np.diff(np.append(first, len(h))))
+    ends, rows = np.cumsum(sizes), []
+    for i, (part, batch, who) in enumerate(zip(frame["part"], frame["batch"], frame["b"], strict=True)):
+        c, d = count[ends[2 * i] - sizes[2 * i] : ends[2 * i]], count[ends[2 * i] : ends[2 * i + 1]]
+        shared = c > 1
+        if shared.any() or len(d):
+            rows.append((part, batch, packed(one[i][shared], 6, True), packed(unpacked(who, 2)[shared], 2), packed(c[shared], 5), packed(many[i], 6, True), packed(d, 5)))
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def entries(n: np.ndarray, who: np.ndarray, h: np.ndarray, c: np.ndarray, frequent: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index key, document, slack) for documents of ``n`` shingles, from those that others have too: document, hash and count.
+
+    A shingle's level is how many the other document may lack before it is needed: in order of
+    count, rare shingles raise it by one each, frequent ones from the second of their class on.
+    """
+    frequent = FREQUENT if frequent is None else frequent
+    order = np.lexsort((h, c, who))
+    who, h, c = who[order], h[order], c[order]
+    shared = np.bincount(who, minlength=len(n))
+    starts = np.cumsum(shared) - shared
+    most = n - kept(n)
+    level = np.arange(len(who)) - starts[who] + (n - shared)[who]
+    often = c > frequent
+    rare = ~often & (level <= most[who])
+    out = [(h[rare], who[rare], level[rare])]
+    # bands of sizes: a pair of documents meets in the band of the larger one
+    band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+    wide = np.floor(np.log2(np.maximum(n * 100 // LEAST, 1))).astype(np.int64)
+    spot = np.flatnonzero(often)
+    below = (n - np.bincount(who[spot], minlength=len(n)))[who[spot]]  # own and rare shingles come first
+    for up in (False, True):
+        use = spot if not up else spot[(wide > band)[who[spot]]]
+        base = below if not up else below[(wide > band)[who[spot]]]
+        if not len(use):
+            continue
+        at = (wide if up else band)[who[use]]
+        kind = h[use] % classes_of(at).astype(np.uint64)
+        by = np.lexsort((use, kind, who[use]))
+        same = np.append(False, (who[use][by][1:] == who[use][by][:-1]) & (kind[by][1:] == kind[by][:-1]))
+        later = np.empty(len(use), np.int64)
+        later[by] = same  # whether another of its class comes before
+        new = np.append(True, who[use][1:] != who[use][:-1])
+        before = np.cumsum(later) - later
+        own = base + before - np.repeat(before[new], np.diff(np.append(np.flatnonzero(new), len(use))))
+        keep = (own <= most[who[use]])[by]
+        group = np.cumsum(~same)[keep]
+        by = by[keep]
+        step = 1
+        while step < len(by):
+            pair = np.flatnonzero(group[step:] == group[:-step])
+            if not len(pair):
+                break
+            x, y = by[pair], by[pair + step]
+            key = mixed(h[use[x]] * _factors[0] + mixed(h[use[y]] * _factors[1] + at[y].astype(np.uint64)))
+            out.append((key, who[use[y]], own[y]))
+            step += 1
+    key, who, level = (np.concatenate(x) for x in zip(*out, strict=True))
+    return key.astype(np.uint64), who, n[who] - level
+
+
+def _indexed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Index entries of a batch, from its row and the counts of its hashes in all parts."""
+    own = frame["part"].to_numpy() < 0
+    (batch,), got = frame[own].itertuples(index=False), frame[~own]
+    keys, n = np.frombuffer(batch.a, np.int64), unpacked(batch.b, 4).astype(np.int64)
+    many, times, which = unpacked(batch.c, 6, True), unpacked(batch.d, 4).astype(np.int64), unpacked(batch.e, 2).astype(np.int64)
+    none = np.zeros(0, np.uint64)
+    gather = lambda column, width, rising=False: np.concatenate([none, *(unpacked(x, width, rising) for x in got[column])])
+    known, total = gather("d", 6, True), gather("e", 5).astype(np.int64)
+    total = total[np.argsort(known, kind="stable")]  # of ``many``, in its order
+    who = np.concatenate([gather("b", 2).astype(np.int64), which])
+    h = np.concatenate([gather("a", 6, True), np.repeat(many, times)])
+    c = np.concatenate([gather("c", 5).astype(np.int64), np.repeat(total, times)])
+    key, at, slack = entries(n, who, h, c)
+    alone = n - np.bincount(who, minlength=len(n))
+    return pd.DataFrame({"ik": key.view(np.int64), "key": keys[at], "n": n[at], "slack": slack, "alone": (1000 * alone // np.maximum(n, 1))[at]})
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,54 +347,44 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts are similar enough; only texts that occur in a pair are moved."""
+    """Those (a, b) of ``pairs`` whose texts are similar enough; only texts that occur in a pair are moved.
+
+    The text of a document with many partners goes out in several copies, each for about CHUNK of them.
+    """
     ids = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     texts = docs.select("key", "text").join(small(ids), "key", "left_semi")
-    moved = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    moved = moved.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("copies")).filter("copies > 1")
+    popular = small(cut(degree))
+    dealt = pairs.join(popular, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    mine = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).join(popular, "a", "left")
+    mine = mine.select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    moved = dealt.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(mine, ["a", "copy"])
     return stored(moved.select("a", "b", "ta", "tb").mapInPandas(_similar, "a long, b long"))
 
 
-def fits(m: str, n: str):
-    """Sizes that allow the similarity."""
-    return (F.least(m, n) * 100) >= (F.greatest(m, n) * LEAST)
+def allowed(*slacks):
+    """Whether both entries allow the overlap that sizes m and n demand: s (1 + t) >= t (m + n)."""
+    return F.least(*slacks) * (100 + LEAST) >= (F.col("m") + F.col("n")) * LEAST
 
 
 def links(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as all links."""
-    done, found, full = None, None, None
-    rows = index.select("ik", "key", "n", *SKETCH, F.col("key").alias("comp"))
-    theirs = tuple(f"t{c}" for c in SKETCH)
-    for turn in range(ROUNDS + 1):
-        order = F.xxhash64("key", F.lit(turn))
-        hub = [F.min_by(c, order).alias(name) for c, name in zip(("key", "n", *SKETCH), ("a", "m", *theirs), strict=True)]
-        sizes = stored(rows.groupBy("ik").agg(F.count(F.lit(1)).alias("c"), *hub).filter("c > 1"))
-        load = sizes.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("full"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
-        idle = full is not None and load["full"] > 0.7 * full  # a round that settled little; another would, too
-        full = load["full"]
-        in_full = turn > 0 and (turn == ROUNDS or idle or full <= FULL * load["rows"] + 1_000_000)
-        if load["rows"] == 0:
-            break
-        if in_full:
-            left = rows.select("ik", F.col("key").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"), *[F.col(c).alias(t) for c, t in zip(SKETCH, theirs, strict=True)])
-            right = rows.select("ik", F.col("key").alias("b"), "n", *SKETCH, F.col("comp").alias("cb"))
-            pairs = left.join(right, "ik").filter("a < b and ca <> cb")
-        else:
-            pairs = rows.select("ik", F.col("key").alias("b"), "n", *SKETCH).join(sizes.drop("c"), "ik").filter("a <> b")
-        pairs = pairs.filter(fits("m", "n") & close(theirs, SKETCH, "m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stored(pairs)
-        if done is not None:
-            pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-        done = pairs if done is None else done.unionByName(pairs)
-        new = verified(pairs, docs)
-        found = new if found is None else found.unionByName(new)
-        if in_full:
-            break
-        comps = components(found)
-        labelled = rows.drop("comp").join(comps, "key", "left").select("ik", "key", "n", *SKETCH, F.coalesce("comp", "key").alias("comp"))
-        mixed_lists = labelled.groupBy("ik").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("ik")
-        rows = stored(labelled.join(stored(mixed_lists), "ik", "left_semi"))
-    return found if found is not None else index.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    hub = F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("m"), F.col("slack").alias("room")), F.struct("alone", "key")).alias("hub")
+    lists = index.groupBy("ik").agg(F.count(F.lit(1)).alias("size"), hub).filter("size > 1")
+    pairs = index.select("ik", F.col("key").alias("b"), "n", "slack").join(lists.select("ik", "hub.*"), "ik")
+    pairs = pairs.filter(F.col("a") != F.col("b")).filter(allowed("room", "slack")).select("a", "b").distinct()
+    hubs = stored(pairs)
+    found = verified(hubs, docs)
+    comps = components(found)
+    rows = index.join(small(comps), "key", "left").select("ik", "key", "n", "slack", F.coalesce("comp", "key").alias("comp"))
+    mixed_lists = rows.groupBy("ik").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("ik")
+    rows = stored(rows.join(mixed_lists, "ik", "left_semi"))
+    left = rows.select("ik", F.col("key").alias("a"), F.col("n").alias("m"), F.col("slack").alias("room"), F.col("comp").alias("ca"))
+    right = rows.select("ik", F.col("key").alias("b"), "n", "slack", F.col("comp").alias("cb"))
+    rest = left.join(right, "ik").filter("a < b and ca <> cb").filter(allowed("room", "slack")).select("a", "b").distinct()
+    known = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(known, ["a", "b"], "left_anti"))
+    return found.unionByName(verified(rest, docs))
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -326,45 +393,47 @@ def joined(docs: DataFrame) -> DataFrame:
     Rows link where 100 * intersection >= 80 * union of their shingle sets; component_id is the
     smallest doc_id that links reach. Null and word-less texts have no shingles and stay alone.
     Equal sets link by definition and are compared once. Repeated rows have the same component.
+    Ids may be of any type that has an order.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = keyed(docs)
-    sets = stored(docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_described, _SETS))
-    reps = stored(sets.filter("n > 0").groupBy("sig_a", "sig_b").agg(F.min("key").alias("rep")))
-    copies = cut(sets.join(reps, ["sig_a", "sig_b"]).filter("key <> rep").select("key"))
-    alone = cut(sets.filter("n = 0").select("key"))
-    skip = copies.unionByName(alone).distinct()
-    single = sets.join(small(skip), "key", "left_anti")
-    counts = stored(single.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    tokens = single.select("key", F.posexplode("prefix").alias("pos", "h")).join(counts, "h")
-    tokens = tokens.groupBy("key").agg(F.collect_list(F.struct("pos", "h", "c")).alias("tokens"))
-    tokens = tokens.join(single.select("key", "n", *SKETCH), "key")
-    index = stored(tokens.mapInPandas(_indexed, "ik long, key long, n int, s0 long, s1 long, s2 long, s3 long"))
+    sets = stored(docs.select("key", "doc_id", "text").mapInArrow(_described, f"key long, doc_id {kind}, n long, sig_a long, sig_b long"))
+    reps = stored(sets.filter("n > 0").groupBy("sig_a", "sig_b").agg(F.min("key").alias("rep"), F.min("n").alias("n"), (F.count(F.lit(1)) > 1).alias("several")))
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    copied = small(reps.filter("several").select("sig_a", "sig_b", "rep"))
+    of = sets.join(copied, ["sig_a", "sig_b"], "left").select("key", "doc_id", "n", F.coalesce("rep", "key").alias("rep"))
+    skip = cut(of.filter("n = 0 or key <> rep").select("key").distinct())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BATCH))
+    single = docs.select("key", "text").join(small(skip), "key", "left_anti")
+    if not unique_ids(sets):  # rows repeated whole have one key
+        single = single.dropDuplicates(["key"])
+    dealt = single.mapInArrow(_dealt(parts), _PACKED).groupBy("part").applyInPandas(_counted, _PACKED)
+    index = stored(dealt.groupBy("batch").applyInPandas(_indexed, "ik long, key long, n long, slack long, alone long"))
     comps = components(links(docs, index))
-    of = sets.join(reps, ["sig_a", "sig_b"], "left").join(comps.withColumnRenamed("key", "rep"), "rep", "left")
-    of = stored(of.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "key").alias("comp"), (F.col("n") == 0).alias("alone")))
-    least = cut(of.filter("not alone").groupBy("comp").agg(F.min("doc_id").alias("least")))
-    return of.join(least, "comp", "left").select("key", "doc_id", "n_shingles", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    of = of.join(small(comps.withColumnRenamed("key", "rep")), "rep", "left")
+    of = stored(of.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("comp")))
+    least = small(cut(of.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "least")))
+    own = of.join(least, "comp", "left")
+    return own.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: the one of smallest id (then key) stays.
 
-    Rows without words belong to no component and stay, repeated ones too.
+    Rows without words belong to no component and stay, repeated ones too. Of rows that repeat
+    an id and a text one stays, whatever else the table holds.
     """
     got = stored(joined(docs.select("doc_id", "text")))
-    stay = got.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x"))
-    gone = got.join(cut(stay.select("component_id", F.col("x.key").alias("stay"))), "component_id").filter("key <> stay and n_shingles > 0")
-    gone = cut(gone.select("key").distinct())
-    n = gone.count()
-    if got.filter("doc_id is null or key <> doc_id").limit(1).count():  # keys are hashes, so rows may repeat
-        own = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-        blank = small(cut(got.filter("n_shingles = 0").select(F.col("key").alias("_key")).distinct()))
-        own = own.join(blank, "_key", "left_anti").dropDuplicates(["_key"]).unionByName(own.join(blank, "_key", "left_semi"))
-    elif n == 0:
-        return docs
-    else:
-        own = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    if n == 0:
-        return own.select(*docs.columns)
-    return own.join(small(gone.withColumnRenamed("key", "_key")), "_key", "left_anti").drop("_key")
+    stay = got.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    stay = small(cut(stay.select("component_id", F.col("x.key").alias("stay"))))
+    gone = got.filter("n_shingles > 0").join(stay, got["component_id"].eqNullSafe(stay["component_id"])).filter("key <> stay")
+    name = free_name(docs, "key_of_row")
+    gone = small(cut(gone.select(F.col("key").alias(name)).distinct()))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and not got.filter("doc_id is null or key <> doc_id").limit(1).count():
+        return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    own = docs.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))  # keys are hashes, so rows may repeat
+    blank = small(cut(got.filter("n_shingles = 0").select(F.col("key").alias(name)).distinct()))
+    worded = own.join(blank, name, "left_anti").dropDuplicates([name]).join(gone, name, "left_anti")
+    return worded.unionByName(own.join(blank, name, "left_semi")).select(*docs.columns)

@@ -410,12 +410,15 @@ def test_one_of_repeated_rows(spark, other):
     assert kept == Counter([rows[0], *rows[2:]])
 
 
-@pytest.mark.parametrize("frequent", [32, 2])
-def test_ngram_join(spark, docs, repeated, frequent, monkeypatch):
+@pytest.mark.parametrize(("frequent", "batch"), [(256, 1 << 20), (2, 300)])
+def test_ngram_join(spark, docs, repeated, frequent, batch, monkeypatch):
+    """Frequent shingles in pairs or not, documents in one batch or in many."""
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join.index_keys, "__defaults__", (frequent,))
+    monkeypatch.setattr(ngram_join.entries, "__defaults__", (frequent,))
+    monkeypatch.setattr(ngram_join, "BATCH", batch)
     near = [(5000 + i, edited(BASE, i % 5)) for i in range(50)] + [(6000 + i, edited(words(30), 0)[:150] + " " + BASE[:250]) for i in range(20)]
-    table = repeated.unionByName(spark.createDataFrame(near, "doc_id long, text string"), allowMissingColumns=True)
+    far = [(7000 + i, edited(BASE, 8 + i % 9)) for i in range(40)]
+    table = repeated.unionByName(spark.createDataFrame(near + far, "doc_id long, text string"), allowMissingColumns=True)
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(table).collect())
     assert got == plain_components(rows)
@@ -425,31 +428,45 @@ def test_ngram_join(spark, docs, repeated, frequent, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c if n else d for d, n, c in plain_components([(r["doc_id"], r["text"]) for r in docs.collect()])})
 
 
-def test_index_keys_meet():
-    """Any two similar sets share an index key, whatever shingles count as frequent."""
+def test_ngram_join_of_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None), ("c", "other words")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", 2, "a"), ("a", 2, "a"), ("c", 0, "c"), ("c", 1, "c")}
+    clash = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id string, text string, _key int, key_of_row int")
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(clash).collect()) == ["a", "c", "c"]
+
+
+def test_entries_meet():
+    """Any two similar sets share an entry that both allow, whatever shingles count as frequent."""
     for _ in range(1500):
-        n = rng.randint(1, 120)
+        n = rng.randint(1, 150)
         a = rng.sample(range(1, 10**6), n)
         b = list(a)
         for _ in range(rng.randint(0, max(1, n // 8))):
             b[rng.randrange(n)] = rng.randrange(10**6, 2 * 10**6)
         if rng.random() < 0.5:
             b = b[: max(1, n - rng.randint(0, n // 8))]
-        a, b = np.unique(np.array(a, np.uint64)), np.unique(np.array(b, np.uint64))
-        both = len(np.intersect1d(a, b))
+        if rng.random() < 0.3:
+            b = (b + rng.sample(range(2 * 10**6, 3 * 10**6), n))[: rng.randint(len(b), max(len(b), n * 5 // 4))]
+        a, b = set(a), set(b)
+        both = len(a & b)
         if 100 * both < 80 * (len(a) + len(b) - both):
             continue
         often = rng.random()
-        shared = set(np.intersect1d(a, b).tolist())
-        counts = {h: rng.randint(60, 3000) if rng.random() < often else rng.randint(2 if h in shared else 1, 64) for h in np.union1d(a, b).tolist()}
-        keys = []
-        for s in (a, b):
-            p = np.sort(ngram_join.mixed(s))
-            origin = {int(m): int(h) for m, h in zip(ngram_join.mixed(s), s, strict=True)}
-            p = p[: ngram_join.prefix(len(s))]
-            c = np.array([counts[origin[int(m)]] for m in p])
-            keys.append(ngram_join.index_keys(len(s), np.flatnonzero(c > 1), p[c > 1], c[c > 1]))
-        assert len(np.intersect1d(*keys))
+        counts = {h: rng.randint(60, 3000) if rng.random() < often else rng.randint(2 if h in a & b else 1, 64) for h in a | b}
+        shared = [(w, h, counts[h]) for w, s in enumerate((a, b)) for h in s if counts[h] > 1]
+        who, h, c = (np.array(x, t) for x, t in zip(zip(*shared, strict=True), (np.int64, np.uint64, np.int64), strict=True))
+        key, at, slack = ngram_join.entries(np.array([len(a), len(b)]), who, ngram_join.mixed(h), c, rng.choice([1, 64, 256]))
+        room = [{k: s for k, w, s in zip(key.tolist(), at.tolist(), slack.tolist(), strict=True) if w == i} for i in (0, 1)]
+        assert a == b or any(180 * min(room[0][k], room[1][k]) >= 80 * (len(a) + len(b)) for k in room[0].keys() & room[1].keys())
+
+
+def test_packed_numbers():
+    g = np.random.default_rng(5)
+    for n in (0, 1, 7, 1000):
+        x = np.sort(g.integers(0, 1 << 48, n, np.uint64))
+        assert (ngram_join.unpacked(ngram_join.packed(x, 6, True), 6, True) == x).all()
+        assert (ngram_join.unpacked(ngram_join.packed(x % 60000, 2), 2) == x % 60000).all()
 
 
 # ---------------------------------------------------------------- 9 fingerprints
@@ -501,9 +518,3 @@ def test_cascade_is_exact(spark, most_bits):
     assert made.keys is not None or len(made.levels) > 2
     none = url_cascade.cascade(keys.filter("not listed"))
     assert none.flag(keys, "key", "hit").filter("hit").count() == 0
-
-
-def test_no_document_drops_what_a_similar_one_needs():
-    for n in range(1, 2000):
-        partners = range(ngram_join.kept(n), n * 100 // ngram_join.LEAST + 1)
-        assert ngram_join.dropped(n) < min(ngram_join.common(n), *map(ngram_join.common, partners), 10**9)
