@@ -10,9 +10,10 @@ loser tree whose entries carry their common prefix with the last winner, so that
 are never compared again. Neighbours in the merged order tell how far a suffix is repeated to
 the right; an exact comparison of the windows around the anchor settles the left side.
 
-First 80 bytes that occur very often would gather in one task: windows around those anchors are
-compared by grouped aggregations instead: the text around an anchor is counted as a whole, and
-each distinct one is cut into windows once, so that copies add up before anything is moved.
+Equal text around an anchor is one entry of its batch, however often it occurs: where it occurs
+stays with the batch, to which receivers send back the repeated distances of each entry. Heads
+of many places are dealt out by the bytes that follow: windows that reach far to the right of
+their anchor by those, the others by the bytes to its left.
 """
 
 from __future__ import annotations
@@ -25,19 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keyed, ship, stored
+from .common import BROADCAST_ROWS, keyed, ship, small, stored
 
 WINDOW = 200
 KMER = 16
 #: Places of a window at which its anchor may stand, and what every window shares from its anchor on.
 PLACES = 121
 HEAD = WINDOW - PLACES + 1
-#: Heads that occur more often than this are hot; a task holds so many contexts of a head, of some 600 bytes each, at most.
-HOT = 100_000
-#: Receiving partitions of the sorted runs for each shuffle partition of the session.
+#: Bytes to the left of an anchor that the windows of a dealt head's first kind reach at most.
+NEAR = 60
+#: Heads of more places than this are dealt out.
+MANY = 4_096
+#: Bytes of text that are scanned at a time.
 SLICE = 1 << 20
 
 _a, _b, _c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -117,33 +121,37 @@ def _encoded(column: pa.Array) -> list[bytes]:
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's heads and how often it has them."""
     for batch in batches:
         keys = np.array(batch.column("key").to_pylist(), np.int64)
         for a, ends, _, at, _, _, h in _scan(_encoded(batch.column("text"))):
             if len(at):
-                owner = keys[a + np.searchsorted(ends, at, side="right")]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h), "key": pa.array(owner)})
+                row = np.searchsorted(ends, at, side="right")
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[first]), "key": pa.array(keys[a + row[first]]), "n": pa.array(np.diff(np.append(first, len(h))))})
 
 
 # ---------------------------------------------------------------- runs
 
 
 def front_coded(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
-    """A sorted run as bytes: for each (suffix, left side, places) the shared prefix and the rests."""
+    """A sorted run as bytes: for each (suffix, left side, mark) the shared prefix and the rests."""
     out, before = [], b""
-    for right, left, places in entries:
+    for right, left, mark in entries:
         n, most = 0, min(len(before), len(right))
         while n < most and before[n] == right[n]:
             n += 1
-        out += [n.to_bytes(1, "little"), (len(right) - n).to_bytes(1, "little"), len(left).to_bytes(1, "little"), len(places).to_bytes(4, "little"), right[n:], left, places]
+        out += [n.to_bytes(1, "little"), (len(right) - n).to_bytes(1, "little"), len(left).to_bytes(1, "little"), len(mark).to_bytes(1, "little"), right[n:], left, mark]
         before = right
     return zlib.compress(b"".join(out), 1)
 
 
 class Run:
-    """Reads a front-coded run: the current suffix, its prefix shared with the one before, its left side and places."""
+    """Reads a front-coded run: the current suffix, its prefix shared with the one before, its left side and mark."""
 
-    __slots__ = ("data", "at", "right", "shared", "left", "places", "over", "lcp")
+    __slots__ = ("data", "at", "right", "shared", "left", "mark", "over", "lcp")
 
     def __init__(self, blob: bytes):
         self.data, self.at, self.right, self.over, self.lcp = zlib.decompress(blob), 0, b"", False, 0
@@ -154,16 +162,15 @@ class Run:
             self.over = True
             return
         d, at = self.data, self.at
-        n, rest, left = d[at], d[at + 1], d[at + 2]
-        places = int.from_bytes(d[at + 3 : at + 7], "little")
-        at += 7
+        n, rest, left, mark = d[at : at + 4]
+        at += 4
         self.shared, self.right = n, self.right[:n] + d[at : at + rest]
-        self.left, self.places = d[at + rest : at + rest + left], d[at + rest + left : at + rest + left + places]
-        self.at = at + rest + left + places
+        self.left, self.mark = d[at + rest : at + rest + left], d[at + rest + left : at + rest + left + mark]
+        self.at = at + rest + left + mark
 
 
-def merged(blobs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes]]:
-    """(suffix, prefix shared with the one before, left side, places) of all runs in order, by a loser tree.
+def merged(blobs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes, int]]:
+    """(suffix, prefix shared with the one before, left side, mark, run) of all runs in order, by a loser tree.
 
     Every run keeps ``lcp``, its current suffix's common prefix with the last winner. Of two runs
     the one with the larger lcp is smaller, uncompared; only at equal lcp are bytes compared,
@@ -210,7 +217,7 @@ def merged(blobs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes]]:
     top = level[0] if level else 0
     while runs and not runs[top].over:
         run = runs[top]
-        yield run.right, run.lcp, run.left, run.places
+        yield run.right, run.lcp, run.left, run.mark, top
         run.step()
         run.lcp = 0 if run.over else run.shared
         node = (top + size) // 2
@@ -222,128 +229,162 @@ def merged(blobs: list[bytes]) -> Iterator[tuple[bytes, int, bytes, bytes]]:
 # ---------------------------------------------------------------- what the tasks do
 
 
-_PLACE = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
-
+_PLACE = np.dtype([("entry", "<i4"), ("at", "<i4"), ("key", "<i8")])
+_RANGE = np.dtype([("entry", "<i4"), ("most", "<i4"), ("least", "<i4")])
 
-#: Suffixes that a task gathers before it sorts them into runs, and contexts it remembers having sent whole.
+#: Places that a task gathers before it sorts their suffixes into runs.
 RUN = 40_000
-_MOVED = ("part", "run", "c1", "c2", "key", "lo", "hi", "context")
+#: Rows of a batch. Part -1 and below: its places. Other parts: a run, and as the answer ranges of distances.
+_MOVED = "part int, batch long, data binary"
+_COLUMNS = ["part", "batch", "data"]
+
+
+def kinds(right: bytes, left: bytes, least: int, dealt: bool) -> list[tuple[bytes, bytes, int, int]]:
+    """(suffix after a byte for its kind, left side, least distance, what it is dealt by besides its head)."""
+    if not dealt:
+        return [(b"\0" + right, left, least, 0)]
+    out = []
+    if least <= NEAR:
+        out.append((b"\1" + right, left[-NEAR:], least, zlib.crc32(right[: WINDOW - NEAR])))
+    if len(left) > NEAR:
+        least = max(least, NEAR + 1)
+        out.append((b"\2" + right[: WINDOW - least], left, least, zlib.crc32(left[-NEAR - 1 :])))
+    return out
 
 
 def _runs(parts: int):
-    """Sorted runs of the wanted suffixes, one row for each receiving partition; contexts of hot anchors apart (part -1).
+    """Batches of wanted suffixes: their places, and a sorted run for each receiving partition.
 
-    A context is the text from an anchor's first window to the end of its last one, known by its
-    hash; its bytes travel with the first row that a task has of it.
+    An entry's mark: its number in the batch, whether the batch has it several times, and its least distance.
     """
 
-    def flushed(found: dict[int, dict[tuple[bytes, bytes], list]]) -> pd.DataFrame:
-        runs = [front_coded([(right, left, np.array(places, _PLACE).tobytes()) for (right, left), places in sorted(entries.items())]) for entries in found.values()]
-        return pd.DataFrame({"part": np.array(list(found), np.int32), "run": runs, "c1": np.int64(0), "c2": np.int64(0), "key": np.int64(0), "lo": np.int32(0), "hi": np.int32(0), "context": None}, columns=_MOVED)
+    def flushed(found: dict[tuple[int, bytes, bytes, int], int], places: list[tuple[int, int, int]], turn: int) -> pd.DataFrame:
+        spots = np.array(places, _PLACE)
+        times = np.bincount(spots["entry"], minlength=len(found))
+        runs: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        for (part, right, left, least), i in found.items():
+            runs.setdefault(part, []).append((right, left, i.to_bytes(4, "little") + bytes((min(int(times[i]), 2), least))))
+        batch = (TaskContext.get().partitionId() << 32) + turn
+        rows = [(-1 - batch % parts, batch, zlib.compress(spots.tobytes(), 1))]
+        rows += [(part, batch, front_coded(sorted(entries))) for part, entries in runs.items()]
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, dict[tuple[bytes, bytes], list]] = {}
-        held, sent = 0, set()
+        found: dict[tuple[int, bytes, bytes, int], int] = {}
+        places: list[tuple[int, int, int]] = []
+        turn = 0
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            keys, cold, hot = batch["key"].to_numpy(), batch["cold"].to_list(), batch["hot"].to_list()
+            keys = batch["key"].to_numpy()
+            lists = [batch["plain"].to_list(), batch["dealt"].to_list()]
             for a, ends, data, at, lo, hi, h in _scan(texts):
                 row = np.searchsorted(ends, at, side="right")
                 starts = np.concatenate([[0], ends[:-1]])
                 whole = data.tobytes()
-                wanted = [np.concatenate([np.asarray(x, np.int64) for x in own[a : a + len(ends)]] or [h[:0]]) for own in (cold, hot)]
-                for i in np.flatnonzero(np.isin(h, wanted[0])).tolist():
-                    r, p = int(row[i]), int(at[i])
-                    right = whole[p : min(p + WINDOW, int(ends[r]))]
-                    left = whole[int(lo[i]) : p]
-                    s = int(starts[r])
-                    place = (int(keys[a + r]), int(lo[i]) - s, int(hi[i]) - s, p - s)
-                    found.setdefault(int(h[i]) % parts, {}).setdefault((right, left), []).append(place)
-                    held += 1
-                if held >= RUN:
-                    yield flushed(found)
-                    found, held = {}, 0
-                rows = []
-                for i in np.flatnonzero(np.isin(h, wanted[1])).tolist():
-                    r = int(row[i])
-                    s = int(starts[r])
-                    context = whole[int(lo[i]) : int(hi[i]) + WINDOW]
-                    d = hashlib.blake2b(context, digest_size=16).digest()
-                    rows.append((-1, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), int(keys[a + r]), int(lo[i]) - s, int(hi[i]) - s, None if d in sent else context))
-                    sent.add(d)
-                if rows:
-                    yield pd.DataFrame(rows, columns=_MOVED)
-                if len(sent) > RUN:
-                    sent = set()
-        if found:
-            yield flushed(found)
+                for dealt, own in enumerate(lists):
+                    wanted = np.concatenate([np.asarray(x, np.int64) for x in own[a : a + len(ends)]] or [h[:0]])
+                    for i in np.flatnonzero(np.isin(h, wanted)).tolist():
+                        r, p = int(row[i]), int(at[i])
+                        right, left = whole[p : min(p + WINDOW, int(ends[r]))], whole[int(lo[i]) : p]
+                        for right, left, least, more in kinds(right, left, p - int(hi[i]), bool(dealt)):
+                            entry = ((int(h[i]) + more) % parts, right, left, least)
+                            places.append((found.setdefault(entry, len(found)), p - int(starts[r]), int(keys[a + r])))
+                        if len(places) >= RUN:
+                            yield flushed(found, places, turn)
+                            found, places, turn = {}, [], turn + 1
+        if places:
+            yield flushed(found, places, turn)
 
     return emit
 
 
-def repeated(group: list[tuple[bytes, bytes, np.ndarray]], reach: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(key, first window, last window) of the repeated windows around anchors with one head.
+def repeated(group: list[tuple[bytes, bytes, int, int]], reach: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(number in the group, largest, least distance from its anchor) of runs of repeated windows around anchors with one head.
 
-    ``group``: (suffix, left side, places) in order; ``reach``: how far each suffix is repeated
-    to the right. A window that starts l bytes before its anchor needs a reach of WINDOW - l;
-    whether its left side is repeated with it is settled by counting the windows themselves.
+    ``group``: (suffix, left side, least distance, times) in order; ``reach``: how far each suffix
+    is repeated to the right. A window that starts l bytes before its anchor needs a reach of
+    WINDOW - l; whether its left side is repeated with it is settled by counting the windows themselves.
     """
-    contexts = []  # for each place: text around the anchor, the anchor in it, the windows' distances from it
-    for (right, left, places), far in zip(group, reach, strict=True):
-        whole = left + right
-        for key, lo, hi, at in places.tolist():
-            most, least = at - lo, max(at - hi, WINDOW - far)
-            if most >= least:
-                contexts.append((whole, len(left), key, at, most, least))
-    same = Counter((whole[n - most : n - least + WINDOW], most, least) for whole, n, _, _, most, least in contexts)
+    contexts = []  # text around the anchor, the anchor in it, the windows' distances from it
+    for i, ((right, left, least, times), far) in enumerate(zip(group, reach, strict=True)):
+        least = max(least, WINDOW - far)
+        if len(left) >= least:
+            contexts.append((left + right, len(left), len(left), least, times, i))
+    same = Counter()
+    for whole, n, most, least, times, _ in contexts:
+        same[whole[: n - least + WINDOW], most, least] += times
     rest = []
     for c in contexts:
-        whole, n, key, at, most, least = c
-        if same[whole[n - most : n - least + WINDOW], most, least] > 1:
-            yield key, at - most, at - least
+        whole, n, most, least, _, i = c
+        if same[whole[: n - least + WINDOW], most, least] > 1:
+            yield i, most, least
         else:
             rest.append(c)
     if not rest:
         return
     spots: dict[int, list] = {}
-    distances = sorted({d for *_, most, least in rest for d in (most, least)})
-    for d in range(distances[0], distances[-1] + 1):
-        counts = Counter(whole[n - d : n - d + WINDOW] for whole, n, _, _, most, least in contexts if least <= d <= most)
-        for i, (whole, n, _, _, most, least) in enumerate(rest):
+    for d in range(min(c[3] for c in rest), max(c[2] for c in rest) + 1):
+        counts = Counter()
+        for whole, n, most, least, times, _ in contexts:
+            if least <= d <= most:
+                counts[whole[n - d : n - d + WINDOW]] += times
+        for whole, n, most, least, _, i in rest:
             if least <= d <= most and counts[whole[n - d : n - d + WINDOW]] > 1:
                 spots.setdefault(i, []).append(d)
     for i, ds in spots.items():
-        _, _, key, at, _, _ = rest[i]
         first = ds[0]
         for x, y in zip(ds, [*ds[1:], None], strict=True):
             if y != x + 1:
-                yield key, at - x, at - first
+                yield i, x, first
                 first = y
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple[int, int, int]] = []
-    group, shared = [], []
+    """The ranges of repeated distances of each batch's entries, from the runs of one partition. Places pass unchanged."""
+    if frame["part"].iat[0] < 0:
+        return frame
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(frame))]
+    group, marks, shared = [], [], []
 
     def settle() -> None:
-        if len(group) > 1 or group and len(group[0][2]) > 1:
+        if len(group) > 1 or group and group[0][3] > 1:
             reach = []
-            for i, (right, _, places) in enumerate(group):
+            for i, (right, _, _, times) in enumerate(group):
                 far = max(shared[i] if i else 0, shared[i + 1] if i + 1 < len(group) else 0)
-                reach.append(len(right) if len(places) > 1 else far)
-            out.extend(repeated(group, reach))
-
-    before = None
-    for right, lcp, left, places in merged(list(frame["run"])):
-        if before is not None and lcp < HEAD:
+                reach.append(len(right) if times > 1 else far)
+            for i, most, least in repeated(group, reach):
+                run, entry = marks[i]
+                out[run].append((entry, most, least))
+
+    before = False
+    for right, lcp, left, mark, run in merged(list(frame["data"])):
+        if before and lcp <= HEAD:  # with the byte of its kind
             settle()
-            group, shared = [], []
-        group.append((right, left, np.frombuffer(places, _PLACE)))
-        shared.append(lcp)
-        before = right
+            group, marks, shared = [], [], []
+        group.append((right[1:], left, mark[5], mark[4]))
+        marks.append((run, int.from_bytes(mark[:4], "little")))
+        shared.append(lcp - 1)
+        before = True
     settle()
-    key, lo, hi = zip(*out, strict=True) if out else ((), (), ())
-    return pd.DataFrame({"key": np.array(key, np.int64), "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32)})
+    rows = [(part, batch, np.array(got, _RANGE).tobytes()) for part, batch, got in zip(frame["part"], frame["batch"], out, strict=True) if got]
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _placed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Repeated windows of a batch's documents: for each, first and last starts in bytes."""
+    own = frame["part"].to_numpy() < 0
+    places = np.frombuffer(zlib.decompress(frame["data"][own].iat[0]), _PLACE)
+    places = places[np.argsort(places["entry"], kind="stable")]
+    ranges = np.frombuffer(b"".join(frame["data"][~own]), _RANGE)
+    first, last = (np.searchsorted(places["entry"], ranges["entry"], side=s) for s in ("left", "right"))
+    n = last - first
+    each = np.repeat(np.arange(len(n)), n)
+    spot = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[each]]
+    lo, hi = spot["at"] - ranges["most"][each], spot["at"] - ranges["least"][each]
+    order = np.lexsort((lo, spot["key"]))
+    key, cuts = np.unique(spot["key"][order], return_index=True)
+    split = lambda x: np.split(x[order], cuts[1:]) if len(key) else []
+    return pd.DataFrame({"key": key, "lo": split(lo), "hi": split(hi)})
 
 
 def spans_of(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
@@ -374,48 +415,26 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
 
 
-def hot_spans(rows: DataFrame) -> DataFrame:
-    """(key, lo, hi) of repeated windows among contexts (c1, c2, key, lo, hi, context).
-
-    All windows of a context that occurs twice are repeated. Each distinct context is then cut
-    into windows once, however often it occurs; those of single contexts are looked up among all.
-    """
-    contexts = stored(rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("context").alias("context")))
-    same = rows.join(contexts.filter("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("key", "lo", "hi")
-    spots = F.explode(F.sequence(F.lit(0), F.length("context") - WINDOW)).alias("p")
-    windows = contexts.select("c1", "c2", "n", "context", spots).withColumn("w", F.expr(f"substring(context, p + 1, {WINDOW})"))
-    windows = windows.select("c1", "c2", "n", "p", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(97), "w").alias("w2"))
-    again = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w1", "w2"))
-    single = windows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_set("p").alias("ps"))  # PLACES at most
-    first = F.array_sort(F.filter("ps", lambda p: ~F.array_contains("ps", p - 1)))
-    last = F.array_sort(F.filter("ps", lambda p: ~F.array_contains("ps", p + 1)))
-    single = single.select("c1", "c2", F.arrays_zip(first.alias("a"), last.alias("b")).alias("spans"))
-    single = rows.select("c1", "c2", "key", "lo").join(single, ["c1", "c2"]).select("key", F.col("lo").alias("start"), F.inline("spans"))
-    single = single.select("key", (F.col("start") + F.col("a")).cast("int").alias("lo"), (F.col("start") + F.col("b")).cast("int").alias("hi"))
-    return same.unionByName(single)
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, lo, hi) arrays for each document with repeated windows: first and last starts, in bytes. ``docs`` has key and text."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("key", "text")
     long = docs.filter(F.octet_length("text") >= WINDOW)
-    found = stored(long.mapInArrow(_heads, "h long, key long"))
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    counts = stored(counts.select("h", (F.col("c") > HOT).alias("hot")))
-    wanted = found.join(counts, "h")
-    lists = {k: F.collect_set(F.when(F.col("hot") if k == "hot" else ~F.col("hot"), F.col("h"))).alias(k) for k in ("cold", "hot")}
-    wanted = stored(wanted.groupBy("key").agg(lists["cold"], lists["hot"]))
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("cold") + F.size("hot")), F.lit(0)).alias("m")).first()
+    found = stored(long.mapInArrow(_heads, "h long, key long, n long"))
+    counts = stored(found.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1"))
+    many = small(counts.filter(F.col("c") > MANY).select("h"))
+    plain = found.join(many, "h", "left_anti").join(counts.filter(F.col("c") <= MANY).select("h"), "h")
+    wanted = plain.select("key", F.col("h").alias("plain"), F.lit(None).cast("long").alias("dealt"))
+    wanted = wanted.unionByName(found.join(many, "h").select("key", F.lit(None).cast("long").alias("plain"), F.col("h").alias("dealt")))
+    wanted = stored(wanted.groupBy("key").agg(F.collect_list("plain").alias("plain"), F.collect_list("dealt").alias("dealt")))
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("plain") + F.size("dealt")), F.lit(0)).alias("m")).first()
     few = size["n"] <= BROADCAST_ROWS and size["m"] <= 8 * BROADCAST_ROWS  # 32 MB of hashes; a shuffle join beyond
     own = long.join(F.broadcast(wanted) if few else wanted, "key")
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moved = stored(own.mapInPandas(_runs(parts), "part int, run binary, c1 long, c2 long, key long, lo int, hi int, context binary"))
-    cold = moved.filter("part >= 0").select("part", "run").groupBy("part").applyInPandas(_merge, "key long, lo int, hi int")
-    hot = hot_spans(moved.filter("part < 0").drop("part", "run"))
-    spans = cold.unionByName(hot)
-    return stored(spans.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["m"] // RUN))
+    answers = own.mapInPandas(_runs(parts), _MOVED).groupBy("part").applyInPandas(_merge, _MOVED)
+    spans = answers.groupBy("batch").applyInPandas(_placed, "key long, lo array<int>, hi array<int>")
+    return stored(spans.groupBy("key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")))
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -342,10 +342,14 @@ def plain_removal(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [500, 3])
-def test_suffix_dedup(docs, repeated, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    for table in (docs, repeated):
+@pytest.mark.parametrize(("many", "run"), [(4096, 40_000), (3, 50)])
+def test_suffix_dedup(spark, docs, repeated, many, run, monkeypatch):
+    """Heads dealt out or not, in one batch or in many; a passage in surroundings of its own, and one of many copies."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
+    passage = words(70)
+    more = [(8000 + i, words(rng.randint(1, 40)) + passage[: rng.choice([190, 215, 260, 330, 600])] + words(rng.randint(0, 40))) for i in range(30)] + [(8100, (passage[:210] + "\n") * 40)]
+    for table in (docs, repeated.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)):
         rows = table.select("doc_id", "text").collect()
         want = Counter((r["doc_id"], *x) for r, x in zip(rows, plain_removal([r["text"] for r in rows]), strict=True))
         assert want == Counter(tuple(r) for r in suffix_dedup.removed(table).collect())
@@ -362,6 +366,7 @@ def test_merge_of_runs():
                     run.append(e)
         got = list(suffix_dedup.merged([suffix_dedup.front_coded([(e, b"L", b"p") for e in run]) for run in deal]))
         assert [g[0] for g in got] == sorted(e for run in deal for e in run)
+        assert all(deal[g[4]].count(g[0]) for g in got)
         for (x, *_), (y, lcp, *_) in zip(got, got[1:], strict=False):
             n = 0
             while n < min(len(x), len(y)) and x[n] == y[n]:
