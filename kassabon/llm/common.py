@@ -6,8 +6,9 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,13 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where a session of one machine has none (tests) a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext.getCheckpointDir()
         if jsc:
             return jsc
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kassabon-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -126,6 +129,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return own.select(key.alias("key"), "doc_id", "text")
 
 
+_made: dict[str, tuple[bytes, object]] = {}
+
+
+def only(kind: str, data: bytes, make: Callable[[bytes], Any]) -> Any:
+    """What ``make`` makes of ``data``, kept in this process until another model is asked for: workers serve one stage after the other."""
+    if kind not in _made or _made[kind][0] != data:
+        _made.clear()
+        _made[kind] = data, make(data)
+    return _made[kind][1]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 The best segmentation of a text into vocabulary pieces is found from left to right with a
-window of the longest piece's length: of each position only its best score and its first
-boundary since the last commit are kept, and ids are committed as soon as every surviving path
-runs through one boundary. Pieces whose inner characters never hold a word mark make every
-word start such a boundary, and the segments between are then remembered in a bounded table.
+window of the longest piece's length: each boundary extends its best path by every piece that
+starts there, and ids are committed as soon as every surviving path runs through one boundary.
+Pieces whose inner characters never hold a word mark make every word start such a boundary, so
+that the ids committed between two of them can be remembered, in a bounded table.
 """
 
 from __future__ import annotations
@@ -12,25 +12,29 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import only, ship
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments whose ids a process remembers, twice: a full table becomes the older one.
-REMEMBERED = 250_000
-#: Parts up to this length are segmented without commits, if made of the ALPHABET - 1 commonest characters of the pieces.
-SHORT, ALPHABET = 32, 128
+#: Segments whose ids a process remembers, twice: a full table becomes the older one. Some 250 bytes each.
+REMEMBERED = 200_000
+#: Segments longer than this aren't remembered.
+LONGEST = 64
 #: Characters of text that are segmented at a time.
 AT_ONCE = 1 << 20
 NEVER = -(1 << 60)
+LEAF: dict = {}
 #: Scores are whole numbers, so that sums don't depend on where they start.
 SCALE = 1 << 24
 
@@ -55,15 +59,24 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # ids as little-endian 32-bit words
+        self.older: dict[str, bytes] = {}  # ids as 32-bit words
         self.decoded: list[str] = [p.replace(MARK, " ") for p in pieces]
-        self.tables()
+        #: A trie of the pieces: for each next letter the score (NEVER where no piece ends) and what follows.
+        self.trie: dict[str, tuple[int, dict]] = {}
+        for piece in sorted(self.ids):
+            node = self.trie
+            for ch in piece[:-1]:
+                if ch not in node or node[ch][1] is LEAF:
+                    node[ch] = (node[ch][0] if ch in node else NEVER), {}
+                node = node[ch][1]
+            node[piece[-1]] = self.score[piece], LEAF
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
+    def load(cls, data: bytes) -> Vocabulary:
+        """From the bytes of a model file."""
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        model = SentencePieceProcessor(model_proto=data)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
@@ -74,136 +87,74 @@ class Vocabulary:
         return cls(pieces, scores, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     def literal(self, ch: str) -> tuple[int, tuple[int, ...]]:
-        data = ch.encode("utf-8", "surrogatepass")
+        data = (MARK if ch == ESCAPE else ch).encode("utf-8", "surrogatepass")
         return self.byte_score * len(data), tuple(self.byte_ids[b] for b in data)
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+    def stream(self, text: str) -> Iterator[list[int]]:
         """Runs of ids as they are committed; ``text`` has marks for blanks.
 
         At equal scores the longest last piece wins. A mark that the text itself holds has been
-        escaped by ``escape`` and is spelt in bytes.
+        escaped by ``escape`` and is spelt in bytes. Only boundaries since the last commit are held.
         """
-        width, score, ids = self.width, self.score, self.ids
+        trie, known, width, n = self.trie, self.score, self.width, len(text)
         base = 0  # the last committed boundary
-        best, back = {0: 0}, {}
-        first = {0: None}  # each live boundary's first boundary after base
-        for end in range(1, len(text) + 1):
-            top, at, ids_at = -math.inf, -1, ()
-            for start in range(max(base, end - width), end):
-                piece = text[start:end]
-                if piece in score:
-                    s = best[start] + score[piece]
-                    if s > top:
-                        top, at, ids_at = s, start, (ids[piece],)
-            if text[end - 1] not in score:
-                ch = MARK if text[end - 1] == ESCAPE else text[end - 1]
-                cost, spelt = self.literal(ch)
-                if best[end - 1] + cost > top:
-                    top, at, ids_at = best[end - 1] + cost, end - 1, spelt
-            best[end], back[end] = top, (at, ids_at)
-            first[end] = end if at == base else first[at]
-            low = end - width + 1
-            for gone in [b for b in best if b < low and b != base]:
-                del best[gone]
-            live = {first[b] for b in range(max(base, low), end + 1)}
-            while len(live) == 1 and (head := live.pop()) is not None and head < end:
-                yield back.pop(head)[1]  # the only piece that any path has next
-                best.pop(base, None)
-                first.pop(base, None)
-                base = head
-                for b in range(head + 1, end + 1):
-                    at = back[b][0] if b in back else -1
-                    first[b] = b if at == base else first.get(at)
-                first[base] = None
-                live = {first[b] for b in range(max(base, low), end + 1)}
-        path, b = [], len(text)
-        while b > base:
-            at, ids_at = back[b]
-            path.append(ids_at)
-            b = at
-        yield from reversed(path)
-
-    def tables(self) -> None:
-        """A trie of the pieces that are made of the commonest characters, as dense arrays: node 0 is the root, 1 a dead end."""
-        counts: dict[str, int] = {}
-        for piece in self.ids:
-            for ch in piece:
-                counts[ch] = counts.get(ch, 0) + 1
-        chosen = sorted((ch for ch in counts if ch in self.ids), key=lambda ch: (-counts[ch], ch))[: ALPHABET - 1]
-        self.letter = {ch: i + 1 for i, ch in enumerate(chosen)}
-        nexts: list[dict[int, int]] = [{}, {}]
-        ends: dict[int, int] = {}
-        for piece, i in self.ids.items():
-            if all(ch in self.letter for ch in piece):
-                node = 0
-                for ch in piece:
-                    node = nexts[node].setdefault(self.letter[ch], len(nexts))
-                    if node == len(nexts):
-                        nexts.append({})
-                ends[node] = i
-        self.trie = np.ones((len(nexts), ALPHABET), np.int32)
-        for node, out in enumerate(nexts):
-            for ch, to in out.items():
-                self.trie[node, ch] = to
-        self.node_score = np.full(len(nexts), NEVER, np.int64)
-        self.node_id = np.zeros(len(nexts), np.int32)
-        for node, i in ends.items():
-            self.node_score[node], self.node_id[node] = self.score[self.pieces[i]], i
-
-    def brief(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts made of the chosen characters, all in step: from each boundary on to every piece that starts there.
-
-        Parts of bounded length need no commits; the choice is the one that ``stream`` makes.
-        """
-        sizes = np.array([len(p) for p in parts])
-        n, rows = int(sizes.max()), len(parts)
-        codes = np.zeros((n, rows), np.int32)
-        flat = np.fromiter(map(self.letter.__getitem__, "".join(parts)), np.int32)
-        at = np.repeat(np.arange(rows), sizes)
-        codes[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), at] = flat
-        best = np.full((n + 1, rows), NEVER, np.int64)
-        best[0] = 0
-        back, piece = np.zeros((n + 1, rows), np.int32), np.zeros((n + 1, rows), np.int32)
+        best, back = [0], [0]  # of boundaries from base on: score, and where the last piece starts
+        due = 2 * width
         for start in range(n):
-            live = np.flatnonzero(sizes > start)
-            node, base = np.zeros(len(live), np.int32), best[start, live]
-            for end in range(start + 1, min(n, start + self.width) + 1):
-                node = self.trie[node, codes[end - 1, live]]
-                on = node != 1
-                if not on.all():
-                    live, node, base = live[on], node[on], base[on]
-                    if not len(live):
-                        break
-                score = base + self.node_score[node]
-                better = score > best[end, live]
-                who = live[better]
-                best[end, who], back[end, who], piece[end, who] = score[better], start, self.node_id[node[better]]
-        # walk all parts back in step, writing ids from the right end
-        ids, end, spot, every = np.zeros((rows, n), "<i4"), sizes.copy(), np.full(rows, n), np.arange(rows)
-        while len(every):
-            spot[every] -= 1
-            ids[every, spot[every]] = piece[end[every], every]
-            end[every] = back[end[every], every]
-            every = every[end[every] > 0]
-        whole, width = ids.tobytes(), 4 * n
-        return [whole[i * width + 4 * s : (i + 1) * width] for i, s in enumerate(spot.tolist())]
+            if start == due:  # paths that go on end within the window; do they all come through one boundary?
+                due += width
+                live = {e for e in range(start, base + len(best)) if best[e - base] > NEVER}
+                while len(live) > 1:
+                    last = max(live)
+                    live.remove(last)
+                    live.add(back[last - base])
+                (head,) = live
+                if head > base:
+                    yield self.path(text, base, head, back)
+                    del best[: head - base], back[: head - base]
+                    base = head
+            own, most = best[start - base], min(n, start + width)
+            if most - base >= len(best):
+                best += [NEVER] * (2 * width)
+                back += [0] * (2 * width)
+            node, end = trie, start - base
+            for ch in text[start:most]:
+                hit = node.get(ch)
+                if hit is None:
+                    break
+                end += 1
+                gain, node = hit
+                if own + gain > best[end]:
+                    best[end], back[end] = own + gain, start
+            if text[start] not in known:
+                cost = own + self.literal(text[start])[0]
+                if cost > best[start + 1 - base]:
+                    best[start + 1 - base], back[start + 1 - base] = cost, start
+        yield self.path(text, base, n, back)
+
+    def path(self, text: str, base: int, end: int, back: list[int]) -> list[int]:
+        """Ids between two boundaries."""
+        out: list[int] = []
+        at = end
+        while at > base:
+            start = back[at - base]
+            piece = self.ids.get(text[start:at])
+            if piece is None:
+                out += reversed(self.literal(text[start])[1])
+            else:
+                out.append(piece)
+            at = start
+        out.reverse()
+        return out
 
     def remember(self, parts: set[str]) -> None:
         """See that the ids of these parts are in memory."""
         if len(self.memory) + len(parts) > REMEMBERED:  # what wasn't seen since the last time is forgotten
             self.older, self.memory = self.memory, {}
-        new = []
-        for part in [p for p in parts if p not in self.memory]:
-            got = self.older.get(part)
-            if got is not None:
-                self.memory[part] = got
-            elif len(part) <= SHORT and self.letter.keys() >= set(part):
-                new.append(part)
-            else:
-                self.memory[part] = np.array([i for run in self.stream(part) for i in run], "<i4").tobytes()
-        new.sort(key=len)
-        for i in range(0, len(new), 4096):
-            self.memory.update(zip(new[i : i + 4096], self.brief(new[i : i + 4096]), strict=True))
+        memory, older = self.memory, self.older
+        for part in parts:
+            if part not in memory:
+                memory[part] = older.get(part) or array("i", chain.from_iterable(self.stream(part))).tobytes()
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (32-bit) of whole texts, with one blank set before each; an empty text has none."""
@@ -213,10 +164,10 @@ class Vocabulary:
             return
         for first, last in _spans(texts):
             parts = [_segments.findall(MARK + escape(t).replace(" ", MARK)) if t else [] for t in texts[first:last]]
-            self.remember(set(chain.from_iterable(parts)))
-            known = self.memory.__getitem__
+            self.remember({p for p in chain.from_iterable(parts) if len(p) <= LONGEST})
+            known = self.memory.get
             for own in parts:
-                yield np.frombuffer(b"".join(map(known, own)), "<i4")
+                yield np.frombuffer(b"".join([known(p) or array("i", chain.from_iterable(self.stream(p))).tobytes() for p in own]), "<i4")
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text])).tolist()
@@ -249,53 +200,56 @@ def escape(text: str) -> str:
     return text.replace(MARK, ESCAPE) if MARK in text else text
 
 
-_loaded: dict[str, Vocabulary] = {}
+def model_bytes(path: str) -> bytes:
+    """The model file, read by the driver."""
+    return Path(path).read_bytes()
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _loaded:
-        _loaded[path] = Vocabulary.load(path)
-    return _loaded[path]
+def vocabulary(data: bytes) -> Vocabulary:
+    return only("pieces", data, Vocabulary.load)
 
 
 def encoded(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text; null text gives null, empty text no ids."""
-
     ship(docs.sparkSession)
-    @F.pandas_udf("array<int>")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab = vocabulary(path)
+    data = docs.sparkSession.sparkContext.broadcast(model_bytes(path))  # half a MB
+
+    @F.arrow_udf("array<int>")
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocab = vocabulary(data.value)
         for part in parts:
-            null = part.isna().tolist()
-            made = vocab.encode_all(["" if x else t for t, x in zip(part, null, strict=True)])
-            yield pd.Series([None if x else ids for ids, x in zip(made, null, strict=True)], dtype=object)
+            made = list(vocab.encode_all(["" if t is None else t for t in part.to_pylist()]))
+            ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *made])), mask=part.is_null() if part.null_count else None)
 
     return docs.withColumn(out, ids(F.col(text)))
 
 
 def decoded(docs: DataFrame, path: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of every id list; null gives null."""
-
     ship(docs.sparkSession)
-    @F.pandas_udf("string")
-    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab = vocabulary(path)
+    data = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+
+    @F.arrow_udf("string")
+    def texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocab = vocabulary(data.value)
         for part in parts:
-            yield pd.Series([None if x is None else vocab.decode(list(x)) for x in part], dtype=object)
+            yield pa.array([None if x is None else vocab.decode(x) for x in part.to_pylist()], pa.string())
 
     return docs.withColumn(out, texts(F.col(ids)))
 
 
 def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of the ids as little-endian 32-bit words), decoded_sha256 and round_trip for each row.
+    """doc_id, n_ids, ids_sha256 (of the ids as 32-bit words), decoded_sha256 and round_trip for each row.
 
     Null text counts as empty. ``round_trip`` tells whether decoding gave the text again.
     """
-
     ship(docs.sparkSession)
+    data = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+
     @F.pandas_udf("n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(data.value)
         for part in parts:
             rows = []
             texts = part.fillna("").tolist()
