@@ -2,12 +2,15 @@
 
 Each language has a suffix automaton of a bounded sample of its labelled text. A document is
 cut greedily into the longest phrases that occur in that sample; the language that needs the
-fewest phrases per letter-bearing character wins. Parsing runs many documents in step: one look
-into a dense transition table advances every document and language by a character.
+fewest phrases wins, each weighed by the bits that point into its sample (the logarithm of the
+sample's length), so that a shorter sample is no handicap of its own. Parsing runs many documents
+in step: one look into a packed transition table advances every document and language by a symbol.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, only, ship
 
-#: Labelled rows looked at for a language, and characters of them that its automaton holds.
+#: Labelled rows looked at for a language, and characters of them that its automaton holds: whole rows, but for the last.
 SAMPLE_ROWS = 256
-SAMPLE_CHARS = 40_000
-#: Characters taken of one row.
-ROW_CHARS = 1_000
-#: Letters of the sample that get a symbol of their own; other letters share one, and so does
-#: all that stands between letters.
-SYMBOLS = 60
+SAMPLE_CHARS = 80_000
+#: Parts of a language's rows that are ranked apart.
+PARTS = 8
+#: Symbols: what stands between letters, letters of no sample, then each letter of the samples.
+BETWEEN, OTHER = 0, 1
 LETTER = np.array([chr(i).isalpha() for i in range(0x10000)], bool)
 #: Below so many documents still being parsed, they are finished one by one.
 FEW = 12
@@ -32,18 +34,21 @@ UNKNOWN = "und"
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """language -> text of a bounded sample: the rows of smallest hash, ROW_CHARS of each until ``chars`` are reached.
+    """language -> text of a bounded sample: the rows of smallest hash, one after the other until ``chars`` are reached.
 
-    Ranking first within 64 parts of each language keeps a frequent language out of one task.
+    Ranking first within PARTS parts of each language keeps a frequent language out of one task.
+    Of rows that repeat an id and a language the smallest text counts.
     """
     ids = docs.filter("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= rows).drop("r")
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    ids = ids.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= rows).drop("r").distinct()
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= rows)
     picked = F.broadcast(cut(ids.select("doc_id", "lang", "r")))  # at most ``rows`` for a language
-    got = docs.join(picked, ["doc_id", "lang"]).select("lang", "r", F.substring("text", 1, ROW_CHARS).alias("text")).collect()
+    got = docs.join(picked, ["doc_id", "lang"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumn("before", F.coalesce(F.sum(F.char_length("text")).over(order), F.lit(0))).filter(F.col("before") < chars)
     texts: dict[str, str] = {}
-    for row in sorted(got, key=lambda x: (x["lang"], x["r"], x["text"])):
+    for row in sorted(got.select("lang", "r", "text").collect(), key=lambda x: (x["lang"], x["r"])):  # some ``chars`` for a language
         texts[row["lang"]] = (texts.get(row["lang"], "") + "\n" + row["text"].lower())[:chars]
     return texts
 
@@ -78,65 +83,95 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-class Model:
-    """One dense table for all languages.
+def displaced(nexts: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All transitions in one array: that of state s by symbol c is at base[s] + c, if owner says s there.
 
-    Row: state; column: symbol. A value is twice the next state, plus 1 where a new phrase starts.
-    A symbol that the automaton can't follow even from the start is a phrase of its own.
+    States of several transitions look for a place by stepping through pseudorandom ones, the others fill what is free.
     """
+    total = sum(map(len, nexts))
+    size = 2 * total + 2 * width + 64
+    base = np.zeros(len(nexts), np.int32)
+    owner, value = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    used = bytearray(size)
+    at, span = 12345, size - width
+    for s in sorted((s for s, out in enumerate(nexts) if len(out) > 1), key=lambda s: -len(nexts[s])):
+        out = nexts[s]
+        while True:
+            at = (at * 1103515245 + 12345) % 2147483648
+            b = at % span
+            for c in out:
+                if used[b + c]:
+                    break
+            else:
+                break
+        base[s] = b
+        for c, t in out.items():
+            used[b + c] = 1
+            owner[b + c], value[b + c] = s, t
+    ones = [(s, c, t) for s, out in enumerate(nexts) if len(out) == 1 for c, t in out.items()]
+    if ones:
+        s, c, t = np.array(ones, np.int64).T
+        free = width + np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0)[: len(s)]
+        base[s], owner[free], value[free] = free - c, s, t
+    return base, owner, value
+
+
+class Model:
+    """The automata of all languages, their states numbered together."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        counts: dict[str, int] = {}
-        for text in texts.values():
-            for ch in text:
-                if ch.isalpha():
-                    counts[ch] = counts.get(ch, 0) + 1
-        chosen = sorted(counts, key=lambda ch: (-counts[ch], ch))[:SYMBOLS]
-        self.symbol = np.where(LETTER, np.uint8(SYMBOLS + 1), np.uint8(0))
-        for i, ch in enumerate(chosen):
+        letters = sorted({ch for text in texts.values() for ch in text if ch.isalpha()})
+        self.width = len(letters) + 2
+        self.symbol = np.where(LETTER, OTHER, BETWEEN).astype(np.int32)
+        self.far = {}  # beyond the first plane
+        for i, ch in enumerate(letters):
             if ord(ch) < 0x10000:
-                self.symbol[ord(ch)] = i + 1
-        self.width = SYMBOLS + 2
-        tables, self.roots, base = [], [], 0
+                self.symbol[ord(ch)] = i + 2
+            else:
+                self.far[ord(ch)] = i + 2
+        nexts: list[dict[int, int]] = []
+        self.bits, roots = [], []
         for lang in self.langs:
-            nexts = suffix_automaton(self.encode(texts[lang]).tolist())
-            table = np.full((len(nexts), self.width), -1, np.int64)
-            for s, out in enumerate(nexts):
-                for c, t in out.items():
-                    table[s, c] = 2 * (t + base)
-            start = np.where(table[0] < 0, 2 * base, table[0])  # no such symbol at all: a phrase, then the start again
-            table[0] = start + 1
-            missing = table < 0
-            table[missing] = np.broadcast_to(start + 1, table.shape)[missing]
-            tables.append(table)
-            self.roots.append(base)
-            base += len(nexts)
-        self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
+            sample = self.encode(texts[lang]).tolist()
+            first = len(nexts)
+            roots.append(first)
+            nexts += [{c: t + first for c, t in out.items()} for out in suffix_automaton(sample)]
+            self.bits.append(math.log2(len(sample) + 1))
+        self.roots = np.array(roots, np.int32)
+        self.base, self.owner, self.value = displaced(nexts, self.width)
+        #: Where a new phrase leads that starts with a symbol: the start again for one that the sample lacks.
+        self.fresh = np.tile(self.roots[:, None], (1, self.width))
+        for j, root in enumerate(roots):
+            for c, t in nexts[root].items():
+                self.fresh[j, c] = t
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         got = self.symbol[np.minimum(codes, 0xFFFF)]
         if len(got) and codes.max() > 0xFFFF:
             wide = np.flatnonzero(codes > 0xFFFF)
-            got[wide] = [SYMBOLS + 1 if chr(c).isalpha() else 0 for c in codes[wide].tolist()]
-        between = got == 0
-        between[1:] &= got[:-1] == 0
+            got[wide] = [self.far.get(c, OTHER if chr(c).isalpha() else BETWEEN) for c in codes[wide].tolist()]
+        between = got == BETWEEN
+        between[1:] &= got[:-1] == BETWEEN
         between[:1] = False  # one symbol for a run of other characters
         return got[~between]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(documents, languages): phrases that each text needs in each language."""
-        n, k, w = len(texts), len(self.langs), self.width
+        """(documents, languages): phrases that each text needs in each language.
+
+        A symbol that an automaton can't follow starts a phrase; so does the first one, and the one after a symbol that the sample lacks.
+        """
+        n, k = len(texts), len(self.langs)
         out = np.zeros((n, k), np.int64)
         coded = [self.encode(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        joined = np.concatenate([coded[i] for i in order]) if n else np.zeros(0, np.uint8)
+        joined = np.concatenate([coded[i] for i in order]) if n else np.zeros(0, np.int32)
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
         ascending = np.sort(sizes)
-        state = np.tile(np.array(self.roots, np.int32), (n, 1))
+        state = np.tile(self.roots, (n, 1))
         count = np.zeros((n, k), np.int64)
         longest, t, alive = int(sizes.max(initial=0)), 0, n
         while t < longest:
@@ -146,35 +181,33 @@ class Model:
             until = int(ascending[n - alive])  # no document ends before this
             s, c, at = state[:alive], count[:alive], starts[:alive]
             for t in range(t, until):
-                got = self.table[s * w + joined[at + t][:, None]]
-                c += got & 1
-                s = got >> 1
+                symbols = joined[at + t]
+                spot = self.base[s] + symbols[:, None]
+                known = (self.owner[spot] == s) & (s != self.roots)
+                c += ~known
+                s = np.where(known, self.value[spot], self.fresh[:, symbols].T)
             state[:alive] = s
             t = until
-        look = memoryview(self.table)
+        base, owner, value = memoryview(self.base), memoryview(self.owner), memoryview(self.value)
         for row in range(alive if t < longest else 0):
             rest = joined[starts[row] + t : ends[row]].tolist()
             for j in range(k):
-                s, m = int(state[row, j]), 0
+                s, m, root, fresh = int(state[row, j]), 0, int(self.roots[j]), self.fresh[j].tolist()
                 for ch in rest:
-                    v = look[s * w + ch]
-                    m += v & 1
-                    s = v >> 1
+                    spot = base[s] + ch
+                    if s != root and owner[spot] == s:
+                        s = value[spot]
+                    else:
+                        m += 1
+                        s = fresh[ch]
                 count[row, j] += m
         out[order] = count
         return out
 
 
-_models: dict[int, Model] = {}
-
-
-def model_of(texts: dict[str, str]) -> Model:
-    """The model of these samples, built once in each Python process."""
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(texts)
-    return _models[key]
+def model_of(data: bytes) -> Model:
+    """The model of these samples (JSON), built once in each Python process."""
+    return only("language", data, lambda x: Model(json.loads(x)))
 
 
 def judged(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
@@ -189,13 +222,13 @@ def judged(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     if not model.langs:
         return langs, scores
     rows = np.flatnonzero(lettered)
-    counts = model.phrases([lower[i] for i in rows])
-    for i, c in zip(rows.tolist(), counts, strict=True):
+    weighed = model.phrases([lower[i] for i in rows]) * np.array(model.bits)
+    for i, c in zip(rows.tolist(), weighed, strict=True):
         best = int(np.argmin(c))
         others = np.delete(c, best)
         langs[i] = model.langs[best]
         second = float(others.min()) if len(others) else 2.0 * c[best]
-        scores[i] = max(0.0, min(1.0, 1.0 - 0.5 * float(c[best]) / max(second, 1.0)))
+        scores[i] = max(0.0, min(1.0, 1.0 - 0.5 * float(c[best]) / second if second else 0.0))
     return langs, scores
 
 
@@ -206,7 +239,8 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", out: str
     every document ``und``. Other columns and repeated rows stay as they are.
     """
     ship(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(training_rows(training))  # SAMPLE_CHARS for a language
+    samples = json.dumps(training_rows(training), sort_keys=True).encode()
+    given = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_CHARS for a language
 
     @F.pandas_udf("lang string, score double")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
