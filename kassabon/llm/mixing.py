@@ -4,6 +4,7 @@ Documents of a source are laid end to end and cut into blocks of a fixed number
 Output shards of a fixed number of slots draw a source for each slot, so that the counts of a
 shard are a multinomial sample of the targets. The k-th slot of a source takes the block at
 position k of that source's pseudorandom permutation; further epochs use further permutations.
+What a source's target lacks to a whole block is taken from the front of the block that is next.
 Slots and blocks meet in an equi-join on (source, block index), which no hot source can skew.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running, small
+from .common import cut, free_name, running, small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -110,8 +111,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK
     shares = targets(sizes, weights, most)
     blocks = F.ceil(F.col("source_size") / F.lit(float(block)))
     shares = shares.withColumn("blocks", blocks)
-    slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0)
-    shares = cut(shares.withColumn("slots", slots.cast("long")))
+    wish = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    shares = cut(shares.withColumn("wish", wish).withColumn("slots", F.floor(wish)))
     few = small(shares.select(F.col("source").alias("s"), "sidx", "source_size", "target"), 100_000)
     sizes = sizes.join(few, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
@@ -126,22 +127,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK
     end = F.col("a") + F.col("size")
     pieces = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((end - 1) / block))))
     overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
-    pieces = pieces.select("rid", "sidx", "block", overlap.alias("n"))
-    uses = assignment(shares.select("sidx", "blocks", "slots"), shard, seed).groupBy("sidx", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = pieces.join(uses, ["sidx", "block"]).groupBy("rid").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    pieces = pieces.select("rid", "sidx", "block", overlap.alias("n"), (F.greatest("a", F.col("block") * block) - F.col("block") * block).alias("off"))
+    uses = assignment(shares.select("sidx", "blocks", "slots"), shard, seed).select("sidx", "block", F.lit(1).alias("uses"), F.lit(0).cast("long").alias("front"))
+    rest = shares.filter("wish > slots").select("sidx", "blocks", "source_size", F.col("slots").alias("k"), (F.col("wish") - F.col("slots")).alias("part"))
+    rest = rest.withColumn("block", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("sidx"), F.floor(F.col("k") / F.col("blocks")), F.lit(seed)))
+    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    uses = uses.unionByName(rest.select("sidx", "block", F.lit(0).alias("uses"), F.round(F.col("part") * length).cast("long").alias("front")))
+    uses = uses.groupBy("sidx", "block").agg(F.sum("uses").alias("uses"), F.sum("front").alias("front"))
+    own = F.col("n") * F.col("uses") + F.greatest(F.lit(0), F.least(F.col("n"), F.col("front") - F.col("off")))
+    taken = pieces.join(uses, ["sidx", "block"]).groupBy("rid").agg(F.sum(own).alias("taken"))
     return sizes.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def resample(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: the whole part of taken/size, the rest by a hash.
 
-    Documents without words are left out: the mix has no words of theirs.
+    Documents without words are left out: the mix has no words of theirs. Rows repeated whole
+    share what the mix takes of them.
     """
-    docs = docs.withColumn("_rid", F.xxhash64("doc_id", "text", "source"))
-    got = mix(docs.select(F.col("_rid").alias("doc_id"), "source", "text"), **how)
-    share = F.col("taken") / F.col("size")
+    row, times = free_name(docs, "row"), free_name(docs, "times")
+    docs = docs.withColumn(row, F.xxhash64("doc_id", "text", "source"))
+    got = mix(docs.select(F.col(row).alias("doc_id"), "source", "text"), **how)
+    share = F.sum("taken") / F.sum("size")
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = (F.floor(share) + F.when(part < share - F.floor(share), 1).otherwise(0)).cast("int")
-    times = got.filter("size > 0").groupBy("doc_id").agg(F.max(times).alias("_times")).filter("_times > 0")
-    times = times.withColumnRenamed("doc_id", "_rid")
-    return docs.join(times, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_rid", "_times", "_copy")
+    shares = got.filter("size > 0").groupBy("doc_id").agg(share.alias("share"))
+    shares = shares.select(F.col("doc_id").alias(row), (F.floor("share") + F.when(part < F.col("share") - F.floor("share"), 1).otherwise(0)).cast("int").alias(times)).filter(F.col(times) > 0)
+    return docs.join(shares, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, times)

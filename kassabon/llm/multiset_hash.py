@@ -46,10 +46,16 @@ def fingerprint(hashes: Column, signs: Column, total: Column) -> Column:
 
 
 def likeness(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
-    """1 for equal hash lanes, else 1 less the estimated share of shingles that are not in both; 0 to 1."""
+    """1 for equal hash lanes, else 1 less the estimated share of shingles that are not in both; 0 to 1.
+
+    Taken from the lanes as the fingerprint keeps them: differences of sign lanes modulo 2^16,
+    of counts modulo 2^32, each read as the nearest to 0.
+    """
     (h1, s1, n1), (h2, s2, n2) = a, b
-    gap = F.aggregate(F.zip_with(s1, s2, lambda x, y: F.pow((2 * x - n1) - (2 * y - n2), F.lit(2.0))), F.lit(0.0), lambda t, x: t + x)
-    apart = gap / F.lit(2.0 * PAIRS) / (n1 + n2)
+    near = lambda x, bits: F.pmod(x + F.lit(1 << (bits - 1)), F.lit(1 << bits)) - F.lit(1 << (bits - 1))
+    more = near(n1 - n2, 32)
+    gap = F.aggregate(F.zip_with(s1, s2, lambda x, y: F.pow(2 * near(x - y, 16) - more, F.lit(2.0))), F.lit(0.0), lambda t, x: t + x)
+    apart = gap / F.lit(2.0 * PAIRS) / (n1.bitwiseAND(F.lit(LOW)) + n2.bitwiseAND(F.lit(LOW)))
     return F.when(h1 == h2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - apart))
 
 

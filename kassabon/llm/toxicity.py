@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from .common import ship
 from .language import remainder
 
-#: Labelled rows learned from (those of smallest hash), and how many terms and exceptions are kept.
+#: Labelled rows learned from (those of smallest hash).
 SAMPLE_ROWS = 8_000
-TERMS = 2_000
-EXCEPTIONS = 2_000
-#: A term needs so many toxic texts and so large a weight.
+#: Parameters of learning: a term needs so many toxic texts and so large a weight.
 SUPPORT = 3
 LEAST_WEIGHT = 1.9
 PREFIXES = (4, 5, 6, 7, 8)
@@ -67,7 +65,7 @@ def features(words: set[str]) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
 
 
-def learn(rows: list[tuple[str, int]]) -> dict:
+def learn(rows: list[tuple[str, int]], support: int = SUPPORT, least_weight: float = LEAST_WEIGHT) -> dict:
     """Weights, exceptions and the curve, from (text, 0 or 1) pairs; defined, with no terms, for no rows.
 
     A term is a word or the beginning of words. Its weight is a lower bound of its log odds, so
@@ -80,22 +78,22 @@ def learn(rows: list[tuple[str, int]]) -> dict:
             if own == label:
                 found = features(set(words))
                 seen[label].update(found if label else found & frequent)
-        frequent = {t for t, n in seen[1].items() if n >= SUPPORT}
+        frequent = {t for t, n in seen[1].items() if n >= support}
     n1 = sum(label for _, label in split)
     n0 = len(split) - n1
     weights = {}
     for term, a in seen[1].items():
         b = seen[0][term]
         sure = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= SUPPORT and sure >= LEAST_WEIGHT:
+        if a >= support and sure >= least_weight:
             weights[term] = sure
     weights = {t: w for t, w in weights.items() if not any(weights.get(t[:k] + "*", 0) >= w for k in PREFIXES if k + t.endswith("*") < len(t))}
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0])))
     pairs = {0: Counter(), 1: Counter()}
     for words, label in split:
         pairs[label].update({f"{x} {y}" for x, y in zip(words, words[1:], strict=False) if x in weights or y in weights})
     clean = {p: n for p, n in pairs[0].items() if n >= 5 and (n + 0.5) / (n0 + 1) > 2 * (pairs[1][p] + 0.5) / (n1 + 1)}
-    exceptions = sorted(clean, key=lambda p: (-clean[p], p))[:EXCEPTIONS]
+    exceptions = sorted(clean, key=lambda p: (-clean[p], p))
     model = {"weights": weights, "exceptions": exceptions, "a": 1.0, "b": -1.0}
     if n0 and n1:
         finder = Finder(model)
@@ -156,17 +154,20 @@ class Finder:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """A model from at most ``rows`` labelled texts, those whose id has the smallest hash. Null labels and texts don't count."""
+    """A model from at most ``rows`` labelled texts, those whose id has the smallest hash. Null labels and texts don't count.
+
+    Of rows that repeat an id the smallest text counts, so that no more rows than that reach the driver.
+    """
     ids = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    got = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return learn(sorted((r["text"], int(r["toxic"] > 0)) for r in got.collect()))
 
 
 def rated(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a toxicity from 0 to 1 of every whole text; null text is rated as empty."""
     ship(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms and EXCEPTIONS phrases at most
+    given = docs.sparkSession.sparkContext.broadcast(model)  # terms and phrases of SAMPLE_ROWS texts at most
 
     @F.pandas_udf("double")
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,7 +179,11 @@ def rated(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; learned only from labels whose crc32 of the id modulo 5 isn't 0."""
+    """doc_id, held_out, score, predicted for every row; learned only from labels whose crc32 of the id modulo 5 isn't 0.
+
+    Repeated rows are scored alike; null texts as empty ones; an empty table gives no rows, and
+    without labels every text gets the same score below a half.
+    """
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").filter(remainder(5) != 0))
     got = rated(docs.select("doc_id", "text"), model)
     return got.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
