@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassabon.llm import language, mixing, ngram_join, pieces, pii
-from kassabon.llm.common import stored, table
+from kassabon.llm.common import free_name, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Only 'und' is rejected: the language found and its score decide nothing, ``lang`` stays as given.
     """
-    told = language.identify(docs, docs.select("doc_id", "lang", "text"), out="_told")
-    return told.filter(F.col("_told.lang") != language.UNKNOWN).select(*docs.columns)
+    name = free_name(docs, "told")
+    told = language.identify(docs, docs.select("doc_id", "lang", "text"), out=name)
+    return told.filter(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
