@@ -9,7 +9,6 @@ in step: one look into a packed transition table advances every document and lan
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only, ship
+from .common import cut, ship
 
 #: Labelled rows looked at for a language, and characters of them that its automaton holds: whole rows, but for the last.
 SAMPLE_ROWS = 256
@@ -117,7 +116,7 @@ def displaced(nexts: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.n
 
 
 class Model:
-    """The automata of all languages, their states numbered together."""
+    """The automata of all languages, their states numbered together; made by the driver, one language after the other."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
@@ -130,21 +129,21 @@ class Model:
                 self.symbol[ord(ch)] = i + 2
             else:
                 self.far[ord(ch)] = i + 2
-        nexts: list[dict[int, int]] = []
-        self.bits, roots = [], []
-        for lang in self.langs:
+        self.bits, tables, self.roots = [], [], np.zeros(len(self.langs), np.int32)
+        #: Where a new phrase leads that starts with a symbol: the start again for one that the sample lacks.
+        self.fresh = np.zeros((len(self.langs), self.width), np.int32)
+        states = spots = 0
+        for j, lang in enumerate(self.langs):
             sample = self.encode(texts[lang]).tolist()
-            first = len(nexts)
-            roots.append(first)
-            nexts += [{c: t + first for c, t in out.items()} for out in suffix_automaton(sample)]
+            nexts = suffix_automaton(sample)
+            base, owner, value = displaced(nexts, self.width)
+            self.roots[j], self.fresh[j] = states, states
+            for c, t in nexts[0].items():
+                self.fresh[j, c] = t + states
+            tables.append((base + spots, np.where(owner >= 0, owner + states, -1).astype(np.int32), value + states))
+            states, spots = states + len(base), spots + len(owner)
             self.bits.append(math.log2(len(sample) + 1))
-        self.roots = np.array(roots, np.int32)
-        self.base, self.owner, self.value = displaced(nexts, self.width)
-        #: Where a new phrase leads that starts with a symbol: the start again for one that the sample lacks.
-        self.fresh = np.tile(self.roots[:, None], (1, self.width))
-        for j, root in enumerate(roots):
-            for c, t in nexts[root].items():
-                self.fresh[j, c] = t
+        self.base, self.owner, self.value = (np.concatenate(x).astype(np.int32) for x in zip(*tables, strict=True)) if tables else [np.zeros(0, np.int32)] * 3
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -205,11 +204,6 @@ class Model:
         return out
 
 
-def model_of(data: bytes) -> Model:
-    """The model of these samples (JSON), built once in each Python process."""
-    return only("language", data, lambda x: Model(json.loads(x)))
-
-
 def judged(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Language and score of each text. Score: how far the winner's count is below the next one's, from 0.5 (even) to 1.
 
@@ -239,14 +233,12 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", out: str
     every document ``und``. Other columns and repeated rows stay as they are.
     """
     ship(docs.sparkSession)
-    samples = json.dumps(training_rows(training), sort_keys=True).encode()
-    given = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_CHARS for a language
+    given = docs.sparkSession.sparkContext.broadcast(Model(training_rows(training)))  # some 40 bytes for each of SAMPLE_CHARS characters of a language
 
     @F.pandas_udf("lang string, score double")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = model_of(given.value)
         for part in parts:
-            lang, score = judged(part.fillna("").tolist(), model)
+            lang, score = judged(part.fillna("").tolist(), given.value)
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return docs.withColumn(out, told(F.col(text)))

@@ -27,14 +27,14 @@ from .common import only, ship
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments whose ids a process remembers, twice: a full table becomes the older one. Some 250 bytes each.
-REMEMBERED = 200_000
+#: Segments whose ids a process remembers, twice: a full table becomes the older one. Some 170 bytes each.
+REMEMBERED = 160_000
 #: Segments longer than this aren't remembered.
 LONGEST = 64
 #: Characters of text that are segmented at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 NEVER = -(1 << 60)
-LEAF: dict = {}
+LITERAL = -1
 #: Scores are whole numbers, so that sums don't depend on where they start.
 SCALE = 1 << 24
 
@@ -61,15 +61,15 @@ class Vocabulary:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # ids as 32-bit words
         self.decoded: list[str] = [p.replace(MARK, " ") for p in pieces]
-        #: A trie of the pieces: for each next letter the score (NEVER where no piece ends) and what follows.
-        self.trie: dict[str, tuple[int, dict]] = {}
+        #: A trie of the pieces: for each next letter the score and id (None where no piece ends) and what follows, if anything.
+        self.trie: dict[str, tuple] = {}
         for piece in sorted(self.ids):
             node = self.trie
             for ch in piece[:-1]:
-                if ch not in node or node[ch][1] is LEAF:
-                    node[ch] = (node[ch][0] if ch in node else NEVER), {}
-                node = node[ch][1]
-            node[piece[-1]] = self.score[piece], LEAF
+                score, i, after = node.get(ch, (None, None, None))
+                node[ch] = score, i, {} if after is None else after
+                node = node[ch][2]
+            node[piece[-1]] = self.score[piece], self.ids[piece], None
 
     @classmethod
     def load(cls, data: bytes) -> Vocabulary:
@@ -96,65 +96,74 @@ class Vocabulary:
         At equal scores the longest last piece wins. A mark that the text itself holds has been
         escaped by ``escape`` and is spelt in bytes. Only boundaries since the last commit are held.
         """
-        trie, known, width, n = self.trie, self.score, self.width, len(text)
-        base = 0  # the last committed boundary
-        best, back = [0], [0]  # of boundaries from base on: score, and where the last piece starts
+        trie, width, n = self.trie, self.width, len(text)
+        base, room = 0, min(n, 4 * width) + 1  # the last committed boundary; how many boundaries the lists have room for
+        best, back, ids = [NEVER] * room, [0] * room, [0] * room  # from base on: score, start and id of the last piece
+        best[0] = 0
         due = 2 * width
         for start in range(n):
             if start == due:  # paths that go on end within the window; do they all come through one boundary?
                 due += width
-                live = {e for e in range(start, base + len(best)) if best[e - base] > NEVER}
+                live = {base + j for j in range(start - base, len(best)) if best[j] > NEVER}
                 while len(live) > 1:
                     last = max(live)
                     live.remove(last)
                     live.add(back[last - base])
                 (head,) = live
                 if head > base:
-                    yield self.path(text, base, head, back)
-                    del best[: head - base], back[: head - base]
+                    yield self.path(text, base, head, back, ids)
+                    del best[: head - base], back[: head - base], ids[: head - base]
                     base = head
-            own, most = best[start - base], min(n, start + width)
-            if most - base >= len(best):
-                best += [NEVER] * (2 * width)
-                back += [0] * (2 * width)
-            node, end = trie, start - base
-            for ch in text[start:most]:
+                room = 3 * width + 1 - (len(best) - (start - base))
+                best += [NEVER] * room
+                back += [0] * room
+                ids += [0] * room
+            end = start - base
+            own, node, after = best[end], trie, end + 1
+            for ch in text[start : start + width]:
                 hit = node.get(ch)
                 if hit is None:
                     break
                 end += 1
-                gain, node = hit
-                if own + gain > best[end]:
-                    best[end], back[end] = own + gain, start
-            if text[start] not in known:
+                gain, i, node = hit
+                if gain is not None:
+                    gain += own
+                    if gain > best[end]:
+                        best[end], back[end], ids[end] = gain, start, i
+                if node is None:
+                    break
+            if text[start] not in self.score:
                 cost = own + self.literal(text[start])[0]
-                if cost > best[start + 1 - base]:
-                    best[start + 1 - base], back[start + 1 - base] = cost, start
-        yield self.path(text, base, n, back)
+                if cost > best[after]:
+                    best[after], back[after], ids[after] = cost, start, LITERAL
+        yield self.path(text, base, n, back, ids)
 
-    def path(self, text: str, base: int, end: int, back: list[int]) -> list[int]:
+    def path(self, text: str, base: int, end: int, back: list[int], ids: list[int]) -> list[int]:
         """Ids between two boundaries."""
         out: list[int] = []
         at = end
         while at > base:
-            start = back[at - base]
-            piece = self.ids.get(text[start:at])
-            if piece is None:
+            i, start = ids[at - base], back[at - base]
+            if i == LITERAL:
                 out += reversed(self.literal(text[start])[1])
             else:
-                out.append(piece)
+                out.append(i)
             at = start
         out.reverse()
         return out
 
+    def spelt(self, part: str) -> bytes:
+        """The ids of a part without its first mark."""
+        return array("i", chain.from_iterable(self.stream(MARK + part.replace(" ", MARK)))).tobytes()
+
     def remember(self, parts: set[str]) -> None:
-        """See that the ids of these parts are in memory."""
+        """See that the ids of these parts (without their first mark) are in memory."""
         if len(self.memory) + len(parts) > REMEMBERED:  # what wasn't seen since the last time is forgotten
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older
         for part in parts:
             if part not in memory:
-                memory[part] = older.get(part) or array("i", chain.from_iterable(self.stream(part))).tobytes()
+                memory[part] = older.get(part) or self.spelt(part)
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (32-bit) of whole texts, with one blank set before each; an empty text has none."""
@@ -163,11 +172,11 @@ class Vocabulary:
                 yield np.array([i for run in self.stream(MARK + escape(text).replace(" ", MARK)) for i in run] if text else [], "<i4")
             return
         for first, last in _spans(texts):
-            parts = [_segments.findall(MARK + escape(t).replace(" ", MARK)) if t else [] for t in texts[first:last]]
+            parts = [_segments.findall(" " + escape(t)) if t else [] for t in texts[first:last]]
             self.remember({p for p in chain.from_iterable(parts) if len(p) <= LONGEST})
             known = self.memory.get
             for own in parts:
-                yield np.frombuffer(b"".join([known(p) or array("i", chain.from_iterable(self.stream(p))).tobytes() for p in own]), "<i4")
+                yield np.frombuffer(b"".join([known(p) or self.spelt(p) for p in own]), "<i4")
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text])).tolist()
@@ -182,7 +191,8 @@ class Vocabulary:
 
 
 ESCAPE = "\U0010fffe"  # a non-character that stands for a literal mark
-_segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: From a blank up to the next word's: what follows the first blank.
+_segments = re.compile(" ( *[^ ]*)")
 
 
 def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
