@@ -140,6 +140,23 @@ def only(kind: str, data: bytes, make: Callable[[bytes], Any]) -> Any:
     return _made[kind][1]
 
 
+def release() -> None:
+    """Drop what ``only`` keeps, at the start of work that needs none of it."""
+    _made.clear()
+
+
+def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of consecutive items of about ``most`` together, a larger item alone."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if sizes:
+        yield first, len(sizes)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

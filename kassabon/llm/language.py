@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, release, ship, spans
 
 #: Labelled rows looked at for a language, and characters of them that its automaton holds: whole rows, but for the last.
 SAMPLE_ROWS = 256
@@ -27,6 +27,8 @@ PARTS = 8
 #: Symbols: what stands between letters, letters of no sample, then each letter of the samples.
 BETWEEN, OTHER = 0, 1
 LETTER = np.array([chr(i).isalpha() for i in range(0x10000)], bool)
+#: Characters of text that are parsed at a time.
+AT_ONCE = 1 << 22
 #: Below so many documents still being parsed, they are finished one by one.
 FEW = 12
 UNKNOWN = "und"
@@ -122,7 +124,7 @@ class Model:
         self.langs = sorted(texts)
         letters = sorted({ch for text in texts.values() for ch in text if ch.isalpha()})
         self.width = len(letters) + 2
-        self.symbol = np.where(LETTER, OTHER, BETWEEN).astype(np.int32)
+        self.symbol = np.where(LETTER, OTHER, BETWEEN).astype(np.uint8 if self.width < 256 else np.int32)
         self.far = {}  # beyond the first plane
         for i, ch in enumerate(letters):
             if ord(ch) < 0x10000:
@@ -166,7 +168,8 @@ class Model:
         coded = [self.encode(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        joined = np.concatenate([coded[i] for i in order]) if n else np.zeros(0, np.int32)
+        joined = np.concatenate([coded[i] for i in order]) if n else self.symbol[:0]
+        del coded
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
         ascending = np.sort(sizes)
@@ -180,7 +183,7 @@ class Model:
             until = int(ascending[n - alive])  # no document ends before this
             s, c, at = state[:alive], count[:alive], starts[:alive]
             for t in range(t, until):
-                symbols = joined[at + t]
+                symbols = joined[at + t].astype(np.int32)
                 spot = self.base[s] + symbols[:, None]
                 known = (self.owner[spot] == s) & (s != self.roots)
                 c += ~known
@@ -237,9 +240,14 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", out: str
 
     @F.pandas_udf("lang string, score double")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         for part in parts:
-            lang, score = judged(part.fillna("").tolist(), given.value)
-            yield pd.DataFrame({"lang": lang, "score": score})
+            texts, langs, scores = part.fillna("").tolist(), [], []
+            for first, last in spans(list(map(len, texts)), AT_ONCE):
+                lang, score = judged(texts[first:last], given.value)
+                langs += lang
+                scores += score
+            yield pd.DataFrame({"lang": langs, "score": scores})
 
     return docs.withColumn(out, told(F.col(text)))
 

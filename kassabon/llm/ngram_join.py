@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, keyed, ship, small, stored, unique_ids
+from .common import cut, free_name, keyed, release, ship, small, spans, stored, unique_ids
 from .graph import components
 
 SHINGLE = 5
@@ -89,7 +89,7 @@ class Hasher:
 
     def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Sorted hashes of each text's distinct shingles; with fewer than five words the whole sequence is one."""
-        for first, last in spans([len(t) for t in texts]):
+        for first, last in spans([len(t) for t in texts], AT_ONCE):
             data = [t.encode("utf-8", "surrogatepass") for t in texts[first:last]]
             yield from self.chunk(data)
 
@@ -123,18 +123,6 @@ class Hasher:
             start = end
 
 
-def spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Slices of consecutive items of about AT_ONCE together, a larger item alone."""
-    first, size = 0, 0
-    for i, n in enumerate(sizes):
-        if size and size + n > AT_ONCE:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if sizes:
-        yield first, len(sizes)
-
-
 def words(text: str) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -158,6 +146,7 @@ def classes_of(band):
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and digest of each text's set."""
+    release()
     hasher = Hasher()
     for batch in batches:
         n, digests = [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship
+from .common import only, ship, spans
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -171,7 +171,7 @@ class Vocabulary:
             for text in texts:
                 yield np.array([i for run in self.stream(MARK + escape(text).replace(" ", MARK)) for i in run] if text else [], "<i4")
             return
-        for first, last in _spans(texts):
+        for first, last in spans(list(map(len, texts)), AT_ONCE):
             parts = [_segments.findall(" " + escape(t)) if t else [] for t in texts[first:last]]
             self.remember({p for p in chain.from_iterable(parts) if len(p) <= LONGEST})
             known = self.memory.get
@@ -195,17 +195,6 @@ ESCAPE = "\U0010fffe"  # a non-character that stands for a literal mark
 _segments = re.compile(" ( *[^ ]*)")
 
 
-def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > AT_ONCE:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if texts:
-        yield first, len(texts)
-
-
 def escape(text: str) -> str:
     return text.replace(MARK, ESCAPE) if MARK in text else text
 

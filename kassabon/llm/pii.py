@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows: a core of so many characters, with a margin on either side.
@@ -339,6 +339,7 @@ def reported(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     def report(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         for part in parts:
             rows = []
             for base, added in found(part.fillna("").tolist(), given.value):
@@ -358,6 +359,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None, text: str = "text")
 
     @F.pandas_udf("string")
     def redact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for part in parts:
             texts = part.fillna("").tolist()
             out = []
