@@ -16,9 +16,14 @@ def first_path(x: Column, *dotted: str) -> Column:
     return F.coalesce(*[path(x, d) for d in dotted])
 
 
+def canonical(x: Column) -> Column:
+    """A JSON text without blanks and with the keys of every object in order; other texts stay."""
+    return F.coalesce(F.to_json(F.try_parse_json(x)), x)
+
+
 def row_hash(store: Column, text: Column) -> Column:
-    """SHA-256 of the store and the landed text, which keeps its own form."""
-    return F.sha2(F.concat_ws(":", store, text), 256)
+    """SHA-256 of the store and the canonical JSON text, so that equal objects have one hash."""
+    return F.sha2(F.concat_ws(":", store, canonical(text)), 256)
 
 
 def external_id(candidates: list[Column], name: Column, url: Column) -> Column:

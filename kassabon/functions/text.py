@@ -170,10 +170,3 @@ def unique_joined(items: Column, mark: str = ";") -> Column:
 def without_repeated_lines(lines: Column) -> Column:
     """A line that equals the one before it goes."""
     return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
-
-
-def subtitle_text(x: Column) -> Column:
-    """Spoken lines of a caption file: no headers, counters, time lines or lines said twice in a row."""
-    spoken = F.filter(split_lines(x), lambda w: ~w.rlike(r"^(WEBVTT|NOTE|STYLE|REGION)") & ~w.rlike(r"^[0-9]+$") & ~w.contains("-->"))
-    bare = F.filter(F.transform(spoken, lambda w: F.trim(F.regexp_replace(w, "<[^>]*>", ""))), lambda w: w != "")
-    return F.array_join(without_repeated_lines(bare), " ")

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import none_if_empty
+from .text import any_of, none_if_empty, without_repeated_lines
 
 
 def strip_html(x: Column) -> Column:
@@ -134,28 +134,44 @@ def instruction_steps(x: pd.Series) -> pd.Series:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]*)", 1))
+    """The host in lower case, without a user before it or a port after it; an IPv6 address keeps its brackets."""
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)", 1))
 
 
-# Hosts of platforms.
-PLATFORMS = (("instagram", ("instagram.com",)), ("facebook", ("facebook.com", "fb.watch")), ("tiktok", ("tiktok.com",)), ("youtube", ("youtube.com", "youtu.be")), ("pinterest", ("pinterest.com", "pinterest.nl", "pin.it")))
+# Parts of the hosts of platforms; the first that fits counts.
+PLATFORMS = (
+    ("instagram", ("instagram.com",)),
+    ("tiktok", ("tiktok.com",)),
+    ("facebook", ("facebook.com", "fb.watch")),
+    ("pinterest", ("pinterest.", "pin.it")),
+    ("youtube", ("youtube.com", "youtu.be")),
+)
 
 
 def platform(url: Column) -> Column:
     host = host_of(url)
     out = F.lit("blog")
-    for name, hosts in reversed(PLATFORMS):
-        fits = F.lit(False)
-        for h in hosts:
-            fits = fits | (host == h) | host.endswith("." + h)
-        out = F.when(fits, name).otherwise(out)
+    for name, parts in reversed(PLATFORMS):
+        out = F.when(any_of(*[host.contains(x) for x in parts]), name).otherwise(out)
     return out
 
 
+# Hosts that aren't public.
+PRIVATE = r"^$|^localhost$|\.local$|^127\.|^10\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^\[?::1\]?$"
+
+
 def safe_url(url: Column) -> Column:
     """The address if it is http(s) and its host isn't private, else null."""
-    private = host_of(url).rlike(r"^$|^localhost$|\.local$|^(127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.")
-    return F.when(F.lower(url).rlike("^https?://") & ~private, url)
+    return F.when(F.lower(url).rlike("^https?://") & ~host_of(url).rlike(PRIVATE), url)
+
+
+def subtitle_text(x: Column) -> Column:
+    """Spoken lines of a caption file: no headers, counters, time lines or lines said twice in a row."""
+    bare = F.transform(F.split(x, r"\r?\n"), lambda w: F.trim(strip_html(w)))
+    # What a line that isn't spoken looks like.
+    unsaid = r"(?i)^(WEBVTT|NOTE|STYLE|REGION)\b|^[0-9]+$|^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?[.,][0-9]{3}\s+-->"
+    spoken = F.filter(bare, lambda w: (w != "") & ~w.rlike(unsaid))
+    return F.trim(F.regexp_replace(F.array_join(without_repeated_lines(spoken), " "), r"\s+", " "))
 
 
 def id_suffix(url: Column) -> Column:

@@ -190,6 +190,32 @@ def txt_pages(spark, sf_dir):
     return rows.select("page_id", web.page_title(F.col("html")).alias("title"), web.host_of(F.col("url")).alias("host"), F.size(web.links(F.col("html"))).alias("links"))
 
 
+@query(r"""
+    WITH u AS (
+        SELECT page_id, CASE page_id % 9
+            WHEN 0 THEN 'http://u:p@10.0.0.1/' WHEN 1 THEN 'https://www.pinterest.de/' WHEN 2 THEN 'https://m.youtube.com:443/' WHEN 3 THEN 'https://[::1]/'
+            WHEN 4 THEN 'http://a@b@172.20.1.1:80/' WHEN 5 THEN 'ftp://x.org/' WHEN 6 THEN 'HTTPS://FB.Watch/' WHEN 7 THEN 'http://nas.local' ELSE '' END || url AS link
+        FROM pages
+    ), h AS (
+        SELECT page_id, link, lower(regexp_extract(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)', 1)) AS host FROM u
+    )
+    SELECT page_id, host,
+           CASE WHEN contains(host, 'instagram.com') THEN 'instagram' WHEN contains(host, 'tiktok.com') THEN 'tiktok'
+                WHEN contains(host, 'facebook.com') OR contains(host, 'fb.watch') THEN 'facebook'
+                WHEN contains(host, 'pinterest.') OR contains(host, 'pin.it') THEN 'pinterest'
+                WHEN contains(host, 'youtube.com') OR contains(host, 'youtu.be') THEN 'youtube' ELSE 'blog' END AS platform,
+           CASE WHEN NOT (starts_with(lower(link), 'http://') OR starts_with(lower(link), 'https://')) OR host IN ('', 'localhost', '[::1]') OR suffix(host, '.local')
+                  OR starts_with(host, '127.') OR starts_with(host, '10.') OR starts_with(host, '192.168.') OR regexp_matches(host, '^172\.(1[6-9]|2[0-9]|3[01])\.')
+                THEN NULL ELSE link END AS safe
+    FROM h
+""")
+def url_links(spark, sf_dir):
+    given = ["http://u:p@10.0.0.1/", "https://www.pinterest.de/", "https://m.youtube.com:443/", "https://[::1]/", "http://a@b@172.20.1.1:80/", "ftp://x.org/", "HTTPS://FB.Watch/", "http://nas.local", ""]
+    start = F.element_at(F.array(*map(F.lit, given)), (F.col("page_id") % 9 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(start, "url").alias("link"))
+    return rows.select("page_id", web.host_of(F.col("link")).alias("host"), web.platform(F.col("link")).alias("platform"), web.safe_url(F.col("link")).alias("safe"))
+
+
 @query("""
     WITH l AS (SELECT unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link, page_id FROM pages)
     SELECT link, count(DISTINCT page_id) AS pages FROM l GROUP BY link
@@ -199,7 +225,7 @@ def src_page_inventory(spark, sf_dir):
     return rows.groupBy("link").agg(F.count_distinct("page_id").alias("pages"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, sha256(event_type || ':' || props) AS row_hash FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, sha256(event_type || ':' || json(props)) AS row_hash FROM events")
 def jsn_paths(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsons.path(F.col("props"), "k").alias("k"), jsons.row_hash(F.col("event_type"), F.col("props")).alias("row_hash"))
 

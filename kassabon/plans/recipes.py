@@ -98,13 +98,27 @@ def completeness(missing: Column, fields: dict[str, Column]) -> Column:
     return F.struct(F.when(F.size(left) > 0, "incomplete").otherwise("complete").alias("status"), left.alias("missing_fields"))
 
 
-def usable_signal(page_text: Column, transcript: Column, structured: Column) -> Column:
-    """Whether a linked page says enough: structured data, a long transcript, or a long text with a recipe word."""
-    login = F.coalesce(page_text, F.lit("")).rlike("(?i)log in|inloggen|sign up")
-    words = r"(?i)recept|recipe|ingredi|bereid|eetlepel|theelepel|\bgram\b|oven|minuten"
+# Words of a recipe, and what a page says that asks for a login.
+RECIPE_WORDS = r"(?i)\b(ingredients?|ingredienten|directions?|bereiding|instructions?|stappen|tbsp|tsp|cups?|gram|g\b|ml\b|eieren)\b"
+LOGIN = {
+    "instagram": ("maak een account of meld je aan bij instagram", "log in to instagram"),
+    "facebook": ("recipes shared from facebook", "log into facebook", "facebook helps you connect"),
+}
+
+
+def login_page(platform: Column, title: Column, description: Column, site: Column) -> Column:
+    said = F.lower(F.concat_ws(" ", title, description, site))
+    asks = {name: text.any_of(*[said.contains(x) for x in texts]) for name, texts in LOGIN.items()}
+    bare = F.coalesce(F.lower(F.trim(title)) == "instagram", F.lit(False))
+    return F.when(platform == "instagram", bare | asks["instagram"]).when(platform == "facebook", asks["facebook"]).otherwise(False)
+
+
+def usable_signal(platform: Column, title: Column, description: Column, site: Column, embedded: Column, transcript: Column, structured: Column) -> Column:
+    """Whether a linked page says enough: no login page, and structured data, a long transcript, or a long text with a recipe word."""
+    words = F.trim(F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (title, description, embedded)]))
     said = F.coalesce(F.char_length(F.trim(transcript)) >= 60, F.lit(False))
-    told = F.coalesce((F.char_length(F.trim(page_text)) >= 80) & page_text.rlike(words) & ~login, F.lit(False))
-    return F.coalesce(structured, F.lit(False)) | said | told
+    told = (F.char_length(words) >= 80) & words.rlike(RECIPE_WORDS)
+    return ~login_page(platform, title, description, site) & (F.coalesce(structured, F.lit(False)) | said | told)
 
 
 def valid_recipes(rows: DataFrame, text_column: str) -> tuple[DataFrame, DataFrame]:

@@ -141,9 +141,9 @@ def kind_offers(products: DataFrame, product_id: str, kind: str = "exact") -> Da
     """Available products of the same exact or substitute group, else the product itself."""
     column = "exact_group_key" if kind == "exact" else "ingredient_id"
     own = products.filter(F.col("id") == product_id).select(F.coalesce(F.concat(F.lit("group:"), column), F.concat(F.lit("self:"), "id")).alias("_key"))
-    keyed = products.withColumn("_group", F.concat(F.lit("group:"), column)).withColumn("_self", F.concat(F.lit("self:"), "id"))
-    hit = keyed.join(F.broadcast(own), (F.col("_key") == F.col("_group")) | (F.col("_key") == F.col("_self")), "left_semi")
-    return hit.filter("is_available").drop("_group", "_self").orderBy(F.col("current_price_cents").asc_nulls_last(), "store_id", "id")
+    keys = F.array_compact(F.array(F.concat(F.lit("group:"), column), F.concat(F.lit("self:"), "id")))  # at most one of them fits
+    hit = products.withColumn("_key", F.explode(keys)).join(F.broadcast(own), "_key", "left_semi")
+    return hit.filter("is_available").drop("_key").orderBy(F.col("current_price_cents").asc_nulls_last(), "store_id", "id")
 
 
 def product_price_matrix(products: DataFrame, stores: tuple[str, ...] = STORES) -> DataFrame:

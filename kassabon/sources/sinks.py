@@ -24,9 +24,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
 
     ``keep`` columns stay as they were where the key exists. ``when`` (from a function that gives
     old columns) says which old rows may be replaced. Several new rows of a key would be
-    ambiguous: the first by ``order`` counts.
+    ambiguous: the first by ``order`` counts, without one the first by a hash of the row, so
+    that reruns agree.
     """
-    new = one_per_key(new, keys, order or [F.lit(1)])
+    new = one_per_key(new, keys, order or settled(new))
     columns = old.columns
     o = old.select(*[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("old_row"))
     n = new.select(*[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("new_row"))
@@ -41,9 +42,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     return both.select(*chosen)
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the table lacks, one a key: what an insert that ignores conflicts appends."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+def settled(df: DataFrame) -> list[Column]:
+    """An order of rows that doesn't depend on how they are dealt out."""
+    return [F.xxhash64(*df.columns)]
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``new`` whose key the table lacks, the first of each key: what an insert that ignores conflicts appends."""
+    return one_per_key(new, keys, order or settled(new)).join(old.select(*keys), keys, "left_anti")
 
 
 def deactivate_missing(table: DataFrame, present: DataFrame, keys: list[str], flag: str = "is_available") -> DataFrame:
