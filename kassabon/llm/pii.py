@@ -2,8 +2,9 @@
 
 The patterns give the base spans. The tagger, trained in numpy from labelled spans, adds spans
 that they miss. It reads overlapping windows around every character that personal data can't do
-without (a digit or @); each position's label comes from the window in which it lies most
-centrally, and spans are formed over the whole text after that.
+without (a digit or @). What overlapping windows say of a character is averaged, and one best path
+through the averages of a whole stretch of windows gives its labels, so that no span is cut where
+windows meet. A span counts if it has the digits and the rough shape of its kind (ADDED).
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship
+from .common import release, ship, spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows: a core of so many characters, with a margin on either side.
 CORE, MARGIN = 64, 24
 WINDOW = CORE + 2 * MARGIN
-#: Windows that are decoded at a time.
-BATCH = 2048
+#: Windows that are read, stretches that are decoded, and characters of text that are looked at, at a time.
+BATCH, IN_STEP, AT_ONCE = 2048, 256, 1 << 20
 HIDDEN, EMBED = 16, 12
 STEPS, LEARNED_AT_ONCE, SEED = 260, 48, 5
 
@@ -137,20 +138,36 @@ class Tagger:
         both = np.concatenate([self.run(x, "f", False)[0], self.run(x, "b", False)[0]], axis=2)
         return both @ self.w["out"] + self.w["out_b"]
 
+    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """Labels of the best path through each stretch of emissions (time, labels), stretches of like length in step."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(stretches)
+        trans = self.w["trans"]
+        order = sorted((i for i, e in enumerate(stretches) if len(e)), key=lambda i: -len(stretches[i]))
+        for at in range(0, len(order), IN_STEP):
+            own = order[at : at + IN_STEP]
+            sizes = np.array([len(stretches[i]) for i in own])
+            length = int(sizes[0])
+            live = [int(np.searchsorted(-sizes, -t)) for t in range(length)]  # longer than t
+            e = np.zeros((length, len(own), self.LABELS), np.float32)
+            for r, i in enumerate(own):
+                e[: sizes[r], r] = stretches[i]
+            score, back = e[0].copy(), np.zeros((length, len(own), self.LABELS), np.int8)
+            for t in range(1, length):
+                through = score[: live[t], :, None] + trans[None]
+                back[t, : live[t]] = through.argmax(1)
+                score[: live[t]] = through.max(1) + e[t, : live[t]]
+            label, path = score.argmax(1), np.zeros((len(own), length), np.int8)
+            for t in range(length - 1, -1, -1):
+                rows = np.arange(live[t])
+                path[: live[t], t] = label[: live[t]]
+                label[: live[t]] = back[t, rows, label[: live[t]]]
+            for r, i in enumerate(own):
+                out[i] = path[r, : sizes[r]]
+        return out
+
     def best(self, x: np.ndarray) -> np.ndarray:
         """Labels (rows, time) of the best path of each row."""
-        e, trans = self.emissions(x), self.w["trans"]
-        length, rows, _ = e.shape
-        score, back = e[0], np.empty((length, rows, self.LABELS), np.int8)
-        for t in range(1, length):
-            through = score[:, :, None] + trans[None]
-            back[t] = through.argmax(1)
-            score = through.max(1) + e[t]
-        path = np.empty((rows, length), np.int8)
-        path[:, -1] = score.argmax(1)
-        for t in range(length - 1, 0, -1):
-            path[:, t - 1] = back[t][np.arange(rows), path[:, t]]
-        return path
+        return np.stack(self.decode(list(self.emissions(x).transpose(1, 0, 2))))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log likelihood of label rows y under the CRF."""
@@ -289,18 +306,28 @@ def tagged_spans(texts: list[str], tagger: Tagger, within: list[dict[str, list[t
             continue
         pos = np.array(at)
         cores = np.unique(np.concatenate([np.maximum(pos - MARGIN, 0) // CORE, np.minimum(pos + MARGIN, len(text) - 1) // CORE]))
-        x = np.zeros(((len(text) - 1) // CORE + 1) * CORE + 2 * MARGIN, np.int64)
+        x = np.zeros(((len(text) - 1) // CORE + 1) * CORE + 2 * MARGIN, np.uint8)
         x[MARGIN : MARGIN + len(text)] = symbols(text)
-        coded[n] = (x, np.zeros(len(text), np.int8))
+        # sums of what windows say of each character, margins included, and how many do
+        coded[n] = (x, np.zeros((len(x), tagger.LABELS), np.float32), np.zeros(len(x), np.float32))
         windows += [(n, int(c)) for c in cores]
     for i in range(0, len(windows), BATCH):
         part = windows[i : i + BATCH]
-        x = np.stack([coded[n][0][c * CORE : c * CORE + WINDOW] for n, c in part])
-        for (n, c), path in zip(part, tagger.best(x), strict=True):
-            labels = coded[n][1]
-            own = path[MARGIN : MARGIN + CORE][: len(labels) - c * CORE]
-            labels[c * CORE : c * CORE + len(own)] = own
-    for n, (_, labels) in coded.items():
+        e = tagger.emissions(np.stack([coded[n][0][c * CORE : c * CORE + WINDOW] for n, c in part]).astype(np.int64))
+        for r, (n, c) in enumerate(part):
+            coded[n][1][c * CORE : c * CORE + WINDOW] += e[:, r]
+            coded[n][2][c * CORE : c * CORE + WINDOW] += 1
+    stretches, where = [], []
+    for n, (_, said, times) in coded.items():
+        said, times = said[MARGIN : MARGIN + len(texts[n])], times[MARGIN : MARGIN + len(texts[n])]
+        edges = np.flatnonzero(np.diff(times > 0, prepend=False, append=False))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            stretches.append(said[a:b] / times[a:b, None])
+            where.append((n, a))
+    labels_of = {n: np.zeros(len(texts[n]), np.int8) for n in coded}
+    for (n, a), path in zip(where, tagger.decode(stretches), strict=True):
+        labels_of[n][a : a + len(path)] = path
+    for n, labels in labels_of.items():
         edges = np.flatnonzero(np.diff(labels, prepend=0, append=0))
         taken = sorted(s for spans in within[n].values() for s in spans)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -325,8 +352,10 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def found(texts: list[str], tagger: Tagger) -> Iterator[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
     """Base spans by kind and added spans of each text."""
-    base = [base_spans(t) for t in texts]
-    yield from zip(base, tagged_spans(texts, tagger, base), strict=True)
+    for first, last in spans(list(map(len, texts)), AT_ONCE):
+        own = texts[first:last]
+        base = [base_spans(t) for t in own]
+        yield from zip(base, tagged_spans(own, tagger, base), strict=True)
 
 
 def reported(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables that hold nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -172,6 +173,38 @@ def test_tagger_learns():
     assert right / total > 0.95
 
 
+def test_best_path():
+    """Against all paths, for stretches of several lengths at once."""
+    g = np.random.default_rng(8)
+    tagger = pii.Tagger()
+    tagger.w["trans"] = g.normal(size=(5, 5)).astype(np.float32)
+    stretches = [g.normal(size=(n, 5)).astype(np.float32) for n in (1, 4, 0, 5, 2, 4)]
+    for e, got in zip(stretches, tagger.decode(stretches), strict=True):
+        paths = list(itertools.product(range(5), repeat=len(e)))
+        worth = [sum(e[t, y] for t, y in enumerate(p)) + sum(tagger.w["trans"][x, y] for x, y in zip(p, p[1:], strict=False)) for p in paths]
+        assert tuple(got) == (paths[int(np.argmax(worth))] if len(e) else ())
+
+
+def test_tagger_adds_spans():
+    """On planted forms: spans that the patterns miss are added wherever windows meet, few others are."""
+    held, tagger = random.Random(77), pii.default_tagger()
+    texts, want = [], []
+    for i in range(150):
+        text, marked = pii.labelled(held)
+        text = "word " * (i % 40) + text
+        texts.append(text)
+        want.append({(a + 5 * (i % 40), b + 5 * (i % 40), k) for a, b, k in marked})
+    missed = found = added = right = 0
+    for marked, (base, more) in zip(want, pii.found(texts, tagger), strict=True):
+        known = {(a, b, k) for k, spans in base.items() for a, b in spans}
+        rest = {m for m in marked if not any(m[0] < b and a < m[1] for a, b, _ in known)}
+        missed += len(rest)
+        found += sum(any(a < m[1] and m[0] < b and k == m[2] for k, a, b in more) for m in rest)
+        added += len(more)
+        right += sum(any(a < m[1] and m[0] < b for m in marked) for _, a, b in more)
+    assert missed > 50 and found > 0.5 * missed and right > 0.7 * added
+
+
 # ---------------------------------------------------------------- 3 toxicity
 
 
