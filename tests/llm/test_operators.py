@@ -336,6 +336,23 @@ def test_nearest_of_few(spark):
         assert got == in_full(vectors, asked)
 
 
+def test_recall_on_embeddings(spark):
+    """At least 0.9 of the true neighbours, every list full, on the given vectors."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        assert len(got[ids[q]]) == 20
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_nearest_out_of_reach(spark):
     """Most vectors lie in one direction, queries elsewhere meet few of them; another length has few vectors."""
     g = np.random.default_rng(12)
