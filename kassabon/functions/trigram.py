@@ -26,10 +26,14 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def best_extent(a: Column, b: Column) -> Column:
-    """Best Jaccard similarity of a's trigrams with any run of b's."""
-    n = F.size(b)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: jaccard(a, F.slice(b, i, k)))))
-    return F.when((n > 0) & (F.size(a) > 0), F.array_max(runs)).otherwise(0.0)
+    """Best Jaccard similarity of a's trigrams with any run of b's.
+
+    A run gets no worse when it loses an end that a lacks, so only runs between places of a's trigrams are compared.
+    """
+    places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.array_contains(a, F.get(b, i - 1)))
+    ends = lambda i: F.filter(places, lambda j: j >= i)
+    runs = F.flatten(F.transform(places, lambda i: F.transform(ends(i), lambda j: jaccard(a, F.slice(b, i, j - i + 1)))))
+    return F.when((F.size(b) > 0) & (F.size(a) > 0), F.coalesce(F.array_max(runs), F.lit(0.0))).otherwise(0.0)
 
 
 def word_similarity(a: Column, b: Column) -> Column:

@@ -43,15 +43,17 @@ def candidates(products: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id) where a word of the query is similar to part of the search name, or stands in it.
 
     Both need a trigram in common, so names meet words in an equi-join on trigrams; distinct
-    names are compared once.
+    names are compared once. A run of a name that is similar holds at least that share of the
+    word's trigrams, so runs are looked at only where the name has so many.
     """
     names = products.select("name_search").distinct()
     index = names.select("name_search", F.explode(F.array_distinct(trigrams(F.col("name_search")))).alias("t"))
     asked = queries.select("query_id", F.explode("qtok").alias("word"))
     words = asked.select("word").distinct()
     spread = words.select("word", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("t"))
-    pairs = spread.join(index, "t").select("word", "name_search").distinct()
-    near = best_extent(F.array_distinct(trigrams(F.col("word"))), trigrams(F.col("name_search"))) >= LEAST_SIMILAR
+    pairs = spread.join(index, "t").groupBy("word", "name_search").agg(F.count(F.lit(1)).alias("shared"))
+    own = F.array_distinct(trigrams(F.col("word")))
+    near = F.when(F.col("shared") >= LEAST_SIMILAR * F.size(own), best_extent(own, trigrams(F.col("name_search"))) >= LEAST_SIMILAR).otherwise(False)
     inside = (F.char_length("word") >= 3) & F.col("name_search").contains(F.col("word"))
     pairs = pairs.filter(inside | near)
     return asked.join(pairs, "word").select("query_id", "name_search").distinct()
