@@ -16,6 +16,12 @@ def first_path(x: Column, *dotted: str) -> Column:
     return F.coalesce(*[path(x, d) for d in dotted])
 
 
+def parsed_path(x: Column, dotted: str) -> Column:
+    """Text at a dotted path of a variant, so that many paths share one parse."""
+    parts = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in dotted.split("."))
+    return F.try_variant_get(x, "$" + parts, "string")
+
+
 def canonical(x: Column) -> Column:
     """A JSON text without blanks and with the keys of every object in order; other texts stay."""
     return F.coalesce(F.to_json(F.try_parse_json(x)), x)

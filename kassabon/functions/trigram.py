@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,15 +27,29 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
+def once(f: Callable[..., Column], *values: Column) -> Column:
+    """f of values that are computed once, however often its lambdas speak of them."""
+    names = [f"v{i}" for i in range(len(values))]
+    bound = F.array(F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)]))
+    return F.get(F.transform(bound, lambda x: f(*[x[n] for n in names])), 0)
+
+
 def best_extent(a: Column, b: Column) -> Column:
     """Best Jaccard similarity of a's trigrams with any run of b's.
 
     A run gets no worse when it loses an end that a lacks, so only runs between places of a's trigrams are compared.
     """
-    places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.array_contains(a, F.get(b, i - 1)))
-    ends = lambda i: F.filter(places, lambda j: j >= i)
-    runs = F.flatten(F.transform(places, lambda i: F.transform(ends(i), lambda j: jaccard(a, F.slice(b, i, j - i + 1)))))
-    return F.when((F.size(b) > 0) & (F.size(a) > 0), F.coalesce(F.array_max(runs), F.lit(0.0))).otherwise(0.0)
+
+    def among(a: Column, b: Column, places: Column) -> Column:
+        ends = lambda i: F.filter(places, lambda j: j >= i)
+        runs = F.flatten(F.transform(places, lambda i: F.transform(ends(i), lambda j: jaccard(a, F.slice(b, i, j - i + 1)))))
+        return F.coalesce(F.array_max(runs), F.lit(0.0))
+
+    def shared(a: Column, b: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.array_contains(a, F.get(b, i - 1)))
+        return F.when((F.size(b) > 0) & (F.size(a) > 0), once(among, a, b, places)).otherwise(0.0)
+
+    return once(shared, a, b)
 
 
 def word_similarity(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassabon.functions import dates, jsons, numbers, text, web
@@ -244,39 +244,112 @@ def dat_calendar(spark, sf_dir):
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes of spar products, each scraped twice; the later scrape has the shelf price."""
+    """Envelopes of products of the six stores, each scraped twice; the later scrape has the shelf price.
+
+    Every second product holds its name and price where a store puts them second.
+    """
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
-    raw = F.struct(F.col("p_name").alias("product_name"), (10_000_000 + k).cast("string").alias("gtin13"), F.lit("2 x 500 ml").alias("package"), (F.col("p_retailprice") + 1 - F.col("turn")).cast("decimal(12,2)").cast("string").alias("price_visible"))
-    envelope = F.struct(F.lit("spar").alias("store"), F.concat(F.lit("2024-01-0"), F.col("turn") + 1, F.lit("T00:00:00Z")).alias("scraped_at"), k.cast("string").alias("external_id"), raw.alias("raw"))
-    return rows.select(F.to_json(envelope).alias("value"))
+    name, ean = F.col("p_name"), (10_000_000 + k).cast("string")
+    price = (F.col("p_retailprice") + 1 - F.col("turn")).cast("decimal(12,2)")
+    cents, first = (price * 100).cast("int"), k % 2 == 0
+    image = F.concat(F.lit("https://img.example/"), k.cast("string"), F.lit(".png"))
+    here = lambda c, when: F.when(when, c)
+
+    def struct(**fields) -> Column:
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    def prices(when) -> Column:
+        return struct(promoPrice=here(cents, when & (k % 4 < 2)), price=here(cents, when & (k % 4 >= 2)), pricePerUnit=here(struct(price=cents * 2, unit=F.lit("Kilo")), when))
+
+    asset = lambda kind, url: struct(type=F.lit(kind), url=url)
+    raws = {
+        "ah": struct(
+            card=struct(title=here(name, first), currentPrice=here(price, first), gtin=here(ean, first), images=F.array(struct(url=image)), unitPriceDescription=here(F.lit("normale prijs per kg 3,49"), first)),
+            detail=struct(productCard=struct(title=name, priceBeforeBonus=price, unitPriceDescription=F.lit("per liter 2.50")), tradeItem=struct(gtin=here(ean, ~first))),
+        ),
+        "jumbo": struct(detail=struct(title=here(name, first), ean=ean, price=prices(first)), listing=struct(title=name, image=image, price=prices(~first))),
+        "dirk": struct(
+            detail=struct(headerText=here(name, first), barcode=ean, packaging=F.lit("6 x 330 ml"), images=here(F.array(struct(image_url=F.lit("\\artikelen\\1.png"))), first)),
+            list=struct(offerPrice=F.when(first, price).otherwise(0), normalPrice=price, productInformation=struct(headerText=name, image=image)),
+        ),
+        "plus": struct(pdp=struct(Name=name, EAN=here(ean, first), Medicine=struct(EAN=ean), NewPrice=F.when(first, price.cast("string")).otherwise("0.0"), OriginalPrice=price.cast("string"), ImageURL=here(image, first)), plp=struct(Product_Subtitle=F.lit("Per 500 g"), ImageURL=image)),
+        "spar": struct(product_name=name, gtin13=ean, package=F.lit("2 x 500 ml"), price_visible=here(F.concat(F.lit("€ "), price.cast("string")), first), price_jsonld=price, images=F.array(image)),
+        "aldi": struct(name=name, gtin=here(ean, ~first), detail=struct(ean=here(ean, first)), salesUnit=F.lit("1,5 kg"), currentPrice=struct(priceValue=price), assets=F.array(asset("seal", F.lit("seal.png")), asset("primary", here(image, first)), asset("other", image))),
+    }
+    envelopes = F.lit(None).cast("string")
+    for i, store in enumerate(W.STORES):
+        envelope = F.struct(F.lit(store).alias("store"), F.concat(F.lit("2024-01-0"), F.col("turn") + 1, F.lit("T00:00:00Z")).alias("scraped_at"), k.cast("string").alias("external_id"), raws[store].alias("raw"))
+        envelopes = F.when(k % 6 == i, F.to_json(envelope)).otherwise(envelopes)
+    return rows.select("turn", envelopes.alias("value"))
+
+
+LANDED = f"""
+    landed AS (
+        SELECT p_partkey AS k, [{_in(W.STORES)}][CAST(p_partkey % 6 + 1 AS INT)] AS store, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS name,
+               CAST(10000000 + p_partkey AS VARCHAR) AS ean, CAST(p_retailprice AS DECIMAL(12, 2)) AS price, p_partkey % 2 = 0 AS first,
+               'https://img.example/' || p_partkey || '.png' AS image
+        FROM part
+    ), silver AS (
+        SELECT *, CAST(CASE store WHEN 'ah' THEN CASE WHEN first THEN 3.49 ELSE 2.50 END WHEN 'jumbo' THEN price * 2
+                   WHEN 'dirk' THEN round(CAST(price AS DOUBLE) / 1.98, 2) WHEN 'plus' THEN round(CAST(price AS DOUBLE) / 0.5, 2)
+                   WHEN 'spar' THEN round(CAST(price AS DOUBLE), 2) ELSE round(CAST(price AS DOUBLE) / 1.5, 2) END AS DECIMAL(12, 2)) AS base_price,
+               CASE WHEN store IN ('dirk', 'spar') OR (store = 'ah' AND NOT first) THEN 'l' ELSE 'kg' END AS base_price_unit,
+               CASE WHEN store = 'dirk' AND first THEN 'https://web-fileserver.dirk.nl/artikelen/1.png' WHEN store = 'aldi' AND NOT first THEN 'seal.png' ELSE image END AS image_url
+        FROM landed
+    )
+"""
 
 
-@query("""
-    SELECT 'spar' AS store, CAST(p_partkey AS VARCHAR) AS external_id, p_name AS name, CAST(10000000 + p_partkey AS VARCHAR) AS ean,
-           CAST(p_retailprice AS DECIMAL(12, 2)) AS price, CAST(round(CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS DOUBLE), 2) AS DECIMAL(12, 2)) AS base_price, 'l' AS base_price_unit
-    FROM part
-""")
+def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver.bronze(landed(spark, sf_dir), F.lit("2024-01-03").cast("timestamp"))
+
+
+@query(f"WITH {LANDED} SELECT store, external_id, name, ean, price, base_price, base_price_unit, image_url FROM silver")
 def tf1_silver(spark, sf_dir):
-    rows = silver.silver(silver.bronze(landed(spark, sf_dir), F.lit("2024-01-03").cast("timestamp")))
-    return rows.select("store", "external_id", "name", "ean", "price", "base_price", "base_price_unit")
+    return silver.silver(_bronze(spark, sf_dir)).select("store", "external_id", "name", "ean", "price", "base_price", "base_price_unit", "image_url")
 
 
-@query("SELECT 'spar' AS store_id, CAST(count(*) AS INT) AS rows_refreshed FROM part")
+def _first_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver rows of two thirds of the products' first scrape."""
+    return silver.silver(_bronze(spark, sf_dir).filter("scraped_at < '2024-01-02' and cast(get_json_object(raw_data, '$.external_id') as long) % 3 <> 0"))
+
+
+@query(f"""
+    WITH {LANDED} SELECT store, external_id, CASE WHEN store = 'jumbo' OR k % 3 = 0 THEN price ELSE price + 1 END AS price,
+        CASE WHEN k % 3 = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS first_seen, CASE WHEN store = 'jumbo' OR k % 3 = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS last_seen
+    FROM silver WHERE store = 'jumbo' OR k % 3 <> 0
+""")
+def tf1_refresh_of_a_store(spark, sf_dir):
+    """Silver rows are there already; one store is refreshed, the others stay."""
+    after, _ = silver.refresh_silver(_first_scrape(spark, sf_dir), _bronze(spark, sf_dir), "jumbo")
+    return after.select("store", "external_id", "price", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"))
+
+
+@query(f"WITH {LANDED} SELECT store AS store_id, CAST(count(*) AS INT) AS rows_refreshed FROM silver GROUP BY store")
 def tf1_rows_refreshed(spark, sf_dir):
-    rows = silver.bronze(landed(spark, sf_dir), F.lit("2024-01-03").cast("timestamp"))
+    rows = _bronze(spark, sf_dir)
     return silver.refresh_silver(silver.silver(rows).limit(0), rows)[1]
 
 
-@query("""
-    SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name AS name, CAST(round(p_retailprice * 100) AS INT) AS current_price_cents, true AS is_available,
-           lpad(CAST(10000000 + p_partkey AS VARCHAR), 14, '0') AS ean_norm, lower(p_name) AS name_search FROM part
+@query(f"""
+    WITH {LANDED} SELECT store AS store_id, external_id, name, CAST(price * 100 AS INT) AS current_price_cents, true AS is_available, lpad(ean, 14, '0') AS ean_norm, lower(name) AS name_search,
+           CASE WHEN k % 3 <> 0 THEN replace(name, ' ', '_') END AS canonical_key
+    FROM silver
 """)
 def tf2_publish(spark, sf_dir):
-    rows = silver.silver(silver.bronze(landed(spark, sf_dir), F.lit("2024-01-03").cast("timestamp")))
-    fresh = silver.products(rows)
-    after, _ = silver.publish(fresh.limit(0), rows)
-    return after.select("external_id", "name", "current_price_cents", "is_available", "ean_norm", "name_search")
+    """Products with a key are there already; their prices change, their keys stay."""
+    old = silver.products(_first_scrape(spark, sf_dir)).withColumn("canonical_key", F.replace("name", F.lit(" "), F.lit("_")))
+    after, _ = silver.publish(old, silver.silver(_bronze(spark, sf_dir)))
+    return after.select("store_id", "external_id", "name", "current_price_cents", "is_available", "ean_norm", "name_search", "canonical_key")
+
+
+@query(f"WITH {LANDED} SELECT CAST(count(*) AS BIGINT) AS new_rows, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0)::BIGINT AS known_rows FROM (SELECT k FROM landed UNION ALL SELECT k FROM landed WHERE k % 2 = 1)")
+def snk2_land(spark, sf_dir):
+    """A second run lands all rows, where the first scrape of every second product is there already."""
+    lines, when = landed(spark, sf_dir), F.lit("2024-01-03").cast("timestamp")
+    before = silver.bronze(lines.filter("turn = 0 and cast(get_json_object(value, '$.external_id') as long) % 2 = 0"), when)
+    return silver.land(before, lines, when, "second")[1]
 
 
 @query("""

@@ -60,7 +60,7 @@ def _by_store(fields: dict[str, Column]) -> Column:
 
 
 def _raw(*paths: str) -> Column:
-    return jsons.first_path(F.col("raw_data"), *[f"raw.{p}" for p in paths])
+    return F.coalesce(*[jsons.parsed_path(F.col("_parsed"), f"raw.{p}") for p in paths])
 
 
 def _price(kind: str, path: str) -> Column:
@@ -94,19 +94,20 @@ def land(old: DataFrame, lines: DataFrame, landed_at: Column, run: str = "run")
     return old.unionByName(fresh), known
 
 
-def silver(rows: DataFrame, store: str | None = None) -> DataFrame:
+def silver(rows: DataFrame, store: str | None = None, image_host: str = IMAGE_HOST) -> DataFrame:
     """The latest row of each (store, external id) with its fields extracted."""
     if store is not None:
         rows = rows.filter(F.col("store") == store)
     rows = rows.withColumn("external_id", F.coalesce(jsons.path(F.col("raw_data"), "external_id"), F.col("id")))
     rows = latest_per_key(rows, ["store", "external_id"], "scraped_at", "created_at", "id")
+    rows = rows.withColumn("_parsed", F.try_parse_json("raw_data"))  # once a row, whatever the number of paths
     pack = numbers.quantity_base(_by_store({s: _raw(*p) for s, p in PATHS["pack"].items()}))
     images = {s: _raw(*p) for s, p in PATHS["image"].items()}
-    images["dirk"] = web.file_url(images["dirk"], IMAGE_HOST)
+    images["dirk"] = web.file_url(images["dirk"], image_host)
     images["aldi"] = F.coalesce(jsons.primary_asset(_raw("assets")), images["aldi"])
     clean = lambda c: text.none_if_empty(F.trim(c))
     rows = rows.select(
-        "store", "external_id", F.col("id").alias("bronze_product_id"), "raw_data", "scraped_at",
+        "store", "external_id", F.col("id").alias("bronze_product_id"), "_parsed", "scraped_at",
         clean(_by_store({s: _raw(*p) for s, p in PATHS["name"].items()})).alias("name"),
         clean(_by_store({s: _raw(*p) for s, p in PATHS["ean"].items()})).alias("ean"),
         _by_store({s: F.coalesce(*[_price(*p) for p in ps]) for s, ps in PRICES.items()}).cast("decimal(12,2)").alias("price"),
