@@ -27,3 +27,8 @@ def iso_timestamp(x: Column, now: Column) -> Column:
 
 def epoch(x: Column) -> Column:
     return F.timestamp_seconds(x.try_cast("double"))
+
+
+def next_days(x: Column, count: int = 7) -> Column:
+    """Keys (yyyy-MM-dd) of a day and those after it."""
+    return F.transform(F.sequence(F.to_date(x), F.date_add(F.to_date(x), count - 1)), lambda d: F.date_format(d, "yyyy-MM-dd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, none_if_empty
+from .text import clean_text, none_if_empty, once
 from .words import UNITS
 
 MONEY = "decimal(38,6)"
@@ -140,3 +140,46 @@ def seconds(x: Column) -> Column:
     """A duration; above 1000 it is in milliseconds."""
     n = x.try_cast("double")
     return F.when(n > 1000, n / 1000).otherwise(n)
+
+
+# Units of weight and volume with what one of them is in kg or l, and words of pieces.
+AMOUNTS = {"kilogram kilo kg": ("kg", "1"), "gram gr g": ("kg", "0.001"), "liter litre ltr l": ("l", "1"), "centiliter centilitre cl": ("l", "0.01"), "milliliter millilitre ml": ("l", "0.001")}
+PIECES = r"stuks|stuk|st\.?|tabs|rollen|zakjes|capsules"
+
+
+def base_unit_price(package: Column, price: Column) -> Column:
+    """Struct of text, value and unit: the price of a kg, a l or a piece. Packs of a range have none; ties go to the even cent."""
+    times = r"(\d+(?:\.\d+)?)\s*[x×]\s*"
+    spelt = "|".join(w for ws in AMOUNTS for w in ws.split())
+    amount, pieces = rf"(\d+(?:\.\d+)?)\s*({spelt})\b", rf"(\d+(?:\.\d+)?)\s*({PIECES})(?:\b|$)"
+    units = F.create_map(*[F.lit(x) for ws, (unit, _) in AMOUNTS.items() for w in ws.split() for x in (w, unit)])
+    sizes = F.create_map(*[x for ws, (_, size) in AMOUNTS.items() for w in ws.split() for x in (F.lit(w), F.lit(size).cast("decimal(4,3)"))])
+    number = lambda s, p: none_if_empty(F.regexp_extract(s, p, 1)).try_cast("decimal(12,4)")
+
+    def measured(s: Column, many: Column, price: Column) -> Column:
+        rest = F.when(many.isNotNull(), F.regexp_extract(s, rf"(?s){times}(.*)$", 2)).otherwise(s)
+        count = F.coalesce(many, F.lit(1).cast("decimal(12,4)"))
+        word = F.regexp_extract(rest, amount, 2)
+        weighed = (number(rest, amount) * count * F.try_element_at(sizes, word)).cast("decimal(24,9)")
+        counted = F.when(rest.contains("per stuk"), F.lit(1).cast("decimal(24,9)")).otherwise((number(rest, pieces) * count).cast("decimal(24,9)"))
+        usable = (price > 0) & (s != "") & ~s.rlike(" (of|t/m|tot) ")
+        return F.when(usable & (weighed > 0), F.struct(weighed.alias("quantity"), F.try_element_at(units, word).alias("unit"))).when(usable & (counted > 0), F.struct(counted.alias("quantity"), F.lit("stuk").alias("unit")))
+
+    def priced(found: Column, price: Column) -> Column:
+        value = F.bround(price / found["quantity"], 2).cast("decimal(12,2)")
+        return F.struct(F.concat_ws("/", value.cast("string"), found["unit"]).alias("text"), value.alias("value"), found["unit"].alias("unit"))
+
+    s, price = F.translate(F.lower(package), ",", "."), price.cast("decimal(12,2)")
+    return once(priced, once(measured, s, number(s, times), price), price)
+
+
+def plain_number(x: Column) -> Column:
+    """A finite number's text without zeros at its end."""
+    n = F.translate(F.trim(x), ",", ".").try_cast("decimal(38,9)")
+    return F.regexp_replace(F.regexp_replace(n.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def first_finite(*columns: Column) -> Column:
+    """The first of several texts that is a finite number."""
+    numbers = [c.cast("string").try_cast("double") for c in columns]
+    return F.coalesce(*[F.when(F.abs(n) < float("inf"), n) for n in numbers])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -127,7 +128,7 @@ def slug(x: Column, mark: str = "-") -> Column:
 
 
 def split_lines(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, r"\r?\n"), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(x, r"\r?\n"), lambda w: F.trim(w)), lambda w: w != "")
 
 
 def token_overlap(query: Column, name: Column) -> Column:
@@ -170,3 +171,40 @@ def unique_joined(items: Column, mark: str = ";") -> Column:
 def without_repeated_lines(lines: Column) -> Column:
     """A line that equals the one before it goes."""
     return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+
+
+# Names of one ingredient, as they are found and as they are replaced.
+SPRING_ONION = r"(?i)\b(green onions?|spring onions?|scallions?|lente uitjes?|lente ui)\b"
+SPRING_ONION_TEXT = r"(?i)\b(green onions?|spring onions?|scallions?|lente[ -]?uitjes?|lente[ -]?ui)\b"
+
+
+def known_ingredient(x: Column) -> Column:
+    """The usual name of an ingredient that goes by several, else null."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[-_]", " "), r"\s+", " "))
+    return F.when(spaced.rlike(SPRING_ONION), "bosui")
+
+
+def with_known_name(x: Column, name: Column) -> Column:
+    return F.when(name.isNotNull(), F.regexp_replace(x, F.lit(SPRING_ONION_TEXT), name)).otherwise(x)
+
+
+def raw_text(quantity: Column, unit: Column, name: Column) -> Column:
+    """Quantity, unit and name that say something, with blanks between them; a quantity of 0 says nothing."""
+    shown = F.when(quantity == F.floor(quantity), quantity.cast("long").cast("string")).otherwise(quantity.cast("string"))
+    return F.concat_ws(" ", F.when(quantity != 0, shown), none_if_empty(unit), none_if_empty(name))
+
+
+# Labels of the fields of a recipe.
+FIELD_LABELS = {"quantities": "hoeveelheden", "ingredients": "ingredienten", "instructions": "bereidingsstappen", "servings": "porties"}
+
+
+def missing_fields(codes: Column) -> Column:
+    labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
+    return F.array_join(F.transform(codes, lambda c: F.coalesce(F.try_element_at(labels, c), c)), ", ")
+
+
+def once(f: Callable[..., Column], *values: Column) -> Column:
+    """f of values that are computed once, however often its lambdas speak of them."""
+    names = [f"v{i}" for i in range(len(values))]
+    bound = F.array(F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)]))
+    return F.get(F.transform(bound, lambda x: f(*[x[n] for n in names])), 0)

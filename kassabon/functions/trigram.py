@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
 from .words import ENDINGS
 
 LEAST_SIMILAR = 0.6
@@ -27,13 +26,6 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def once(f: Callable[..., Column], *values: Column) -> Column:
-    """f of values that are computed once, however often its lambdas speak of them."""
-    names = [f"v{i}" for i in range(len(values))]
-    bound = F.array(F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)]))
-    return F.get(F.transform(bound, lambda x: f(*[x[n] for n in names])), 0)
-
-
 def best_extent(a: Column, b: Column) -> Column:
     """Best Jaccard similarity of a's trigrams with any run of b's.
 

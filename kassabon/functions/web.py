@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import any_of, none_if_empty, without_repeated_lines
+from .text import any_of, clean_text, none_if_empty, without_repeated_lines
 
 
 def strip_html(x: Column) -> Column:
@@ -186,6 +186,8 @@ def file_url(path: Column, base: str) -> Column:
 
 
 def json_list_text(x: Column) -> Column:
-    """Items of a JSON list of texts joined by arrows; other texts stay."""
-    items = F.filter(F.from_json(x, "array<string>"), lambda i: i.isNotNull() & (F.trim(i) != ""))
-    return F.when(x.startswith("["), F.coalesce(none_if_empty(F.array_join(items, " > ")), x)).otherwise(none_if_empty(x))
+    """Items of a JSON list, or values of a JSON object, joined by arrows; other texts stay."""
+    said = lambda items: F.array_join(F.filter(items, lambda i: clean_text(i).isNotNull()), " > ")
+    inside = F.coalesce(said(F.from_json(x, "array<string>")), said(F.map_values(F.from_json(x, "map<string,string>"))))
+    holds = x.rlike(r"^[\[{]") & F.try_parse_json(x).isNotNull()
+    return F.when(holds, none_if_empty(inside)).otherwise(none_if_empty(x))

@@ -69,3 +69,48 @@ def children_for_user(children: DataFrame, parents: DataFrame, user: str, key: s
     """Rows whose parent the user owns."""
     own = for_user(parents, user).select(F.col(parent_key).alias(key))
     return children.join(own, key, "left_semi")
+
+
+def largest_groups(df: DataFrame, key: str, member: str, count: int = 40, shown: int = 6) -> DataFrame:
+    """The keys with the most rows and the first few of their distinct members; ties go by key."""
+    names = df.select(key, member).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(member))).filter(F.col("_n") <= shown)
+    names = names.groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    top = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), key).limit(count)
+    return top.join(names, key)
+
+
+def with_member_of(df: DataFrame, items: str, value: str) -> DataFrame:
+    """Rows whose array holds a value."""
+    return df.filter(F.array_contains(items, value))
+
+
+def complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose columns all say something."""
+    return df.filter(" and ".join(f"nullif(trim(cast(`{c}` as string)), '') is not null" for c in columns))
+
+
+def menu_order(df: DataFrame, parent: str, place: str, name: str) -> DataFrame:
+    """``position`` within a menu: entries of the top level first, then by place and name."""
+    order = Window.partitionBy("menu").orderBy(F.col(parent).isNotNull(), F.col(place).asc_nulls_last(), F.lower(name), name)
+    return df.withColumn("position", F.row_number().over(order))
+
+
+def in_language_order(items: Column, language: str = "nl") -> Column:
+    """Texts as readers of a language sort them: letters before their case."""
+    return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(F.collate(x, language).alias("k"), x.alias("x")))), lambda s: s["x"])
+
+
+def first_listed(lists: list[DataFrame], column: str, place: str, limit: int | None = None) -> DataFrame:
+    """Distinct values in the order in which several lists, one after the other, first name them."""
+    rows = None
+    for i, df in enumerate(lists):
+        part = df.select(column, F.struct(F.lit(i).alias("list"), F.col(place).alias("place")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    firsts = rows.groupBy(column).agg(F.min("at").alias("at")).orderBy("at")
+    return (firsts if limit is None else firsts.limit(limit)).select(column)
+
+
+def replaceable(rows: DataFrame, groups: DataFrame, key: str, source: str = "ean") -> DataFrame:
+    """Rows without a group, or whose group is of that source: what a refresh may overwrite."""
+    known = groups.filter(F.col("source") == source).select(F.col("group_key").alias(key)).distinct().withColumn("_known", F.lit(True))
+    return rows.join(known, key, "left").filter(F.col(key).isNull() | F.col("_known")).drop("_known")

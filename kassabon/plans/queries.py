@@ -7,8 +7,6 @@ retail price the shelf price. ``orders`` and ``lineitem`` stand for lists and th
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +15,8 @@ from kassabon.functions import words as W
 from kassabon.operators import keyed
 from kassabon.sources import sinks
 
-from . import canonical, grouping, recipes, search, silver
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import canonical, field_queries, grouping, recipes, search, silver, table_queries  # noqa: F401
+from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # ---------------------------------------------------------------- the catalogue
 

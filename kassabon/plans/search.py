@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kassabon.functions import text
-from kassabon.functions.trigram import LEAST_SIMILAR, best_extent, jaccard, once, tok_match, trigrams
+from kassabon.functions.trigram import LEAST_SIMILAR, best_extent, jaccard, tok_match, trigrams
 from kassabon.functions.words import SEARCH_STOP, STAPLES, STORES
 from kassabon.operators.keyed import cheapest_relevant, price_matrix
 
@@ -31,7 +31,7 @@ def _mean_of_best(outer: Column, inner: Column, flip: bool) -> Column:
         best = F.transform(outer, lambda o: F.array_max(F.transform(inner, lambda i: _score(i, o) if flip else _score(o, i))))
         return F.when((F.size(outer) > 0) & (F.size(inner) > 0), F.aggregate(best, F.lit(0.0), lambda t, x: t + x) / F.size(outer)).otherwise(0.0)
 
-    return once(mean, outer, inner)
+    return text.once(mean, outer, inner)
 
 
 def prepared(queries: DataFrame) -> DataFrame:

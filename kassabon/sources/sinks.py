@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kassabon.operators.keyed import one_per_key
@@ -66,3 +66,108 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
     for c in columns:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
     return new.join(o, keys).filter(differs).select(*new.columns)
+
+
+def remap_keys(tags: DataFrame, remap: DataFrame, key: str = "canonical_key") -> DataFrame:
+    """Tags whose key ``remap`` (old_key, new_key, display_name, confidence) renames; confidence never falls."""
+    to = one_per_key(remap, ["old_key"], settled(remap)).select(F.col("old_key").alias(key), "new_key", F.col("display_name").alias("_name"), F.coalesce("confidence", F.lit(0.8)).alias("_sure"))
+    hit = F.col("new_key").isNotNull() & ~F.col("new_key").eqNullSafe(F.col(key))
+    changed = tags.join(to, key, "left").withColumns(
+        {
+            "display_name": F.when(hit, F.coalesce("_name", "display_name")).otherwise(F.col("display_name")),
+            "confidence": F.when(hit, F.greatest(F.coalesce("confidence", F.lit(0.0)), "_sure")).otherwise(F.col("confidence")),
+            "source": F.when(hit, "ai_batch").otherwise(F.col("source")),
+            key: F.when(hit, F.col("new_key")).otherwise(F.col(key)),
+        }
+    )
+    return changed.select(*tags.columns)
+
+
+def delete_cascading(parents: DataFrame, children: DataFrame, gone: Column, key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) without the parents of a condition and without their children."""
+    lost = parents.filter(gone).select(F.col(key).alias(child_key))
+    return parents.filter(~F.coalesce(gone, F.lit(False))), children.join(lost, child_key, "left_anti").select(*children.columns)
+
+
+def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All children of each parent among ``new`` give way to the new ones."""
+    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new)
+
+
+def with_current(old: DataFrame, new: DataFrame, keys: list[str], run: str) -> DataFrame:
+    """Versions of old and new rows; the one of the latest run is current."""
+    latest = Window.partitionBy(*keys).orderBy(F.desc(run))
+    rows = old.drop("is_current").unionByName(new.drop("is_current"))
+    return rows.withColumn("is_current", F.row_number().over(latest) == 1)
+
+
+def artifacts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, bytes, sha256) of landed files."""
+    data = F.col(content).cast("binary")
+    return files.select(path, F.octet_length(data).alias("bytes"), F.sha2(data, 256).alias("sha256"))
+
+
+def run_finished(log: DataFrame, results: DataFrame) -> DataFrame:
+    """The run log after ``results`` (run_id, rows, error, finished_at): running runs complete, or fail with 2000 characters of their error."""
+    done = results.select("run_id", F.col("rows").alias("_rows"), F.col("error").alias("_error"), F.col("finished_at").alias("_at"))
+    over = (F.col("status") == "running") & F.col("_at").isNotNull()
+    status = F.when(over, F.when(F.col("_error").isNull(), "completed").otherwise("failed")).otherwise(F.col("status"))
+    fields = {"rows": F.when(over, F.col("_rows")).otherwise(F.col("rows")), "error": F.when(over, F.substring("_error", 1, 2000)).otherwise(F.col("error")), "finished_at": F.when(over, F.col("_at")).otherwise(F.col("finished_at")), "status": status}
+    return log.join(done, "run_id", "left").withColumns(fields).select(*log.columns)
+
+
+def last_written(rows: DataFrame, key: str, place: str, rank: str) -> DataFrame:
+    """The last row of each key by place, for an export that goes by rank, without one last, then by key."""
+    order = F.when(F.col(rank).cast("string").rlike("^[0-9]+$"), F.col(rank).cast("long"))
+    return one_per_key(rows, [key], [F.desc(place)]).orderBy(order.asc_nulls_last(), key)
+
+
+def first_written(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """The first row of each key by place."""
+    return one_per_key(rows, keys, [F.col(place)])
+
+
+def enriched(base: DataFrame, details: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``base`` with the columns of its detail row that say something; the last detail row by hash where a key has several."""
+    more = one_per_key(details, [key], settled(details)).select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    had = lambda c: F.col(c) if c in base.columns else F.lit(None).cast("string")
+    fields = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), had(c)) for c in columns}
+    return base.join(more, key, "left").withColumns(fields).drop(*[f"_{c}" for c in columns])
+
+
+def request_chunks(lines: DataFrame, text: str, order: str, most_requests: int, most_bytes: int, segment: int) -> DataFrame:
+    """Lines with a chunk number: each chunk takes lines in order until one more would pass either budget.
+
+    ``order`` is a number from 0 without gaps. Chunks start anew every ``segment`` lines, so
+    a task holds the sizes of one segment and no more; a line above the budget is a chunk by itself.
+    """
+    sized = lines.withColumn("_size", F.octet_length(text) + 1).withColumn("_segment", F.floor(F.col(order) / segment).cast("long"))
+    sizes = sized.groupBy("_segment").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_size").cast("long").alias("size")))).alias("s"))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("lines"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("chunks"))
+
+    def step(t: Column, x: Column) -> Column:
+        full = (t["lines"] > 0) & ((t["lines"] >= most_requests) | (t["bytes"] + x["size"] > most_bytes))
+        chunk = t["chunk"] + full.cast("int")
+        size = F.when(full, x["size"]).otherwise(t["bytes"] + x["size"])
+        return F.struct(chunk.alias("chunk"), F.when(full, 1).otherwise(t["lines"] + 1).alias("lines"), size.alias("bytes"), F.concat(t["chunks"], F.array(chunk)).alias("chunks"))
+
+    chunks = sizes.select("_segment", F.aggregate("s", start, step)["chunks"].alias("c"), F.col("s.at").alias("at")).select("_segment", F.explode(F.arrays_zip("at", "c")).alias("x"))
+    places = chunks.select(F.col("x.at").alias(order), F.col("_segment").alias("segment"), F.col("x.c").alias("chunk"))
+    return lines.join(places, order)
+
+
+def sync(local: DataFrame, hosted: DataFrame, store: str | None = None, limit: int | None = None, drop_missing: bool = True) -> DataFrame:
+    """The hosted products after local ones went over: upserted by (store_id, external_id); those absent here are no longer available.
+
+    A ``store`` bounds both steps. With a ``limit`` only the first products by key go and none is taken off.
+    """
+    keys = ["store_id", "external_id"]
+    rows = local if store is None else local.filter(F.col("store_id") == store)
+    rows = rows if limit is None else rows.orderBy(*keys).limit(limit)
+    after = upsert(hosted, rows, keys)
+    if not drop_missing or limit is not None:
+        return after
+    if store is None:
+        return deactivate_missing(after, rows, keys)
+    other = after.filter(~F.col("store_id").eqNullSafe(F.lit(store)))
+    return other.unionByName(deactivate_missing(after.filter(F.col("store_id") == store), rows, keys))
