@@ -11,20 +11,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import any_of, clean_text, none_if_empty, without_repeated_lines
+from .text import any_of, clean_text, none_if_empty, once, without_repeated_lines
+
+
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]+>", " ")
 
 
 def strip_html(x: Column) -> Column:
     """Text of a page: scripts and styles go, other tags become blanks, blanks become one."""
-    bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(decode_entities(bare), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(_bare(x)), r"\s+", " "))
+
+
+def page_text(x: Column) -> Column:
+    """As ``strip_html`` with every entity read; null if nothing is left."""
+    return none_if_empty(F.trim(F.regexp_replace(unescape(_bare(x)), r"(?U)\s+", " ")))
 
 
 def decode_entities(x: Column) -> Column:
-    """The six named entities, the ampersand first."""
+    """The six named entities, the ampersand first, then code points."""
     for name, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         x = F.replace(x, F.lit(name), F.lit(sign))
-    return x
+    return once(_code_points, F.split(x, "&#"))
+
+
+def _code_points(parts: Column) -> Column:
+    """Parts of a text between the marks of code points as one text; what is no code point keeps its mark."""
+
+    def read(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^(x[0-9a-fA-F]{1,6}|X[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        point = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("long")
+        fits = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(fits, F.concat(sign, F.substr(part, F.char_length(digits) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), read), ""))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kassabon.functions import dates, labels, media, numbers, text, web
+from kassabon.functions import dates, jsons, labels, media, numbers, text, web
 from kassabon.operators import keyed
 
 from .registry import query, table
@@ -157,11 +157,13 @@ def web_media(spark, sf_dir):
     main = rows("image mainImage", ("", True), ("one", False), ("main", even))
     third = F.col("p_size") % 3
     assets = rows("type url", ("seal", "s"), ("other", F.when(third != 2, "o").otherwise("")), ("primary", F.when(third == 0, "p")))
-    spoken = media.transcript([F.when(even, F.col("p_name")).otherwise(" ")], rows("text", ("one",), (" ",), ("two ",)))
-    found = media.first_safe_url(F.when(even, '{"a": {"b": ["http://localhost/x", "text", "https://ok.org/c.vtt"]}}').otherwise('{"a":[[[[["https://too.deep/"]]]]], "b": 3}'))
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), media.largest_image(images).alias("largest"), media.preferred_video(videos).alias("video"),
-        media.image_of_width(sized).alias("sized"), media.main_image(main).alias("main"), media.asset_image(assets).alias("asset"), spoken.alias("spoken"), found.alias("captions"),
+    found = F.when(even, '{"a": {"b": ["http://localhost/x", "text", "https://ok.org/c.vtt"]}}').otherwise('{"a":[[[[["https://too.deep/"]]]]], "b": 3}')
+    given = {"images": images, "videos": videos, "sized": sized, "main": main, "assets": assets, "text": found, "said": F.when(even, F.col("p_name")).otherwise(" "), "segments": rows("text", ("one",), (" ",), ("two ",))}
+    got = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[c.alias(n) for n, c in given.items()])
+    c = F.col
+    return got.select(
+        "id", media.largest_image(c("images")).alias("largest"), media.preferred_video(c("videos")).alias("video"), media.image_of_width(c("sized")).alias("sized"), media.main_image(c("main")).alias("main"),
+        media.asset_image(c("assets")).alias("asset"), media.transcript([c("said")], c("segments")).alias("spoken"), media.first_safe_url(c("text")).alias("captions"),
     )
 
 
@@ -178,3 +180,92 @@ def srt8_tags_in_language_order(spark, sf_dir):
     tag = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type"))
     rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(tag).alias("tags"))
     return rows.select("p_brand", F.array_join(keyed.in_language_order(F.col("tags")), ",").alias("tags"))
+
+
+HTML = [
+    ("<p>Salt &amp; pepper</p><script>x < 1</script> <b>now</b>", "Salt & pepper now", "Salt & pepper now"), ("caf&eacute; &#233;&#xE9; &#128512;", "caf&eacute; éé 😀", "café éé 😀"), ("a<br/>b\n c", "a b c", "a b c"), ("&amp;lt; &#x; &# &#55296;", "< &#x; &# &#55296;", "&lt; &#x; &# �"), ("", "", None), (None, None, None),
+]
+MARKS = [("Crème fraîche ﬁn", "Creme fraiche fin"), ("jalapeño-pepers", "jalapeno-pepers"), ("½ ei", "1⁄2 ei"), (None, None)]
+PATHS = [("images\\1.png", "https://f.example/images/1.png"), ("/a/b.png", "https://f.example/a/b.png"), ("https://x.org/c.png", "https://x.org/c.png"), (None, None)]
+SUFFIXES = [("https://x.org/p/kaas-123", "123"), ("https://x.org/p/45.html?x=9", "45"), ("https://x.org/p/45/", "45"), ("https://x.org/p/a45", None), (None, None)]
+PARTS = [("12", "5", 12.50), ("3", None, 3.00), ("€ 1", "99", 1.99), ("", "10", None), ("0", "05", 0.05)]
+POSITIVE = [("1,5", 1.5), ("-2", None), ("0", None), ("x", None), ("7", 7.0), (None, None)]
+
+
+@query(f"""
+    SELECT p_partkey AS id, {_sql_dealt([x for _, x, _ in HTML])} AS bare, {_sql_dealt([x for _, _, x in HTML])} AS said, {_sql_dealt([x for _, x in MARKS])} AS unmarked, {_sql_dealt([x for _, x in PATHS])} AS file, {_sql_dealt([x for _, x in SUFFIXES])} AS suffix,
+           CAST({_sql_dealt([x for _, _, x in PARTS])} AS DECIMAL(12, 2)) AS price, CAST({_sql_dealt([x for _, x in POSITIVE])} AS DOUBLE) AS positive
+    FROM part
+""")
+def txt_page_fields(spark, sf_dir):
+    names = {"html": [x for x, _, _ in HTML], "marked": [x for x, _ in MARKS], "path": [x for x, _ in PATHS], "url": [x for x, _ in SUFFIXES], "euros": [x for x, _, _ in PARTS], "cents": [x for _, x, _ in PARTS], "number": [x for x, _ in POSITIVE]}
+    c = F.col
+    rows = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), *[_dealt(given).alias(n) for n, given in names.items()])
+    return rows.select(
+        "id", web.strip_html(c("html")).alias("bare"), web.page_text(c("html")).alias("said"), web.without_marks(c("marked")).alias("unmarked"), web.file_url(c("path"), "https://f.example/").alias("file"),
+        web.id_suffix(c("url")).alias("suffix"), numbers.price_from_parts(c("euros"), c("cents")).alias("price"), numbers.positive_number(c("number")).alias("positive"),
+    )
+
+
+LD = '[{"@type": "Thing"}, {"@graph": [{"@type": ["Recipe", "Dish"], "name": "N", "recipeInstructions": [{"@type": "HowToSection", "itemListElement": [{"text": "Cut.\\n Mix."}]}, "Bake."]}]}]'
+
+
+@query("""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS recipes, CASE WHEN page_id % 3 = 0 THEN 'page ' || page_id END AS name, CASE WHEN page_id % 3 = 0 THEN 'Cut.|Mix.|Bake.' END AS steps,
+           CASE WHEN page_id % 3 = 0 THEN 'https://x.org/' || page_id || '?a=1&b=2' END AS location
+    FROM pages
+""")
+def jsn_linked_data(spark, sf_dir):
+    k = F.col("page_id")
+    ld = F.replace(F.lit(LD), F.lit('"N"'), F.concat(F.lit('"page '), k.cast("string"), F.lit('"')))
+    block = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script><loc> https://x.org/"), k.cast("string"), F.lit("?a=1&amp;b=2\n</loc>"))
+    rows = table(spark, sf_dir, "pages").select(k, F.when(k % 3 == 0, F.concat("html", block)).otherwise(F.col("html")).alias("html"))
+    rows = rows.select(k, F.get(F.filter(web.json_ld(F.col("html")), lambda x: x.contains("recipeInstructions")), 0).alias("ld"), web.sitemap_locations(F.col("html")).alias("locations"))
+    rows = rows.select(k, "locations", web.typed_objects(F.coalesce("ld", F.lit("")), F.lit("Recipe")).alias("found"))
+    one = F.get("found", 0)
+    steps = web.instruction_steps(F.get_json_object(one, "$.recipeInstructions"))
+    return rows.select(k, F.size("found").alias("recipes"), web.first_value(one, F.lit("name")).alias("name"), F.nullif(F.array_join(steps, "|"), F.lit("")).alias("steps"), F.get("locations", 0).alias("location"))
+
+
+@query("""
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey % 3 = 1 THEN 'second' ELSE 'derived-' || left(sha256(p_name || '|' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END), 24) END AS external_id,
+           CASE WHEN p_size % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'old' AS b, CASE WHEN p_size % 2 = 0 THEN 'more' END AS c,
+           'Name: ' || p_name || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Brand: ' || p_brand ELSE '' END AS lines, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'none' END AS title, p_name || ';' || p_brand AS joined
+    FROM part
+""")
+def jsn_ids_and_lines(spark, sf_dir):
+    k, even = F.col("p_partkey"), F.col("p_size") % 2 == 0
+    ids = [F.when(k % 3 == 0, k.cast("string")).otherwise(" "), F.when(k % 3 == 1, F.lit(" second "))]
+    both = jsons.merged(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old")), F.create_map(F.lit("a"), F.when(even, "new"), F.lit("b"), F.lit(""), F.lit("c"), F.when(even, "more")))
+    brand = F.when(even, F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), jsons.external_id(ids, F.col("p_name"), brand).alias("external_id"), both.alias("m"), "p_name", "p_brand", brand.alias("brand"), F.when(even, F.concat(F.lit("\n "), "p_name", F.lit("\nrest"))).otherwise("\n").alias("post"))
+    return rows.select(
+        "id", "external_id", *[F.try_element_at("m", F.lit(x)).alias(x) for x in "abc"], text.labelled_lines([("Name", F.col("p_name")), ("Brand", F.coalesce("brand", F.lit(" ")))]).alias("lines"),
+        text.post_title(F.col("post"), F.lit("none")).alias("title"), text.unique_joined(F.array("p_name", "p_brand", F.concat(F.lit(" "), "p_name"), F.lit(""))).alias("joined"),
+    )
+
+
+@query("""
+    WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS q, list_distinct(list_concat(string_split(p_name, ' ')[2:], [lower(p_type)])) AS n, p_name, p_size, p_brand FROM part),
+         o AS (SELECT *, len(list_intersect(q, n))::DOUBLE / len(q) AS share FROM w)
+    SELECT id, share, round(greatest(0, round(share + CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN p_brand = 'Brand#13' THEN 0.1 ELSE 0 END - CASE WHEN p_size % 3 = 0 THEN 0.5 ELSE 0 END, 4)), 4)::DOUBLE AS score,
+           CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN p_size || ' g' WHEN p_size % 4 = 2 THEN p_size || '.5' ELSE p_size || '.0' || CASE WHEN false THEN '' ELSE ' l' END END AS shown
+    FROM o
+""")
+def txt_scores_of_names(spark, sf_dir):
+    c, size = F.col, F.col("p_size")
+    name = F.concat_ws(" ", F.slice(F.split("p_name", " "), 2, 9)[0], F.lower("p_type"))
+    category = F.when(size % 2 == 0, c("p_name")).otherwise("other")
+    quantity = F.when(size % 4 == 0, None).when(size % 4 == 1, size.cast("double")).when(size % 4 == 2, size + 0.5).otherwise(size + 0.04)
+    unit = F.when(size % 4 == 1, "g").when(size % 4 == 3, "l").otherwise("")
+    return table(spark, sf_dir, "part").select(
+        c("p_partkey").alias("id"), text.token_overlap(c("p_name"), name).alias("share"), text.product_score(c("p_name"), name, category, c("p_brand"), size % 3 != 0, "Brand#13").alias("score"), numbers.format_quantity(quantity, unit).alias("shown"),
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS read, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS from_seconds FROM events")
+def dat_time_stamps(spark, sf_dir):
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    given = F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("no time")
+    seconds = F.when(F.col("event_id") % 2 == 0, F.unix_timestamp("ts").cast("string")).otherwise("soon")
+    return table(spark, sf_dir, "events").select("event_id", shown(dates.iso_timestamp(given, F.col("ts"))).alias("read"), shown(dates.epoch(seconds)).alias("from_seconds"))
