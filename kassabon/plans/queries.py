@@ -759,3 +759,148 @@ def jn19_nested_children(spark, sf_dir):
 def agg26_distinct_tags(spark, sf_dir):
     return recipes.distinct_tags(table(spark, sf_dir, "part").select(F.array("p_brand", "p_type").alias("tags")))
 
+
+
+# ---------------------------------------------------------------- reviews, answers and lists
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate for each brand, with its products by number."""
+    k = F.col("p_partkey")
+    got = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(k)).alias("ids"), F.count(F.lit(1)).alias("n"), F.min(k).alias("first"))
+    decision = F.when(F.col("n") % 2 == 0, '{"decision":"approve"}').otherwise('{"decision":"reject"}')
+    return got.select(
+        F.col("p_brand").alias("candidate_key"), F.when(F.col("first") % 2 == 0, "exact").otherwise("substitute").alias("candidate_kind"), F.col("p_brand").alias("canonical_name"), F.transform("ids", lambda x: x.cast("string")).alias("silver_ids"),
+        (F.col("n") % 7 / 10).alias("confidence"), F.when(F.col("first") % 5 == 0, "approved").otherwise("pending").alias("status"), decision.alias("ai_decision"), F.when(F.col("n") % 3 != 0, F.col("n") % 3 / 10).alias("ai_confidence"),
+    )
+
+
+_CANDIDATES = """
+    candidates AS (
+        SELECT p_brand AS candidate_key, CASE WHEN min(p_partkey) % 2 = 0 THEN 'exact' ELSE 'substitute' END AS kind, list(p_partkey ORDER BY p_partkey) AS ids, count(*) % 7 / 10 AS confidence,
+               CASE WHEN min(p_partkey) % 5 = 0 THEN 'approved' ELSE 'pending' END AS status, count(*) % 2 = 0 AS wanted, CASE WHEN count(*) % 3 <> 0 THEN count(*) % 3 / 10 END AS sure
+        FROM part GROUP BY p_brand
+    )
+"""
+
+
+@query(f"""
+    WITH {_CANDIDATES}, q AS (SELECT * FROM candidates WHERE status = 'pending' AND kind = 'exact' ORDER BY confidence DESC, candidate_key LIMIT 5)
+    SELECT candidate_key, confidence::DOUBLE AS confidence, (SELECT string_agg(p_partkey || ':' || p_name, '|' ORDER BY p_partkey) FROM part WHERE p_brand = candidate_key) AS products FROM q
+""")
+def tf19_review_queue(spark, sf_dir):
+    rows = silver_rows(spark, sf_dir).withColumn("name", F.col("canonical_name"))
+    got = grouping.review_queue(_candidates(spark, sf_dir), rows, kind="exact", limit=5)
+    listed = F.from_json("products", "array<struct<id:string,name:string>>")
+    return got.select("candidate_key", "confidence", F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["id"], x["name"])), "|").alias("products"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT candidate_key FROM candidates WHERE status = 'pending' AND wanted ORDER BY sure DESC NULLS LAST, confidence DESC, candidate_key LIMIT 6")
+def tf20_model_approved(spark, sf_dir):
+    return grouping.model_approved(_candidates(spark, sf_dir), limit=6)
+
+
+@query(f"WITH {_CANDIDATES} SELECT candidate_key, CAST(unnest(ids) AS VARCHAR) AS silver_product_id, unnest(range(1, len(ids) + 1))::INT AS position FROM candidates WHERE status = 'pending'")
+def jn16_candidate_members(spark, sf_dir):
+    return grouping.candidate_members(_candidates(spark, sf_dir))
+
+
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS silver_product_id, p_name AS canonical_name, p_type AS category, (p_size / 50)::DOUBLE AS confidence, CASE WHEN p_size / 50 >= 0.85 THEN 'approved' ELSE 'pending' END AS review_status
+    FROM part WHERE p_partkey // 10 % 4 <> 3 AND p_partkey % 9 <> 0
+""")
+def tf25_answers_to_gold(spark, sf_dir):
+    """Groups of ten products are answered; every fourth group's answer names a place twice, so none of it counts."""
+    k = F.col("p_partkey")
+    group, index = F.concat(F.lit("g"), F.floor(k / 10).cast("string")), (k % 10).cast("int")
+    part = table(spark, sf_dir, "part").withColumn("custom_id", group).withColumn("index", index)
+    told = F.when((F.floor(k / 10) % 4 == 3) & (index < 2), 0).otherwise(index)
+    item = F.struct(told.alias("itemIndex"), F.when(k % 9 != 0, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(" ").alias("canonicalName"), F.col("p_type").alias("category"), F.array("p_name").alias("aliases"), (F.col("p_size") / 50).alias("confidence"))
+    lines = part.groupBy("custom_id").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
+    manifest = part.select("custom_id", F.col("index").alias("item_index"), k.cast("string").alias("silver_product_id"))
+    got = grouping.gold(silver_rows(spark, sf_dir), grouping.batch_answers(lines, manifest))
+    return got.select("silver_product_id", "canonical_name", "category", "confidence", "review_status")
+
+
+_BEST = """
+    band AS (SELECT *, max(match_score) OVER (PARTITION BY query_id) AS best FROM found WHERE current_price_cents IS NOT NULL),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY current_price_cents, match_score DESC, name) AS p FROM band WHERE match_score >= greatest(0.5, best - 0.12))
+"""
+
+
+@query(f"WITH {_sql_search(_CASES, 8)}, {_BEST} SELECT a.query_id, id AS selected_product_id, store_id, current_price_cents AS estimated_price_cents FROM asked a LEFT JOIN pick ON pick.query_id = a.query_id AND p = 1")
+def tf27_choose_products(spark, sf_dir):
+    return recipes.choose_products(catalogue(spark, sf_dir), _cases(spark)).select("query_id", "selected_product_id", "store_id", "estimated_price_cents")
+
+
+@query(f"""
+    WITH {_sql_search("SELECT query_id, query_text FROM (" + _CASES + ")", 8)}, {_BEST},
+    wanted AS (SELECT l_orderkey AS list_id, l_partkey AS item, a.query_text, a.query_id FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 40 = 0) JOIN asked a ON a.query_id = 'q' || (l_partkey % 8 + 1)),
+    had AS (SELECT * FROM wanted WHERE item % 2 = 0), n AS (SELECT list_id, count(*) AS n FROM had GROUP BY list_id)
+    SELECT list_id, CAST(item AS VARCHAR) AS item, query_text AS ingredient_name, NULL AS product, (row_number() OVER (PARTITION BY list_id ORDER BY item) - 1)::INT AS sort_order FROM had
+    UNION ALL
+    SELECT w.list_id, CAST(item AS VARCHAR), w.query_text, pick.id, (coalesce(n, 0) + row_number() OVER (PARTITION BY w.list_id ORDER BY CAST(item AS VARCHAR)) - 1)::INT
+    FROM wanted w LEFT JOIN n USING (list_id) LEFT JOIN pick ON pick.query_id = w.query_id AND p = 1 WHERE item % 2 = 1
+""")
+def tf26_add_to_lists(spark, sf_dir):
+    """Half of the wanted ingredients stand on their lists already."""
+    asked = _cases(spark).select(F.col("query_id").alias("q"), F.col("query_text").alias("ingredient_name"))
+    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("list_id"), "l_partkey").distinct()
+    rows = rows.withColumn("q", F.concat(F.lit("q"), (F.col("l_partkey") % 8 + 1).cast("string"))).join(asked, "q").drop("q")
+    had = rows.filter("l_partkey % 2 = 0").withColumn("sort_order", keyed.list_position(rows, ["list_id"], "l_partkey").cast("int"))
+    fields = ["list_id", F.col("l_partkey").cast("string").alias("recipe_ingredient_id"), "ingredient_name"]
+    items = had.select(*fields, F.lit(None).cast("string").alias("selected_product_id"), "sort_order", F.lit(False).alias("checked"))
+    got = recipes.add_to_lists(items, rows.select(*fields), catalogue(spark, sf_dir))
+    return got.select("list_id", F.col("recipe_ingredient_id").alias("item"), "ingredient_name", F.col("selected_product_id").alias("product"), "sort_order")
+
+
+@query("""
+    WITH l AS (SELECT o_custkey AS recipe_id, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS total_cents FROM orders GROUP BY o_custkey)
+    SELECT c_custkey AS recipe_id, total_cents FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 8) LEFT JOIN l ON recipe_id = c_custkey
+""")
+def tf28_home_feed(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recipe_id"), F.col("c_acctbal").alias("created_at"))
+    lists = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("recipe_id"), F.col("o_orderkey").alias("list_id"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("total_cents"))
+    return recipes.home_feed(made, lists).select("recipe_id", "total_cents")
+
+
+@query("SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, CAST(isodow(o_orderdate) - 1 AS INT) AS weekday, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS step_number FROM orders")
+def win3_week_plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    got = recipes.running_position(recipes.week_plan(rows, "day"), ["o_custkey"], "o_orderdate", "o_orderkey")
+    return got.select("o_orderkey", "week_start", "weekday", "step_number")
+
+
+@query("""
+    SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 THEN 'complete' ELSE 'incomplete' END AS status,
+           concat_ws(',', CASE WHEN p_size % 2 <> 0 THEN 'servings' END, CASE WHEN p_partkey % 3 = 0 THEN 'quantities' END, CASE WHEN p_partkey % 5 = 0 THEN 'other' END) AS missing, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_size > 5 AND p_partkey % 13 <> 0 AS valid
+    FROM part
+""")
+def jsn12_valid_recipes(spark, sf_dir):
+    k, even = F.col("p_partkey"), F.col("p_size") % 2 == 0
+    told = F.array_compact(F.array(F.lit("servings"), F.lit("quantities"), F.when(k % 5 == 0, "other"), F.lit("servings")))
+    state = recipes.completeness(told, {"servings": even, "quantities": k % 3 != 0})
+    item = F.struct(F.when(k % 13 != 0, F.col("p_name")).otherwise(" ").alias("ingredientName"))
+    doc = F.struct(F.when(k % 7 != 0, F.col("p_name")).otherwise(" ").alias("title"), F.when(k % 11 != 0, F.array(item)).otherwise(F.array()).alias("ingredients"), F.when(F.col("p_size") > 5, F.col("p_size") / 50).otherwise(1.5).alias("confidenceScore"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), state["status"].alias("status"), F.array_join(state["missing_fields"], ",").alias("missing"), F.to_json(doc).alias("text"))
+    good, bad = recipes.valid_recipes(rows, "text")
+    keep = ["id", "status", "missing"]
+    return good.select(*keep, F.lit(True).alias("valid")).unionByName(bad.select(*keep, F.lit(False).alias("valid")))
+
+
+@query(f"""
+    WITH {CATALOGUE}, g AS (SELECT *, CASE WHEN k % 3 <> 0 THEN canonical_key END AS key FROM catalogue)
+    SELECT id, store_id FROM g WHERE is_available AND (key = (SELECT key FROM g WHERE id = '8') OR id = '8')
+""")
+def tf10_kind_offers(spark, sf_dir):
+    products = catalogue(spark, sf_dir).withColumn("exact_group_key", F.when(F.col("id").cast("long") % 3 != 0, F.col("canonical_key")))
+    return search.kind_offers(products, "8").select("id", "store_id")
+
+
+@query(f"""
+    WITH {CATALOGUE}, r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY name_search = 'red bolt' DESC, current_price_cents, unit_price_cents, name, id) AS n
+                            FROM catalogue WHERE is_available AND canonical_key = 'red_bolt' AND current_price_cents > 0)
+    SELECT id, store_id FROM r WHERE n = 1
+""")
+def agg19_offer_of_each_store(spark, sf_dir):
+    return search.search_offers(catalogue(spark, sf_dir), "Red bolt", one_per_store=True).select("id", "store_id")
