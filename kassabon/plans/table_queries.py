@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kassabon.functions import labels
@@ -12,7 +12,8 @@ from kassabon.sources import sinks
 from . import grouping
 from .registry import query, table
 
-_k = F.col("p_partkey")
+def _k() -> Column:
+    return F.col("p_partkey")
 
 
 @query("""
@@ -24,7 +25,7 @@ _k = F.col("p_partkey")
 """)
 def snk10_remap_keys(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    tags = part.select(_k.alias("k"), F.col("p_brand").alias("canonical_key"), F.col("p_name").alias("display_name"), F.when(_k % 5 != 0, F.col("p_size") / 50.0).alias("confidence"), F.lit("rule").alias("source"))
+    tags = part.select(_k().alias("k"), F.col("p_brand").alias("canonical_key"), F.col("p_name").alias("display_name"), F.when(_k() % 5 != 0, F.col("p_size") / 50.0).alias("confidence"), F.lit("rule").alias("source"))
     remap = part.filter("p_brand < 'Brand#3'").select(F.col("p_brand").alias("old_key"), F.lit("Brand#1").alias("new_key"), F.when(F.col("p_brand") < "Brand#2", "one").alias("display_name"), F.lit(None).cast("double").alias("confidence")).distinct()
     return sinks.remap_keys(tags, remap)
 
@@ -40,7 +41,7 @@ def snk11_delete_cascading(spark, sf_dir):
     SELECT k, run, price, run = max(run) OVER (PARTITION BY k) AS is_current FROM v
 """)
 def snk14_versions(spark, sf_dir):
-    old = table(spark, sf_dir, "part").select(_k.alias("k"), F.lit(1).alias("run"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_current"))
+    old = table(spark, sf_dir, "part").select(_k().alias("k"), F.lit(1).alias("run"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_current"))
     new = old.filter("k % 3 = 0").select("k", F.lit(2).alias("run"), (F.col("price") + 1).alias("price"), "is_current")
     return sinks.with_current(old, new, ["k"], "run")
 
@@ -79,8 +80,8 @@ def snk18_first_written(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 6 <> 4 THEN CAST(p_size AS VARCHAR) END AS more FROM part")
 def snk20_enriched(spark, sf_dir):
     base = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    more = F.when((_k % 2 == 0) & (_k % 6 != 4), F.col("p_size").cast("string"))
-    details = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0 or p_partkey % 3 = 0").select("p_partkey", F.when(_k % 3 == 0, F.upper("p_name")).otherwise("").alias("p_name"), more.alias("more"))
+    more = F.when((_k() % 2 == 0) & (_k() % 6 != 4), F.col("p_size").cast("string"))
+    details = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0 or p_partkey % 3 = 0").select("p_partkey", F.when(_k() % 3 == 0, F.upper("p_name")).otherwise("").alias("p_name"), more.alias("more"))
     return sinks.enriched(base, details, "p_partkey", ["p_name", "more"])
 
 
@@ -110,8 +111,8 @@ _SYNC = """
 
 
 def _sync(spark, sf_dir, **how) -> DataFrame:
-    store = F.element_at(F.array(F.lit("ah"), F.lit("jumbo"), F.lit("dirk")), (_k % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select(store.alias("store_id"), _k.cast("string").alias("external_id"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_available"))
+    store = F.element_at(F.array(F.lit("ah"), F.lit("jumbo"), F.lit("dirk")), (_k() % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(store.alias("store_id"), _k().cast("string").alias("external_id"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_available"))
     number = F.col("external_id").cast("long")
     return sinks.sync(rows.filter(number % 4 != 0).withColumn("price", F.col("price") + 1), rows.filter(number % 5 != 0), **how)
 
@@ -149,7 +150,7 @@ def agg27_largest_groups(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND (p_brand = 'Brand#13' OR p_type = 'PROMO')")
 def flt13_complete_and_tagged(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").withColumn("tags", F.array(F.when(F.col("p_brand") == "Brand#13", "PROMO"), "p_type")).withColumn("price", F.when(_k % 5 != 0, F.col("p_retailprice"))).withColumn("name", F.when(_k % 7 != 0, F.col("p_name")).otherwise(" "))
+    rows = table(spark, sf_dir, "part").withColumn("tags", F.array(F.when(F.col("p_brand") == "Brand#13", "PROMO"), "p_type")).withColumn("price", F.when(_k() % 5 != 0, F.col("p_retailprice"))).withColumn("name", F.when(_k() % 7 != 0, F.col("p_name")).otherwise(" "))
     return keyed.with_member_of(keyed.complete(rows, "name", "price"), "tags", "PROMO").select("p_partkey")
 
 
@@ -157,7 +158,7 @@ def flt13_complete_and_tagged(spark, sf_dir):
     SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 3 <> 0, CASE WHEN p_size % 4 <> 0 THEN p_size % 7 END NULLS LAST, lower(upper(p_name) || p_partkey)) AS INT) AS position FROM part
 """)
 def srt9_menu_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("menu"), F.when(_k % 3 != 0, "parent").alias("parent"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 7).alias("place"), F.concat(F.upper("p_name"), _k.cast("string")).alias("name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("menu"), F.when(_k() % 3 != 0, "parent").alias("parent"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 7).alias("place"), F.concat(F.upper("p_name"), _k().cast("string")).alias("name"))
     return keyed.menu_order(rows, "parent", "place", "name").select("p_partkey", "position")
 
 
@@ -166,15 +167,15 @@ def srt9_menu_order(spark, sf_dir):
     SELECT url FROM (SELECT url, min(list * 1000000000 + place) AS turn FROM a GROUP BY url) ORDER BY turn LIMIT 20
 """)
 def set8_first_listed(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("url"), _k.alias("place"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("url"), _k().alias("place"))
     return keyed.first_listed([rows.filter("place % 50 = 0"), rows], "url", "place", 20)
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 OR p_brand IN (SELECT p_brand FROM part WHERE p_partkey < 60 AND p_partkey % 2 = 0)")
 def jn15_replaceable(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    rows = part.select("p_partkey", F.when(_k % 4 != 0, F.col("p_brand")).alias("exact_group_key"))
-    groups = part.filter("p_partkey < 60").select(F.col("p_brand").alias("group_key"), F.when(_k % 2 == 0, "ean").otherwise("manual").alias("source"))
+    rows = part.select("p_partkey", F.when(_k() % 4 != 0, F.col("p_brand")).alias("exact_group_key"))
+    groups = part.filter("p_partkey < 60").select(F.col("p_brand").alias("group_key"), F.when(_k() % 2 == 0, "ean").otherwise("manual").alias("source"))
     return keyed.replaceable(rows, groups, "exact_group_key").select("p_partkey")
 
 
