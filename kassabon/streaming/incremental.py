@@ -1,12 +1,13 @@
 """Incremental refresh: landed files stream in, and each micro-batch updates the silver table.
 
 The state is a folder of versions beside a log of batches. A batch writes the version of its own
-id, so running it again after a failure replaces the same version; late rows don't overwrite
-newer ones.
+id over the latest one before it, so running it again after a failure replaces the same version,
+and a state that lacks some versions is taken as it is; late rows don't overwrite newer ones.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,8 +22,13 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 
 
 def version(spark: SparkSession, state: str, number: int) -> DataFrame | None:
-    """The table as of a batch, None before the first."""
-    return spark.read.parquet(f"{state}/version={number}") if number >= 0 else None
+    """The table as of a batch: the latest version up to its number, None if there is none."""
+    try:
+        known = spark.read.parquet(state)
+    except AnalysisException:  # nothing was written yet
+        return None
+    latest = known.filter(F.col("version") <= number).agg(F.max("version")).first()[0]
+    return None if latest is None else spark.read.parquet(f"{state}/version={latest}")
 
 
 def refresh_batch(state: str):

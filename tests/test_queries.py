@@ -25,7 +25,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float | Decimal) and math.isfinite(value):
-        return f"{round(float(value), 6):g}"
+        return f"{round(float(value), 6):.9g}"
     return str(value)
 
 
