@@ -34,10 +34,11 @@ def merge_ingredients(rows: DataFrame, keys: list[str], include_optional: bool =
 
 def choose_products(products: DataFrame, ingredients: DataFrame, count: int = 8) -> DataFrame:
     """The cheapest relevant product of each ingredient (query_id, query_text), all in one search; none gives nulls."""
-    found = search_many(products, ingredients.select("query_id", "query_text"), count)
+    texts = ingredients.select("query_text").filter("query_text is not null").distinct()
+    found = search_many(products, texts.withColumn("query_id", F.col("query_text")), count)  # each text once, whoever asks for it
     best = cheapest_relevant(found, ["query_id"], "match_score", "current_price_cents", "name")
-    best = best.select("query_id", F.col("id").alias("selected_product_id"), "store_id", F.col("current_price_cents").alias("estimated_price_cents"))
-    return ingredients.join(best, "query_id", "left")
+    best = best.select(F.col("query_id").alias("query_text"), F.col("id").alias("selected_product_id"), "store_id", F.col("current_price_cents").alias("estimated_price_cents"))
+    return ingredients.join(best, "query_text", "left")
 
 
 def add_to_lists(items: DataFrame, wanted: DataFrame, products: DataFrame) -> DataFrame:
