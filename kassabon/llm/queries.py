@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, multiset_hash, ngram_join, pieces, pii, suffix_dedup, toxicity, url_cascade
+from . import ann, conversation_repair, importance, language, main_text, mixing, multiset_hash, ngram_join, pieces, pii, suffix_dedup, toxicity, url_cascade
 from .common import table
 
 
@@ -49,7 +49,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op5_nearest_vectors, op6_language, op7_suffix_dedup, op8_ngram_join, op9_fingerprints, op10_url_filter)}
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.report(table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_personal_data, op3_toxicity, op4_sentencepiece, op5_nearest_vectors, op6_language, op7_suffix_dedup, op8_ngram_join, op9_fingerprints,
+        op10_url_filter, op11_repair_conversations, op12_main_text, op13_importance_resampling,
+    )
+}
 
 ORACLES = {
     "op10_url_filter": """
