@@ -209,5 +209,5 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
 
 def report(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every row of ``docs``."""
-    got = ranked(weighed(docs.select("doc_id", "text"), target).drop("text"))
+    got = ranked(stored(weighed(docs.select("doc_id", "text"), target).drop("text")))  # written, for the ranges are drawn from a sample of it
     return got.select("doc_id", "n_features", "weight", "score", "rank")

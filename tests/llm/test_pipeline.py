@@ -32,4 +32,4 @@ def test_stages_take_odd_rows(spark, step):
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
