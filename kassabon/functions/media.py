@@ -9,8 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kassabon.workers import sent_whole
+
 from .web import host_of, safe_url
 
+sent_whole(__name__)
+
 # Endings of media files.
 MEDIA = r"\.(mp4|webm|mov|mkv|m4a|mp3|wav|ogg)$"
 DEEPEST = 4

@@ -11,8 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kassabon.workers import sent_whole
+
 from .text import any_of, clean_text, none_if_empty, once, without_repeated_lines
 
+sent_whole(__name__)
+
 
 def _bare(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]+>", " ")
