@@ -154,4 +154,4 @@ def record(pages: DataFrame, path: str, pages_per_file: int = 1000) -> None:
     keys = ["store", "kind", "leaf"]
     rows = pages.repartition(*keys, F.floor(F.col("page") / pages_per_file)).sortWithinPartitions(*keys, "page")
     line = F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.coalesce(F.concat(F.lit(',"key":'), F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2)), F.lit("")), F.lit(',"body":'), F.coalesce("body", F.lit("null")), F.lit("}"))
-    rows.select(*keys, line.alias("value")).write.partitionBy(*keys).text(path)
+    rows.select(*keys, line.alias("value")).write.option("maxRecordsPerFile", pages_per_file).partitionBy(*keys).text(path)
