@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kassabon.functions import numbers, text
 from kassabon.operators.keyed import one_per_key, ordered_list
+from kassabon.operators.numbered import numbered
 from kassabon.sources.sinks import insert_new, upsert
 
 NO_EAN = ("null", "none", "n/a")
@@ -201,22 +202,11 @@ def model_approved(candidates: DataFrame, kind: str | None = None, limit: int =
 
 
 def batches(rows: DataFrame, *order: str, size: int = 80, segments: int = 1, salt: str = "catalog") -> DataFrame:
-    """Rows with their segment, group and place for batch requests: groups of ``size`` in a total order.
-
-    The order is dealt into ranges, so that no task sees all rows; a range's start is the sum of
-    the sizes before it, a table of a row for each range.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy())
-    sizes = sizes.select("_range", before.alias("_before"), total.alias("_total"))
-    placed = ranged.join(F.broadcast(sizes), "_range").withColumn("_row", F.col("_before") + F.col("_in"))  # a row for each shuffle partition
+    """Rows with their segment, group and place for batch requests: groups of ``size`` in a total order."""
+    placed = numbered(rows, *order, place="_row")
+    total = placed.count()
     group = F.floor(F.col("_row") / size).cast("long")
-    per = F.ceil(F.ceil(F.col("_total") / size) / segments)
+    per = max(1, -(-(-(-total // size)) // segments))
     segment = (F.floor(group / per) + 1).cast("int")
     name = F.format_string(f"{salt}-segment-%02d-group-%05d", segment, group - (segment - 1) * per + 1)
     return placed.select(*rows.columns, segment.alias("segment"), name.alias("custom_id"), (F.col("_row") % size).cast("int").alias("item_index"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kassabon.functions import labels
 from kassabon.operators import keyed
-from kassabon.sources import sinks
+from kassabon.operators.numbered import numbered
+from kassabon.sources import requests, sinks
 
-from . import grouping
 from .registry import query, table
 
 def _k() -> Column:
@@ -85,23 +85,37 @@ def snk20_enriched(spark, sf_dir):
     return sinks.enriched(base, details, "p_partkey", ["p_name", "more"])
 
 
-@query("""
-    WITH RECURSIVE l AS (SELECT conv_id * 100 + turn AS id, octet_length(encode(text)) + 1 AS size, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations),
+_CHUNKS = """
+    WITH RECURSIVE l AS (SELECT conv_id * 100 + turn AS id, text, octet_length(encode(text)) + 1 AS size, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations),
     c AS (
-        SELECT id, n, size AS bytes, 1 AS lines, 0 AS chunk, n // 50 AS segment FROM l WHERE n % 50 = 0
+        SELECT id, n, size AS bytes, 1 AS lines, 0 AS chunk FROM l WHERE n = 0
         UNION ALL
         SELECT l.id, l.n, CASE WHEN lines >= 7 OR bytes + size > 900 THEN size ELSE bytes + size END, CASE WHEN lines >= 7 OR bytes + size > 900 THEN 1 ELSE lines + 1 END,
-               CASE WHEN lines >= 7 OR bytes + size > 900 THEN chunk + 1 ELSE chunk END, segment
-        FROM c JOIN l ON l.n = c.n + 1 WHERE l.n % 50 <> 0
+               CASE WHEN lines >= 7 OR bytes + size > 900 THEN chunk + 1 ELSE chunk END
+        FROM c JOIN l ON l.n = c.n + 1
     )
-    SELECT id, CAST(segment AS BIGINT) AS segment, chunk FROM c
-""")
-def win6_request_chunks(spark, sf_dir):
+"""
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    placed = grouping.batches(rows, "id", size=50)
-    number = F.regexp_extract("custom_id", "([0-9]+)$", 1).cast("long")
-    placed = placed.select("id", "text", ((number - 1) * 50 + F.col("item_index")).alias("n"))
-    return sinks.request_chunks(placed, "text", "n", 7, 900, 50).select("id", "segment", "chunk")
+    return requests.request_chunks(numbered(rows, "id"), "text", "n", 7, 900)
+
+
+@query(_CHUNKS + "SELECT id, CAST(chunk AS BIGINT) AS chunk FROM c")
+def win6_request_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("id", "chunk")
+
+
+@query(_CHUNKS + """
+    , p AS (SELECT format('part{:03d}', chunk + 1) AS part, count(*) AS requests, sum(l.size)::BIGINT AS bytes,
+                   '{' || string_agg('"n' || c.n || '":"' || c.id || '"', ',' ORDER BY c.n) || '}' AS map
+            FROM c JOIN l USING (n) GROUP BY chunk)
+    SELECT part, 'canonical_requests.' || part || '.jsonl' AS request_file, 'canonical_requests.' || part || '.map.json' AS map_file, 'canonical_output.' || part || '.jsonl' AS output_file, requests, bytes, map FROM p
+""")
+def snk22_request_manifest(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).withColumns({"custom_id": F.concat(F.lit("n"), F.col("n").cast("string")), "stands_for": F.col("id").cast("string")})
+    return requests.manifest(chunks, "text").join(requests.id_maps(chunks, "custom_id", "stands_for", "n"), "part")
 
 
 _SYNC = """

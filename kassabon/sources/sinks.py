@@ -95,8 +95,8 @@ def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def with_current(old: DataFrame, new: DataFrame, keys: list[str], run: str) -> DataFrame:
-    """Versions of old and new rows; the one of the latest run is current."""
-    latest = Window.partitionBy(*keys).orderBy(F.desc(run))
+    """Versions of old and new rows; the one of the latest run is current, of several the first by a hash of the row."""
+    latest = Window.partitionBy(*keys).orderBy(F.desc(run), F.xxhash64(*[c for c in old.columns if c != "is_current"]))
     rows = old.drop("is_current").unionByName(new.drop("is_current"))
     return rows.withColumn("is_current", F.row_number().over(latest) == 1)
 
@@ -119,12 +119,12 @@ def run_finished(log: DataFrame, results: DataFrame) -> DataFrame:
 def last_written(rows: DataFrame, key: str, place: str, rank: str) -> DataFrame:
     """The last row of each key by place, for an export that goes by rank, without one last, then by key."""
     order = F.when(F.col(rank).cast("string").rlike("^[0-9]+$"), F.col(rank).cast("long"))
-    return one_per_key(rows, [key], [F.desc(place)]).orderBy(order.asc_nulls_last(), key)
+    return one_per_key(rows, [key], [F.desc(place), *settled(rows)]).orderBy(order.asc_nulls_last(), key)
 
 
 def first_written(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     """The first row of each key by place."""
-    return one_per_key(rows, keys, [F.col(place)])
+    return one_per_key(rows, keys, [F.col(place), *settled(rows)])
 
 
 def enriched(base: DataFrame, details: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -135,27 +135,6 @@ def enriched(base: DataFrame, details: DataFrame, key: str, columns: list[str])
     return base.join(more, key, "left").withColumns(fields).drop(*[f"_{c}" for c in columns])
 
 
-def request_chunks(lines: DataFrame, text: str, order: str, most_requests: int, most_bytes: int, segment: int) -> DataFrame:
-    """Lines with a chunk number: each chunk takes lines in order until one more would pass either budget.
-
-    ``order`` is a number from 0 without gaps. Chunks start anew every ``segment`` lines, so
-    a task holds the sizes of one segment and no more; a line above the budget is a chunk by itself.
-    """
-    sized = lines.withColumn("_size", F.octet_length(text) + 1).withColumn("_segment", F.floor(F.col(order) / segment).cast("long"))
-    sizes = sized.groupBy("_segment").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_size").cast("long").alias("size")))).alias("s"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("lines"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(t: Column, x: Column) -> Column:
-        full = (t["lines"] > 0) & ((t["lines"] >= most_requests) | (t["bytes"] + x["size"] > most_bytes))
-        chunk = t["chunk"] + full.cast("int")
-        size = F.when(full, x["size"]).otherwise(t["bytes"] + x["size"])
-        return F.struct(chunk.alias("chunk"), F.when(full, 1).otherwise(t["lines"] + 1).alias("lines"), size.alias("bytes"), F.concat(t["chunks"], F.array(chunk)).alias("chunks"))
-
-    chunks = sizes.select("_segment", F.aggregate("s", start, step)["chunks"].alias("c"), F.col("s.at").alias("at")).select("_segment", F.explode(F.arrays_zip("at", "c")).alias("x"))
-    places = chunks.select(F.col("x.at").alias(order), F.col("_segment").alias("segment"), F.col("x.c").alias("chunk"))
-    return lines.join(places, order)
-
-
 def sync(local: DataFrame, hosted: DataFrame, store: str | None = None, limit: int | None = None, drop_missing: bool = True) -> DataFrame:
     """The hosted products after local ones went over: upserted by (store_id, external_id); those absent here are no longer available.
 
