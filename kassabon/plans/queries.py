@@ -15,7 +15,7 @@ from kassabon.functions import words as W
 from kassabon.operators import keyed
 from kassabon.sources import sinks
 
-from . import canonical, field_queries, grouping, landing_queries, recipes, search, silver, table_queries  # noqa: F401
+from . import canonical, field_queries, grouping, landing_queries, page_queries, recipes, search, silver, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # ---------------------------------------------------------------- the catalogue
