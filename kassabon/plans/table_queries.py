@@ -9,6 +9,8 @@ from kassabon.functions import labels
 from kassabon.operators import keyed
 from kassabon.operators.numbered import numbered
 from kassabon.sources import requests, sinks
+from kassabon.sources.folders import new_path
+from kassabon.sources.keyed_table import KeyedTable, sync_table
 
 from .registry import query, table
 
@@ -124,11 +126,15 @@ _SYNC = """
 """
 
 
-def _sync(spark, sf_dir, **how) -> DataFrame:
+def _sync_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     store = F.element_at(F.array(F.lit("ah"), F.lit("jumbo"), F.lit("dirk")), (_k() % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select(store.alias("store_id"), _k().cast("string").alias("external_id"), F.col("p_retailprice").alias("price"), F.lit(True).alias("is_available"))
     number = F.col("external_id").cast("long")
-    return sinks.sync(rows.filter(number % 4 != 0).withColumn("price", F.col("price") + 1), rows.filter(number % 5 != 0), **how)
+    return rows.filter(number % 4 != 0).withColumn("price", F.col("price") + 1), rows.filter(number % 5 != 0)
+
+
+def _sync(spark, sf_dir, **how) -> DataFrame:
+    return sinks.sync(*_sync_sides(spark, sf_dir), **how)
 
 
 @query(_SYNC + "SELECT coalesce(l.store_id, h.store_id) AS store_id, coalesce(l.external_id, h.external_id) AS external_id, coalesce(l.price, h.price) AS price, l.k IS NOT NULL AS is_available FROM h FULL JOIN l ON h.k = l.k")
@@ -147,6 +153,17 @@ def tf22_sync_of_a_few(spark, sf_dir):
     return _sync(spark, sf_dir, limit=10)
 
 
+@query(_SYNC + "SELECT coalesce(l.store_id, h.store_id) AS store_id, coalesce(l.external_id, h.external_id) AS external_id, coalesce(l.price, h.price) AS price, l.k IS NOT NULL AS is_available FROM h FULL JOIN l ON h.k = l.k")
+def snk13_sync_by_bucket(spark, sf_dir):
+    """The hosted copy as a keyed table: made, synced twice, the second time without a change."""
+    local, hosted = _sync_sides(spark, sf_dir)
+    table_ = KeyedTable(spark, new_path(spark, "hosted"), hosted.schema, ["store_id", "external_id"], 16)
+    table_.upsert(hosted)
+    sync_table(local, table_)
+    sync_table(local, table_)
+    return table_.read()
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT l_orderkey, 1, max(l_partkey) FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey")
 def snk23_replace_children(spark, sf_dir):
     old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

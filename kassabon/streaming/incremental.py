@@ -1,19 +1,21 @@
 """Incremental refresh: landed files stream in, and each micro-batch updates the silver table.
 
-The state is a folder of versions beside a log of batches. A batch writes the version of its own
-id over the latest one before it, so running it again after a failure replaces the same version,
-and a state that lacks some versions is taken as it is; late rows don't overwrite newer ones.
+The state is a keyed table: a batch rewrites the buckets whose products it changes. Its id is the mark of
+the commit, so a batch that runs again after a failure finds itself done; late rows don't overwrite newer
+ones. Envelopes that land again within a day of event time are dropped before they reach a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kassabon.functions import jsons
 from kassabon.plans.silver import bronze, silver
-from kassabon.sources.sinks import upsert
+from kassabon.sources.keyed_table import KeyedTable
+
+KEYS = ["store", "external_id"]
 
 
 def read_landing(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -21,34 +23,33 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     return lines.select(F.trim("value").alias("value")).filter("value <> ''")
 
 
-def version(spark: SparkSession, state: str, number: int) -> DataFrame | None:
-    """The table as of a batch: the latest version up to its number, None if there is none."""
-    try:
-        known = spark.read.parquet(state)
-    except AnalysisException:  # nothing was written yet
-        return None
-    latest = known.filter(F.col("version") <= number).agg(F.max("version")).first()[0]
-    return None if latest is None else spark.read.parquet(f"{state}/version={latest}")
+def without_repeats(lines: DataFrame, late: str = "1 day") -> DataFrame:
+    """Lines whose envelope didn't land before, as far as the watermark of their ``scraped_at`` reaches; lines without a time pass as they are."""
+    at = F.try_to_timestamp(jsons.path(F.col("value"), "scraped_at"))
+    rows = lines.withColumn("_hash", jsons.row_hash(jsons.path(F.col("value"), "store"), F.col("value"))).withColumn("_at", at)
+    once = rows.filter("_at is not null").withWatermark("_at", late).dropDuplicatesWithinWatermark(["_hash"])
+    return once.select("value").union(rows.filter("_at is null").select("value"))
+
+
+def silver_table(spark: SparkSession, state: str, buckets: int = 64) -> KeyedTable:
+    schema = silver(bronze(spark.createDataFrame([], "value string"), F.current_timestamp())).schema
+    return KeyedTable(spark, state, schema, KEYS, buckets, kept=("first_seen_at", "id"))
 
 
-def refresh_batch(state: str):
-    """A function for foreachBatch that merges a batch of landed lines into the state."""
+def refresh_batch(table: KeyedTable):
+    """A function for foreachBatch that merges a batch of landed lines into the table."""
 
     def merge(lines: DataFrame, batch: int) -> None:
-        spark = lines.sparkSession
+        if batch <= table.state()[1]:
+            return
         fresh = silver(bronze(lines, F.current_timestamp()))
-        old = version(spark, state, batch - 1)
-        if old is not None:
-            seen = old.select("store", "external_id", F.col("last_seen_at").alias("_seen"))
-            fresh = fresh.join(seen, ["store", "external_id"], "left").filter("_seen is null or last_seen_at >= _seen").drop("_seen")
-            fresh = upsert(old, fresh.select(*old.columns), ["store", "external_id"], keep=("first_seen_at", "id"))
-        fresh.write.mode("overwrite").parquet(f"{state}/version={batch}")
+        table.upsert(fresh, when=lambda old, new: old("last_seen_at").isNull() | (new("last_seen_at") >= old("last_seen_at")), mark=batch)
 
     return merge
 
 
-def start(spark: SparkSession, landing: str, state: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    writer = read_landing(spark, landing).writeStream.foreachBatch(refresh_batch(state)).option("checkpointLocation", checkpoint)
+def start(spark: SparkSession, landing: str, table: KeyedTable, checkpoint: str, once: bool = True) -> StreamingQuery:
+    writer = read_landing(spark, landing).writeStream.foreachBatch(refresh_batch(table)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

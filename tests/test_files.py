@@ -39,23 +39,43 @@ def envelope(number, day, price):
 
 
 def test_incremental_refresh(spark, tmp_path):
-    landing, state, log = tmp_path / "landing", str(tmp_path / "state"), str(tmp_path / "log")
+    landing, log = tmp_path / "landing", str(tmp_path / "log")
+    table = incremental.silver_table(spark, str(tmp_path / "state"), buckets=8)
     landing.mkdir()
 
+    def rows(number=None):
+        got = table.read(number).select("external_id", F.col("price").cast("string").alias("price"), F.dayofmonth("first_seen_at").alias("first"), F.dayofmonth("last_seen_at").alias("last")).collect()
+        return sorted(map(tuple, got))
+
     def refreshed():
-        incremental.start(spark, str(landing), state, log).awaitTermination()
-        rows = incremental.version(spark, state, 10**6).select("external_id", F.col("price").cast("string").alias("price"), F.dayofmonth("first_seen_at").alias("first"), F.dayofmonth("last_seen_at").alias("last")).collect()
-        return sorted(map(tuple, rows))
+        incremental.start(spark, str(landing), table, log).awaitTermination()
+        return rows()
 
-    assert incremental.version(spark, state, 5) is None
+    assert table.state() == (-1, -1, {})
     (landing / "1.jsonl").write_text(envelope(1, 2, "1,00") + envelope(2, 2, "2,00"))
     assert refreshed() == [("1", "1.00", 2, 2), ("2", "2.00", 2, 2)]
     # a newer row, a late one, and a new product
     (landing / "2.jsonl").write_text(envelope(1, 3, "1,50") + envelope(2, 1, "9,00") + envelope(3, 3, "3,00"))
     want = [("1", "1.50", 2, 3), ("2", "2.00", 2, 2), ("3", "3.00", 3, 3)]
     assert refreshed() == want
+    commits = table.commits()
     assert refreshed() == want  # nothing landed
-    # the same batch again gives the same version, and a batch takes the latest version there is
-    incremental.refresh_batch(state)(files.read_jsonl(spark, str(landing / "2.jsonl")), 7)
-    assert sorted(r["external_id"] for r in incremental.version(spark, state, 7).collect()) == ["1", "2", "3"]
-    assert incremental.version(spark, state, 0).count() == 2
+    # the same batch again changes nothing, a later one with the same rows only leaves its mark
+    merge = incremental.refresh_batch(table)
+    merge(files.read_jsonl(spark, str(landing / "2.jsonl")), 1)
+    assert table.commits() == commits
+    merge(files.read_jsonl(spark, str(landing / "2.jsonl")), 7)
+    assert (rows(), table.state()[1]) == (want, 7)
+    assert len(rows(0)) == 2
+
+
+def test_repeats_within_the_watermark(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "1.jsonl").write_text(envelope(1, 2, "1,00") * 2 + envelope(2, 2, "2,00") + '{"store":"spar","external_id":"9"}\n')
+    out = []
+    query = incremental.without_repeats(incremental.read_landing(spark, str(landing))).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "log"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    (landing / "2.jsonl").write_text(envelope(1, 2, "1,00") + envelope(3, 2, "3,00"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(json.loads(r["value"])["external_id"] for r in out) == ["1", "2", "3", "9"]
