@@ -79,3 +79,35 @@ def test_repeats_within_the_watermark(spark, tmp_path):
     (landing / "2.jsonl").write_text(envelope(1, 2, "1,00") + envelope(3, 2, "3,00"))
     query.trigger(availableNow=True).start().awaitTermination()
     assert sorted(json.loads(r["value"])["external_id"] for r in out) == ["1", "2", "3", "9"]
+
+
+def test_state_by_product(spark, tmp_path):
+    """Late, repeated and replayed lines: the last row that the stream gives of each product is the batch's result."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", incremental.ROCKS)
+    out = {}
+
+    def take(df, _):
+        for r in df.collect():
+            out[r["external_id"]] = (r["first_seen_at"], r["last_seen_at"], json.loads(r["value"])["raw"]["price_visible"])
+
+    try:
+        for i, text in enumerate([envelope(1, 2, "1,00") + envelope(2, 2, "2,00") + envelope(1, 1, "0,50"), envelope(1, 3, "1,50") + envelope(2, 1, "9,00") + '{"store":"spar"}\n', envelope(1, 3, "1,50") + envelope(2, 2, "2,00"), envelope(3, 4, "3,00")]):
+            (landing / f"{i}.jsonl").write_text(text)
+            out_before = dict(out)
+            stream = incremental.latest_envelopes(incremental.read_landing(spark, str(landing))).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "log"))
+            stream.trigger(availableNow=True).start().awaitTermination()
+            if i == 2:
+                assert out == out_before  # repeats bring no news
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    day = lambda d: 1_704_067_200_000_000 + (d - 1) * 86_400_000_000
+    assert out == {"1": (day(1), day(3), "1,50"), "2": (day(2), day(2), "2,00"), "3": (day(4), day(4), "3,00")}
+
+
+def test_windowed_counts(spark):
+    events = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:00:00")], "store string, at string").select("store", F.to_timestamp("at").alias("scraped_at"))
+    got = sorted((r["store"], r["window"]["start"].hour, r["n"]) for r in incremental.windowed_counts(events).collect())
+    assert got == [("a", 0, 2), ("b", 1, 1)]
