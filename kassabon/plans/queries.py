@@ -14,6 +14,7 @@ from kassabon.functions import dates, jsons, numbers, text, web
 from kassabon.functions import words as W
 from kassabon.operators import keyed
 from kassabon.sources import sinks
+from kassabon.sources.folders import new_path
 
 from . import canonical, field_queries, grouping, landing_queries, page_queries, recipes, search, silver, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -682,6 +683,16 @@ def tf6_misspelt_searches(spark, sf_dir):
     return search.search_many(catalogue(spark, sf_dir), _cases(spark).drop("terms"), 8).select("query_id", "rank", "id", "match_score")
 
 
+@query(f"WITH {_sql_search(_CASES, 8)} SELECT query_id, CAST(rank AS INT) AS rank, id, match_score FROM found")
+def tf6_indexed_searches(spark, sf_dir):
+    """The same searches through a kept index, made of some products first and then of all."""
+    products = catalogue(spark, sf_dir)
+    index = search.NameIndex(spark, new_path(spark, "names"), 4)
+    index.refresh(products.filter("store_id = 'ah'"))
+    index.refresh(products)
+    return search.search_many(products, _cases(spark).drop("terms"), 8, index=index).select("query_id", "rank", "id", "match_score")
+
+
 @query(f"""
     WITH {_sql_search(_CASES, 8)},
     band AS (SELECT *, max(match_score) OVER (PARTITION BY query_id) AS best FROM found WHERE current_price_cents IS NOT NULL),

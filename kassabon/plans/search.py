@@ -10,6 +10,8 @@ from kassabon.functions.trigram import LEAST_SIMILAR, best_extent, jaccard, tok_
 from kassabon.functions.words import SEARCH_STOP, STAPLES, STORES
 from kassabon.operators.keyed import cheapest_relevant, price_matrix
 
+from .search_index import NameIndex
+
 CANDIDATES = 160
 
 
@@ -62,15 +64,18 @@ def candidates(products: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(pairs, "word").select("query_id", "name_search").distinct()
 
 
-def search_many(products: DataFrame, queries: DataFrame, count: int = 8, store: str | None = None) -> DataFrame:
-    """The best ``count`` (1 to 20) available products of each query (query_id, query_text), with match_score and rank."""
+def search_many(products: DataFrame, queries: DataFrame, count: int = 8, store: str | None = None, index: NameIndex | None = None) -> DataFrame:
+    """The best ``count`` (1 to 20) available products of each query (query_id, query_text), with match_score and rank.
+
+    Names are looked for in ``index``, if one is kept (names of no available product drop out), else among all names.
+    """
     count = min(max(count, 1), 20)
     rows = products.filter("is_available")
     if store is not None:
         rows = rows.filter(F.col("store_id") == store)
     asked = prepared(queries)
     # scores depend on the search name alone: each distinct name is scored once, then products take its score
-    named = candidates(rows, asked).join(asked, "query_id")
+    named = (candidates(rows, asked) if index is None else index.candidates(asked)).join(asked, "query_id")
     similar = F.round(best_extent(F.array_distinct(trigrams(F.col("qre"))), trigrams(F.col("name_search"))), 6)
     named = named.withColumn("_similar", similar).withColumn("_q", _graded(F.col("qtok"))).withColumn("_p", _graded(_words(F.col("name_search"))))
     named = named.withColumn("_s", F.filter("_p", lambda x: ~x["w"].isin(*SEARCH_STOP)))

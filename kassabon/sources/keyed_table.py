@@ -24,10 +24,10 @@ COMMIT = "number long, bucket int, writing string, mark long, buckets int"
 
 
 class KeyedTable:
-    """The table of ``path``, with a row for each value of ``keys`` (null is a value). ``kept`` columns stay as they were where a row is replaced, and make no change by themselves."""
+    """The table of ``path``, with a row for each value of ``keys`` (null is a value). ``kept`` columns stay as they were where a row is replaced, and make no change by themselves. Buckets go by all keys, or by those of ``by``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64, kept: tuple[str, ...] = ()):
-        self.spark, self.path, self.keys, self.buckets, self.kept = spark, path.rstrip("/"), keys, buckets, kept
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64, kept: tuple[str, ...] = (), by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.buckets, self.kept, self.by = spark, path.rstrip("/"), keys, buckets, kept, by or keys
         self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
         self.columns = self.schema.fieldNames()
 
@@ -60,13 +60,17 @@ class KeyedTable:
         paths = [f"{self.path}/data/{w}/bucket={b}" for b, w in sorted(writings.items()) if buckets is None or b in set(buckets)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def read(self, number: int | None = None) -> DataFrame:
-        return self._read(self.state(number)[2]).select(*self.columns)
+    def bucket_of(self, *keys: str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, number: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows as of a commit, the last one if none is named; those of some buckets, if they are."""
+        return self._read(self.state(number)[2], buckets).select(*self.columns)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         said = [F.to_json(F.struct(c)) if isinstance(self.schema[c].dataType, T.MapType | T.VariantType) else F.col(c) for c in self.columns if c not in self.kept]
-        return rows.withColumns({BUCKET: F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"), HASH: F.xxhash64(*said)})
+        return rows.withColumns({BUCKET: self.bucket_of(*self.by), HASH: F.xxhash64(*said)})
 
     def upsert(self, new: DataFrame, when: Callable[[Callable[[str], Column]], Column] | None = None, order: list[Column] | None = None, mark: int = -1) -> list[int]:
         """Replace or add rows; gives the buckets that were written anew.
