@@ -6,8 +6,8 @@ table applies pseudo-rotations (random signs, then a fast Hadamard transform, th
 hashes a vector to its nearest signed axis. A query looks into its nearest axes of every table;
 what it meets there is ranked by inner product in double precision.
 
-Lengths with few classes are searched in full, and so is every query of the others that met fewer
-classes than its list could hold: a list isn't full where only copies of a few vectors fill it.
+Every length is hashed, whatever its number of vectors. A query that met fewer than REACH classes for
+each place of its list is searched in full, block by block: there is too little in reach of it to choose from.
 
 Equal vectors form one class, hashed once. A class brings at most its K + 1 smallest ids: no
 other can be among K neighbours. Buckets are split by hash into parts of bounded size, each of
@@ -29,8 +29,10 @@ from .common import cut, ship, stored
 K = 20
 TABLES = 16
 #: Axes that a query looks into in each table.
-PROBES = 12
-#: Classes in one part of a bucket, or in one block of a full search, roughly. A length with no more is searched in full.
+PROBES = 16
+#: Classes that a query has to meet for each place of its list.
+REACH = 8
+#: Classes in one part of a bucket, or in one block of a full search, roughly.
 PART = 2_000
 SEED = 97
 #: Groups of table buckets, the unit of work of a task.
@@ -121,8 +123,6 @@ def search(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, probe
         def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for length, own in batch.groupby(batch["v"].map(len)):
-                    if count[length] <= PART:
-                        continue
                     x = np.stack(own["v"].to_list()).astype(np.float64)
                     dim = 1 << int(length).bit_length()  # room for one more coordinate
                     s = np.array([scale[(length, b)] for b in own["band"]])
@@ -180,28 +180,23 @@ def search(vectors: DataFrame, is_query, k: int = K, tables: int = TABLES, probe
         hits = left.cogroup(right).applyInPandas(ranked, "qa long, qb long, a long, b long, score double, ids array<long>")
         hits = hits.groupBy("qa", "qb", "a", "b").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
         order = Window.partitionBy("qa", "qb").orderBy(F.desc("score"), F.col("ids")[0])
+        hits = hits.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("qa", "qb")))
         return hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).drop("r")
 
-    hits = None
-    if any(n > PART for n in count.values()):
-        hits = cut(met(questions, base, GROUPS))
-    # a list of k + 1 classes, or of all there are, is whole; the others meet all classes of their length, block by block
-    short = wanted.select("class.a", "class.b", "v", "ids", F.size("v").alias("length"))
-    if hits is not None:
-        had = hits.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.count(F.lit(1)).alias("had"))
-        short = short.join(had, ["a", "b"], "left").filter(F.coalesce("had", F.lit(0)) <= k).drop("had")
-    short = cut(short)
+    hits = cut(met(questions, base, GROUPS))
+    # queries that met too few meet all classes of their length, block by block
+    had = hits.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.first("met").alias("had"))
+    short = wanted.select("class.a", "class.b", "v", "ids", F.size("v").alias("length")).join(had, ["a", "b"], "left")
+    short = cut(short.filter(F.coalesce("had", F.lit(0)) < REACH * (k + 1)).drop("had"))
     asks = {r["length"]: -(-r["n"] // PART) for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if asks or hits is None:
+    if asks:
         blocks = made.sparkSession.createDataFrame([(x, n, -(-count[x] // PART)) for x, n in asks.items()], "length int, asks int, parts int")
         blocks = F.broadcast(blocks)  # a row for each length
         spot = lambda df: df.join(blocks, "length").withColumns({"band": F.lit(0), "at": F.lit(-1)})
         asking = spot(short).withColumn("axis", F.pmod("a", "asks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         every = spot(flat.drop("band").withColumn("length", F.size("v"))).withColumn("part", F.pmod("a", "parts").cast("int")).withColumn("axis", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
         full = met(asking, every, max(GROUPS, sum(n * -(-count[x] // PART) for x, n in asks.items())))
-        if hits is not None:
-            full = full.unionByName(hits.join(short.select(F.col("a").alias("qa"), F.col("b").alias("qb")), ["qa", "qb"], "left_anti"))
-        hits = full
+        hits = full.unionByName(hits.join(short.select(F.col("a").alias("qa"), F.col("b").alias("qb")), ["qa", "qb"], "left_anti"))
     hits = hits.select("qa", "qb", "score", F.explode("ids").alias("vec_id"))
     nearest = Window.partitionBy("qa", "qb").orderBy(F.desc("score"), "vec_id")
     hits = cut(hits.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1))

@@ -353,6 +353,25 @@ def test_recall_on_embeddings(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("n", [300, 500, 2000, 8000])
+def test_recall_through_hashing(spark, monkeypatch, n):
+    """At least 0.9 of the true neighbours where no query is searched in full, though Gaussian vectors have no near ones."""
+    monkeypatch.setattr(ann, "REACH", 0)
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    every = n // 60
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % every == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_nearest_out_of_reach(spark):
     """Most vectors lie in one direction, queries elsewhere meet few of them; another length has few vectors."""
     g = np.random.default_rng(12)
