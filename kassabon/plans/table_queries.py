@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from kassabon.operators.numbered import numbered
 from kassabon.sources import requests, sinks
 from kassabon.sources.folders import new_path
 from kassabon.sources.keyed_table import KeyedTable, sync_table
+from kassabon.sources.ordered_table import OrderedTable
 
 from .registry import query, table
 
@@ -87,6 +90,22 @@ def snk20_enriched(spark, sf_dir):
     return sinks.enriched(base, details, "p_partkey", ["p_name", "more"])
 
 
+@query("SELECT p_partkey, p_name, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 5000 AS INT) AS page FROM part")
+def src5_pages_in_order(spark, sf_dir):
+    """The parts as a table in order, read page by page; each page knows the last key of the one before."""
+    rows = table(spark, sf_dir, "part").select("p_name", "p_partkey")
+    ordered = OrderedTable(spark, new_path(spark, "ordered"), rows.schema, ["p_partkey"])
+    ordered.write(rows)
+    after, pages = None, []
+    while True:
+        page = ordered.page(5000, after)
+        pages.append(page.withColumn("page", F.lit(len(pages))))
+        last = page.agg(F.max("p_partkey").alias("p_partkey"), F.count(F.lit(1)).alias("n")).first()
+        if last["n"] < 5000:
+            return functools.reduce(DataFrame.unionByName, pages)
+        after = last
+
+
 _CHUNKS = """
     WITH RECURSIVE l AS (SELECT conv_id * 100 + turn AS id, text, octet_length(encode(text)) + 1 AS size, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations),
     c AS (
