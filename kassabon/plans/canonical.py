@@ -36,6 +36,13 @@ def seed_tags(tags: DataFrame, given: DataFrame) -> DataFrame:
     return upsert(tags, given, ["name_search"], when=lambda old: ~old("source").eqNullSafe(F.lit("manual")))
 
 
+def recovered_tags(hosted: DataFrame, at: Column) -> DataFrame:
+    """Tags that hosted products bear: of each search name the one that was updated last, those never updated after all others, ties by a hash of the row."""
+    rows = hosted.filter("name_search <> '' and canonical_key <> ''")
+    last = one_per_key(rows, ["name_search"], [F.col("updated_at").desc_nulls_last(), F.xxhash64("canonical_key", "canonical_name", "is_organic")])
+    return last.select("name_search", "canonical_key", F.col("canonical_name").alias("display_name"), "is_organic", F.lit(0.9).alias("confidence"), F.lit("ai_batch").alias("source"), F.lit("hosted_public_products_seed").alias("model"), at.alias("tagged_at"))
+
+
 def applied(products: DataFrame, tags: DataFrame) -> DataFrame:
     """Products with the normalised key, display name and organic flag of their tag; untagged ones as they are."""
     t = tags.select("name_search", F.col("canonical_key").alias("_key"), F.col("display_name").alias("_shown") if "display_name" in tags.columns else F.lit(None).cast("string").alias("_shown"), F.col("is_organic").alias("_organic"), F.lit(True).alias("_tagged"))

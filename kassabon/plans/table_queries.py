@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassabon.functions import labels
+from kassabon.functions import labels, numbers
 from kassabon.operators import keyed
 from kassabon.operators.numbered import numbered
 from kassabon.sources import requests, sinks
@@ -15,6 +15,7 @@ from kassabon.sources.folders import new_path
 from kassabon.sources.keyed_table import KeyedTable, sync_table
 from kassabon.sources.ordered_table import OrderedTable
 
+from . import canonical
 from .registry import query, table
 
 def _k() -> Column:
@@ -106,6 +107,37 @@ def src5_pages_in_order(spark, sf_dir):
         after = last
 
 
+@query("""
+    WITH h AS (SELECT 'name ' || p_partkey // 4 AS name_search, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || p_partkey ELSE '' END AS canonical_key, p_name AS canonical_name, p_partkey % 2 = 0 AS is_organic, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey ELSE -p_partkey END AS updated FROM part),
+    g AS (SELECT *, row_number() OVER (PARTITION BY name_search ORDER BY CASE WHEN updated > 0 THEN updated END DESC NULLS LAST, updated) AS n FROM h WHERE canonical_key <> ''),
+    t AS (SELECT 'name ' || p_partkey AS name_search, 'key' AS canonical_key, 'old' AS display_name, false AS is_organic, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 END::DOUBLE AS confidence,
+                 CASE p_partkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'rule' WHEN 2 THEN 'ai_batch' END AS source FROM part WHERE p_partkey % 5 <> 0)
+    SELECT coalesce(t.name_search, g.name_search) AS name_search, CASE WHEN k THEN t.canonical_key ELSE g.canonical_key END AS canonical_key, CASE WHEN k THEN t.display_name ELSE g.canonical_name END AS display_name,
+           CASE WHEN k THEN t.is_organic ELSE g.is_organic END AS is_organic, CASE WHEN k THEN t.confidence ELSE greatest(coalesce(t.confidence, 0), 0.9) END::DOUBLE AS confidence,
+           CASE WHEN k THEN t.source ELSE 'ai_batch' END AS source, CASE WHEN k THEN NULL ELSE 'hosted_public_products_seed' END AS model
+    FROM (SELECT t.*, t.source IS NOT DISTINCT FROM 'manual' OR g.name_search IS NULL AS keep FROM t LEFT JOIN g ON g.name_search = t.name_search AND g.n = 1) t
+    FULL JOIN (SELECT * FROM g WHERE n = 1) g ON g.name_search = t.name_search, LATERAL (SELECT coalesce(t.keep, false) AS k)
+""")
+def tf21_recovered_tags(spark, sf_dir):
+    """Tags of hosted products taken over: the last of each name, manual ones stay, confidence doesn't sink."""
+    k, part = _k(), table(spark, sf_dir, "part")
+    name = lambda c: F.concat(F.lit("name "), c.cast("string")).alias("name_search")
+    hosted = part.select(name(F.floor(k / 4)), F.when(k % 7 != 0, F.concat("p_brand", k.cast("string"))).otherwise("").alias("canonical_key"), F.col("p_name").alias("canonical_name"), (k % 2 == 0).alias("is_organic"), F.when((k % 3 != 0) & (k > 0), F.timestamp_seconds(k)).alias("updated_at"))
+    source = F.when(k % 4 == 0, "manual").when(k % 4 == 1, "rule").when(k % 4 == 2, "ai_batch")
+    tags = part.filter("p_partkey % 5 <> 0").select(name(k), F.lit("key").alias("canonical_key"), F.lit("old").alias("display_name"), F.lit(False).alias("is_organic"), F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.5).alias("confidence"), source.alias("source"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("timestamp").alias("tagged_at"))
+    return canonical.seed_tags(tags, canonical.recovered_tags(hosted, F.timestamp_seconds(F.lit(0)))).drop("tagged_at")
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size % 3 ELSE p_retailprice END::DOUBLE AS price, nullif(regexp_replace(p_brand, '[^0-9]', '', 'g') || CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '' ELSE '' END, '') AS gtin,
+           printf('%d.%02d', p_partkey // 100, p_partkey % 100) AS euros FROM part
+""")
+def num10_store_prices(spark, sf_dir):
+    """What a card says becomes a price, an article number without a rule of length, and an amount in euros."""
+    said = F.concat(F.lit("x-"), "p_brand", F.when(_k() % 2 == 0, F.concat(F.lit(" / "), _k().cast("string"))).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.effective_price((F.col("p_size") % 3).cast("double"), F.col("p_retailprice").cast("double")).alias("price"), numbers.normalize_gtin(said).alias("gtin"), numbers.cents_text(_k()).alias("euros"))
+
+
 _CHUNKS = """
     WITH RECURSIVE l AS (SELECT conv_id * 100 + turn AS id, text, octet_length(encode(text)) + 1 AS size, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations),
     c AS (
