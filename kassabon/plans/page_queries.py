@@ -25,7 +25,10 @@ def _html() -> Column:
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", _html().alias("html"), F.concat(F.lit("https://www.spar.nl/p-"), F.col("p_partkey").cast("string"), F.lit("/")).alias("url"))
+    part = table(spark, sf_dir, "part")
+    # The parts lie in one small file; reading pages is dear, so they are dealt out before pages are made of them.
+    part = part.repartition(max(part.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    return part.select("p_partkey", _html().alias("html"), F.concat(F.lit("https://www.spar.nl/p-"), F.col("p_partkey").cast("string"), F.lit("/")).alias("url"))
 
 
 @query("""
