@@ -407,19 +407,19 @@ def kind_of(role: Column, text: Column) -> Column:
     return F.substr(fault, rank, F.lit(1))
 
 
-def repaired(rows: DataFrame, texts: bool = False) -> DataFrame:
+def repaired(rows: DataFrame, texts: bool = False, here: str | None = None) -> DataFrame:
     """One row a conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
-    ``rows`` has conv_id, turn, role and text; with a boolean column ``here``, rows where it is false only
-    name their conversation. Null roles and texts count as one space, a null conv_id is a conversation of
+    ``rows`` has conv_id, turn, role and text; where the boolean column named by ``here`` isn't true, a row
+    only names its conversation. Null roles and texts count as one space, a null conv_id is a conversation of
     its own, null turns come first; turns of one number follow each other by role, then by a hash of the
     text, so repeated rows are adjacent. Other columns are ignored. With ``texts`` the repaired turns are
     given instead: conv_id, place (from 1), role, text.
     """
     spark = rows.sparkSession
     ship(spark)
-    here = F.coalesce(F.col("here"), F.lit(False)) if "here" in rows.columns else F.lit(True)
-    own = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), here.alias("here"))
+    there = F.lit(True) if here is None else F.coalesce(F.col(here), F.lit(False))
+    own = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), there.alias("here"))
     own = own.withColumn("kind", kind_of(F.col("role"), F.col("text"))).withColumn("h", F.xxhash64("text"))
     # Rows that are equal in all of this may lie in any order: their own number lets a range border fall between them.
     own = own.withColumn("copy", F.monotonically_increasing_id())
@@ -461,4 +461,4 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def report(rows: DataFrame) -> DataFrame:
     """The damaged conversations' faults, cheapest edits and what they leave."""
-    return repaired(damaged(rows))
+    return repaired(damaged(rows), here="here")

@@ -13,7 +13,7 @@ rng = random.Random(5)
 ROLES = ["user", "assistant", "system", "tool", "", None, " ", "user", "assistant", "ulf"]
 TEXTS = ["Hi.", "ok", "", "  ", None, "\n?", "yes!", "a b c", "Why? ", "é.", "汉字。", "😀!"] + [f"t{i}." for i in range(300)] + [f"u{i}" for i in range(100)]
 TURNS = [None, 0, 1, 2, 3, 4, 5, 9, 2**60]
-COLUMNS = "conv_id long, turn long, role string, text string, kind string, part int, here_too int, h long"
+COLUMNS = "conv_id long, turn long, role string, text string, kind string, part int, here int, h long"
 TO = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 
 
@@ -103,7 +103,7 @@ def test_repaired_turns(spark, rows):
     few = rows.filter("conv_id < 40 or conv_id is null or conv_id = 1000")
     want, _ = expected(spark, few, 10_000)
     got = {}
-    for r in repair.repaired(repair.damaged(few), texts=True).orderBy("place").collect():
+    for r in repair.repaired(repair.damaged(few), texts=True, here="here").orderBy("place").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
         assert r["place"] == len(got[r["conv_id"]])
     assert got == {c: list(left) for c, (_, left) in want.items() if left}
@@ -122,3 +122,8 @@ def test_empty_and_dropped(spark, rows):
     gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
     row = repair.report(spark.createDataFrame([(gone, 0, "user", "Hi.", "x", 1, 2, 3)], COLUMNS)).first()
     assert tuple(row) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "Hi.", "k", "p", "no", 7)], "conv_id long, turn long, role string, text string, kind string, part string, here string, h long")
+    assert repair.repaired(rows).first()["audit"] == "KI"
