@@ -22,6 +22,14 @@ def parsed_path(x: Column, dotted: str) -> Column:
     return F.try_variant_get(x, "$" + parts, "string")
 
 
+def strictly_parsed(x: Column) -> Column:
+    """A text that is one JSON value and nothing more, as a variant, else null. Spark's own parser passes over what follows a value;
+    inside a list as well as inside an object, nothing but blanks can follow it. An object that names a key twice is null."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"x":'), x, F.lit("}")))
+    return F.when((F.size(listed) == 1) & held.isNotNull(), F.get(listed, 0))
+
+
 def canonical(x: Column) -> Column:
     """A JSON text without blanks and with the keys of every object in order; other texts stay."""
     return F.coalesce(F.to_json(F.try_parse_json(x)), x)
@@ -45,6 +53,13 @@ def primary_asset(x: Column) -> Column:
     return F.get(F.filter(assets, lambda a: a["type"] == "primary"), 0)["url"]
 
 
+def primary_asset_of(x: Column, dotted: str) -> Column:
+    """Address of the first asset of type primary in the list at a dotted path of a variant."""
+    parts = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in dotted.split("."))
+    assets = F.try_variant_get(x, "$" + parts, "array<struct<type:string,url:string>>")
+    return F.get(F.filter(assets, lambda a: a["type"] == "primary"), 0)["url"]
+
+
 def merged(*maps: Column) -> Column:
     """Maps put together; a later one wins where it says something."""
     out = maps[0]

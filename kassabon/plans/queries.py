@@ -16,7 +16,7 @@ from kassabon.operators import keyed
 from kassabon.sources import sinks
 from kassabon.sources.folders import new_path
 
-from . import answer_queries, canonical, field_queries, grouping, landing_queries, page_queries, recipes, search, silver, table_queries  # noqa: F401
+from . import answer_queries, canonical, field_queries, grouping, landing_queries, page_queries, recipe_queries, recipes, search, silver, sql_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # ---------------------------------------------------------------- the catalogue
@@ -292,6 +292,14 @@ def tf1_silver(spark, sf_dir):
     return silver.silver(_bronze(spark, sf_dir)).select("store", "external_id", "name", "ean", "price", "base_price", "base_price_unit", "image_url")
 
 
+@query(ORACLES["tf1_silver"])
+def prj1_silver_of_variants(spark, sf_dir):
+    """The same rows from a table that keeps every landed text as a variant: paths are read from it, nothing is parsed again."""
+    path = new_path(spark, "bronze")
+    silver.parsed(_bronze(spark, sf_dir)).write.parquet(path)
+    return silver.silver(spark.read.parquet(path)).select("store", "external_id", "name", "ean", "price", "base_price", "base_price_unit", "image_url")
+
+
 def _first_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver rows of two thirds of the products' first scrape."""
     return silver.silver(_bronze(spark, sf_dir).filter("scraped_at < '2024-01-02' and cast(get_json_object(raw_data, '$.external_id') as long) % 3 <> 0"))

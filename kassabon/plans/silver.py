@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from kassabon.functions import jsons, numbers, text, web
 from kassabon.functions.words import STORES
@@ -70,6 +71,15 @@ def _price(kind: str, path: str) -> Column:
     return F.nullif(value, F.lit(0)) if kind == "zero" else value
 
 
+def parsed(rows: DataFrame, column: str = "raw_data") -> DataFrame:
+    """Landed rows with their text as a variant, as a table keeps them; a text that is no JSON becomes null."""
+    return rows.withColumn(column, F.try_parse_json(column))
+
+
+def _is_parsed(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["raw_data"].dataType, VariantType)
+
+
 def bronze(lines: DataFrame, landed_at: Column, run: str = "run") -> DataFrame:
     """Landed envelopes (value) as rows with a hash; the same text of a store is one row."""
     text_of = F.col("value")
@@ -87,24 +97,26 @@ def bronze(lines: DataFrame, landed_at: Column, run: str = "run") -> DataFrame:
 
 
 def land(old: DataFrame, lines: DataFrame, landed_at: Column, run: str = "run") -> tuple[DataFrame, DataFrame]:
-    """(table after landing, counts of new and known rows)."""
+    """(table after landing, counts of new and known rows). A table of parsed rows takes the new ones parsed."""
     rows = bronze(lines, landed_at, run)
     fresh = insert_new(old, rows, ["row_hash"])
     known = rows.agg(F.count(F.lit(1)).alias("all")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("new_rows"))).select("new_rows", (F.col("all") - F.col("new_rows")).alias("known_rows"))
-    return old.unionByName(fresh), known
+    return old.unionByName(parsed(fresh) if _is_parsed(old) else fresh), known
 
 
 def silver(rows: DataFrame, store: str | None = None, image_host: str = IMAGE_HOST) -> DataFrame:
-    """The latest row of each (store, external id) with its fields extracted."""
+    """The latest row of each (store, external id) with its fields extracted. A row that landed parsed is not parsed again."""
     if store is not None:
         rows = rows.filter(F.col("store") == store)
-    rows = rows.withColumn("external_id", F.coalesce(jsons.path(F.col("raw_data"), "external_id"), F.col("id")))
+    at_hand = _is_parsed(rows)
+    own_id = jsons.parsed_path(F.col("raw_data"), "external_id") if at_hand else jsons.path(F.col("raw_data"), "external_id")
+    rows = rows.withColumn("external_id", F.coalesce(own_id, F.col("id")))
     rows = latest_per_key(rows, ["store", "external_id"], "scraped_at", "created_at", "id")
-    rows = rows.withColumn("_parsed", F.try_parse_json("raw_data"))  # once a row, whatever the number of paths
+    rows = rows.withColumn("_parsed", F.col("raw_data") if at_hand else F.try_parse_json("raw_data"))  # once a row, whatever the number of paths
     pack = numbers.quantity_base(_by_store({s: _raw(*p) for s, p in PATHS["pack"].items()}))
     images = {s: _raw(*p) for s, p in PATHS["image"].items()}
     images["dirk"] = web.file_url(images["dirk"], image_host)
-    images["aldi"] = F.coalesce(jsons.primary_asset(_raw("assets")), images["aldi"])
+    images["aldi"] = F.coalesce(jsons.primary_asset_of(F.col("_parsed"), "raw.assets"), images["aldi"])
     clean = lambda c: text.none_if_empty(F.trim(c))
     rows = rows.select(
         "store", "external_id", F.col("id").alias("bronze_product_id"), "_parsed", "scraped_at",
