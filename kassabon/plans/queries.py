@@ -16,7 +16,7 @@ from kassabon.operators import keyed
 from kassabon.sources import sinks
 from kassabon.sources.folders import new_path
 
-from . import answer_queries, canonical, field_queries, grouping, landing_queries, page_queries, recipe_queries, recipes, search, silver, sql_queries, table_queries  # noqa: F401
+from . import answer_queries, canonical, field_queries, grouping, landing_queries, page_queries, recipe_queries, recipes, search, silver, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # ---------------------------------------------------------------- the catalogue
@@ -923,3 +923,6 @@ def tf10_kind_offers(spark, sf_dir):
 """)
 def agg19_offer_of_each_store(spark, sf_dir):
     return search.search_offers(catalogue(spark, sf_dir), "Red bolt", one_per_store=True).select("id", "store_id")
+
+
+from . import sql_queries  # noqa: E402, F401  (takes the catalogue and the SQL from above)
