@@ -152,11 +152,18 @@ def _broken_items(name: str, rules: dict[str, Rule]) -> Callable[[Column], Colum
     return broken
 
 
+def with_reasons(rows: DataFrame, text: str, reasons: str = "reasons") -> DataFrame:
+    """Every row with the rules that its recipe breaks, in one pass; none for a valid one."""
+    return rows.withColumn(reasons, once(broken_rules, jsons.strictly_parsed(F.col(text))))
+
+
 def judged_recipes(rows: DataFrame, text: str, doc: str = "doc", reasons: str = "reasons") -> tuple[DataFrame, DataFrame]:
-    """(valid with the parsed recipe as ``doc``, rejected with ``reasons``). Every row is in one of both; a rejected one keeps its text as it came."""
-    parsed = jsons.strictly_parsed(F.col(text))
-    judged = rows.withColumn(reasons, once(broken_rules, parsed))
-    return judged.filter(F.size(reasons) == 0).drop(reasons).withColumn(doc, parsed), judged.filter(F.size(reasons) > 0)
+    """(valid with the parsed recipe as ``doc``, rejected with ``reasons``). Every row is in one of both; a rejected one keeps its text as it came.
+
+    Both are made from the rows anew: write ``with_reasons`` once and split that where rows are many.
+    """
+    judged = with_reasons(rows, text, reasons)
+    return judged.filter(F.size(reasons) == 0).drop(reasons).withColumn(doc, jsons.strictly_parsed(F.col(text))), judged.filter(F.size(reasons) > 0)
 
 
 def with_defaults(valid: DataFrame, doc: str = "doc") -> DataFrame:

@@ -51,8 +51,7 @@ _WRONG = " ".join(f"WHEN {n} THEN '{names}'" for n, names, _, _ in FAULTS)
 
 @query(f"SELECT l_orderkey AS id, CASE l_orderkey % {PERIOD} {_WRONG} ELSE '' END AS reasons FROM lineitem GROUP BY l_orderkey")
 def jsn12_rejected_recipes(spark, sf_dir):
-    good, bad = recipe_checks.judged_recipes(_recipe_texts(spark, sf_dir), "text")
-    return good.select("id", F.lit("").alias("reasons")).unionByName(bad.select("id", F.array_join("reasons", ",").alias("reasons")))
+    return recipe_checks.with_reasons(_recipe_texts(spark, sf_dir), "text").select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""
