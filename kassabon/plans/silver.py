@@ -81,7 +81,10 @@ def _is_parsed(rows: DataFrame) -> bool:
 
 
 def bronze(lines: DataFrame, landed_at: Column, run: str = "run") -> DataFrame:
-    """Landed envelopes (value) as rows with a hash; the same text of a store is one row."""
+    """Landed envelopes (value) as rows with a hash; the same text of a store is one row.
+
+    Rows are shuffled by their hash before doubles are dropped: dropped on the way as well, all the texts that one task read would lie in its memory.
+    """
     text_of = F.col("value")
     store = jsons.path(text_of, "store")
     rows = lines.select(
@@ -93,7 +96,7 @@ def bronze(lines: DataFrame, landed_at: Column, run: str = "run") -> DataFrame:
         F.try_to_timestamp(jsons.path(text_of, "scraped_at")).alias("scraped_at"),
         landed_at.alias("created_at"),
     )
-    return rows.filter(F.col("store").isin(*STORES)).dropDuplicates(["row_hash"])
+    return rows.filter(F.col("store").isin(*STORES)).repartition("row_hash").dropDuplicates(["row_hash"])
 
 
 def land(old: DataFrame, lines: DataFrame, landed_at: Column, run: str = "run") -> tuple[DataFrame, DataFrame]:

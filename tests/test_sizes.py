@@ -1,6 +1,6 @@
 """What must not grow with the input: what is broadcast, what one task holds, how often a row is read."""
 
-from kassabon.plans import table_queries
+from kassabon.plans import queries, silver, table_queries
 from kassabon.sources import sinks
 from pyspark.sql import functions as F
 
@@ -27,3 +27,16 @@ def test_first_written_goes_by_place_in_the_files(spark, tmp_path):
         next((tmp_path / name).glob("part-*")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     got = table_queries.snk18_first_written(spark, str(tmp_path)).collect()
     assert {(r["l_orderkey"], r["l_partkey"]) for r in got} == {(k, 1) for k in range(500)}
+
+
+def test_landed_texts_are_dropped_after_the_shuffle(spark):
+    """No task holds the texts that it reads: every aggregate of a landing stands above the exchange by hash."""
+    lines = spark.range(50).select(F.to_json(F.struct(F.lit("ah").alias("store"), (F.col("id") % 20).alias("external_id"))).alias("value"))
+    rows = silver.bronze(lines, F.timestamp_seconds(F.lit(0)))
+    plan = plan_of(rows)
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange hashpartitioning(row_hash") :]
+    assert rows.count() == 20
+
+
+def test_few_row_groups_are_dealt_out(spark):
+    assert queries.landed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
