@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 
 def path(x: Column, dotted: str) -> Column:
     """Text at a dotted path; numbers among the parts index lists."""
@@ -27,7 +29,7 @@ def strictly_parsed(x: Column) -> Column:
     inside a list as well as inside an object, nothing but blanks can follow it. An object that names a key twice is null."""
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")
     held = F.try_parse_json(F.concat(F.lit('{"x":'), x, F.lit("}")))
-    return F.when((F.size(listed) == 1) & held.isNotNull(), F.get(listed, 0))
+    return once(lambda listed, held: F.when((F.size(listed) == 1) & held.isNotNull(), F.get(listed, 0)), listed, held)
 
 
 def canonical(x: Column) -> Column:

@@ -30,7 +30,7 @@ PERIOD = 3 * len(FAULTS)
 def _recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): a recipe for each order, its lines the ingredients."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("long").alias("q")))).alias("lines")
+        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("long").alias("q")))).alias("lines")
     )
     items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('{"rawText":"'), x["p"], F.lit('","ingredientName":"'), x["p"], F.lit('","quantity":'), x["q"], F.lit("}"))), ",")
     head = F.concat(F.lit('{"title":"'), F.col("id"), F.lit('","description":null,"prepTimeMinutes":0,"servings":4,"sourcePlatform":"blog","sourceUrl":"https://example.org/'), F.col("id"))
@@ -60,7 +60,7 @@ def jsn12_rejected_recipes(spark, sf_dir):
     FROM lineitem WHERE l_orderkey % {PERIOD} NOT BETWEEN 1 AND {len(FAULTS)}
 """)
 def jsn12_ingredients_of_recipes(spark, sf_dir):
-    """Ingredients of the recipes that pass, what they leave out filled with the default."""
+    """Ingredients of the recipes that pass, what they leave out filled with the default. Each has one at least; an outer generator is not preceded by a filter that makes the list again."""
     valid = recipe_checks.with_defaults(recipe_checks.judged_recipes(_recipe_texts(spark, sf_dir), "text")[0])
-    items = valid.select(F.col("id").alias("recipe_id"), F.posexplode("ingredients").alias("n", "i"))
+    items = valid.select(F.col("id").alias("recipe_id"), F.posexplode_outer("ingredients").alias("n", "i"))
     return items.select("recipe_id", (F.col("n") + 1).alias("place"), F.col("i.ingredientName").alias("ingredient_name"), "i.quantity", F.col("i.quantitySource").alias("quantity_source"), "i.optional")

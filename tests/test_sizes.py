@@ -1,6 +1,6 @@
 """What must not grow with the input: what is broadcast, what one task holds, how often a row is read."""
 
-from kassabon.plans import queries, silver, table_queries
+from kassabon.plans import queries, recipe_queries, silver, table_queries
 from kassabon.sources import sinks
 from pyspark.sql import functions as F
 
@@ -40,3 +40,9 @@ def test_landed_texts_are_dropped_after_the_shuffle(spark):
 
 def test_few_row_groups_are_dealt_out(spark):
     assert queries.landed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_a_recipe_is_judged_once(spark):
+    """Neither filter nor generator makes the parse and the rules of a recipe again."""
+    plan = recipe_queries.jsn12_ingredients_of_recipes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2  # the text in a list, and in an object
