@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kassabon.functions.text import once
+
 # What a decision may say, and the flags that it must set.
 DECISIONS = ("approve", "reject", "needs_review")
 FLAGS = ("diet_or_quality_variant_mixed", "package_mismatch", "brand_or_private_label_mismatch", "insufficient_information")
@@ -58,9 +60,8 @@ def remap_answers(lines: DataFrame, requests: DataFrame) -> DataFrame:
     return items.filter("coarse_key <> ''")
 
 
-def judged_decisions(rows: DataFrame, text: str, kind: str = "candidate_kind") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) decisions of a model (JSON in ``text``) on candidates of a ``kind``; the rejected with ``reasons``, a word for each rule that they break. Every row is in one of both."""
-    said = F.try_parse_json(text)
+def _broken(said: Column, kind: Column) -> Column:
+    """The rules that a decision (a variant) on a candidate of a kind breaks."""
     kind_of = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(said, path, "variant")), F.lit("VOID"))
     value = lambda path: F.coalesce(F.try_variant_get(said, path, "string"), F.lit(""))
     number = kind_of("$.confidence").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$") & F.coalesce(F.try_variant_get(said, "$.confidence", "double").between(0, 1), F.lit(False))
@@ -68,13 +69,22 @@ def judged_decisions(rows: DataFrame, text: str, kind: str = "candidate_kind") -
     rules = {
         "not_an_object": F.coalesce(F.schema_of_variant(said).startswith("OBJECT"), F.lit(False)),
         "decision": value("$.decision").isin(*DECISIONS),
-        "group_kind": (kind_of("$.group_kind") == "STRING") & value("$.group_kind").eqNullSafe(F.col(kind)),
+        "group_kind": (kind_of("$.group_kind") == "STRING") & value("$.group_kind").eqNullSafe(kind),
         "confidence": number,
         "canonical_name": spoken("$.canonical_name"),
         "reason": spoken("$.reason"),
         "safety_flags": kind_of("$.safety_flags").startswith("OBJECT"),
         **{f"safety_flags.{f}": kind_of(f"$.safety_flags.{f}") == "BOOLEAN" for f in FLAGS},
     }
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
-    judged = rows.withColumn("reasons", broken)
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
+
+
+def with_decision_reasons(rows: DataFrame, text: str, kind: str = "candidate_kind") -> DataFrame:
+    """Every decision of a model (JSON in ``text``) on a candidate of a ``kind`` with ``reasons``, a word for each rule that it breaks: parsed and judged once."""
+    return rows.withColumn("reasons", once(_broken, F.try_parse_json(text), F.col(kind)))
+
+
+def judged_decisions(rows: DataFrame, text: str, kind: str = "candidate_kind") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) decisions, the rejected with their ``reasons``. Every row is in one of both; each reads all rows, so take ``with_decision_reasons`` where both are wanted."""
+    judged = with_decision_reasons(rows, text, kind)
     return judged.filter(F.size("reasons") == 0).drop("reasons"), judged.filter(F.size("reasons") > 0)

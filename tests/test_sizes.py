@@ -1,7 +1,8 @@
 """What must not grow with the input: what is broadcast, what one task holds, how often a row is read."""
 
-from kassabon.plans import queries, recipe_queries, silver, table_queries
+from kassabon.plans import answer_queries, queries, recipe_queries, silver, table_queries
 from kassabon.sources import sinks
+from kassabon.sources.ordered_table import OrderedTable
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,20 @@ def test_a_recipe_is_judged_once(spark):
     """Neither filter nor generator makes the parse and the rules of a recipe again."""
     plan = recipe_queries.jsn12_ingredients_of_recipes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 2  # the text in a list, and in an object
+
+
+def test_decisions_are_judged_in_one_pass(spark):
+    plan = answer_queries.jsn12_decisions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("Relation") == 1
+
+
+def test_all_pages_in_one_pass(spark, tmp_path):
+    """The same pages as from one to the next, by one read of the table instead of a job or more for each page."""
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k"), F.col("id").cast("string").alias("name"))
+    ordered = OrderedTable(spark, str(tmp_path / "t"), rows.schema, ["k"])
+    ordered.write(rows.repartition(3), 90)
+    want = {r["k"]: i for i, page in enumerate(ordered.pages(70)) for r in page}
+    got = ordered.paged(70)
+    assert {r["k"]: r["page"] for r in got.collect()} == want and got.count() == 1000
+    plan = table_queries.src5_pages_in_order(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # the table and its index, for four pages
