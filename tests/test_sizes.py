@@ -1,6 +1,8 @@
 """What must not grow with the input: what is broadcast, what one task holds, how often a row is read."""
 
-from kassabon.plans import answer_queries, queries, recipe_queries, silver, table_queries
+import re
+
+from kassabon.plans import answer_queries, queries, recipe_queries, search, silver, table_queries
 from kassabon.sources import sinks
 from kassabon.sources.ordered_table import OrderedTable
 from pyspark.sql import functions as F
@@ -64,3 +66,13 @@ def test_all_pages_in_one_pass(spark, tmp_path):
     assert {r["k"]: r["page"] for r in got.collect()} == want and got.count() == 1000
     plan = table_queries.src5_pages_in_order(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2  # the table and its index, for four pages
+
+
+def test_names_meet_searches_with_few_products(spark):
+    """Of many products of a name only those that can be candidates are joined with searches, and the best are the same."""
+    name = F.element_at(F.array(F.lit("red bolt"), F.lit("blue gear")), (F.col("id") % 2 + 1).cast("int"))
+    products = spark.range(2000).select(F.format_string("%05d", "id").alias("id"), F.lit("ah").alias("store_id"), name.alias("name"), name.alias("name_search"), (F.col("id") % 7).alias("current_price_cents"), F.lit(True).alias("is_available"))
+    asked = spark.createDataFrame([(1, "red bolt")], "query_id int, query_text string")
+    found = search.search_many(products, asked, 5)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [f"{i:05d}" for i in range(0, 70, 14)]
+    assert re.search(r"WindowGroupLimit \[name_search#\d+\].*160", plan_of(found))
