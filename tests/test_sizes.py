@@ -2,6 +2,7 @@
 
 import re
 
+from kassabon.functions import product_pages
 from kassabon.plans import answer_queries, queries, recipe_queries, search, silver, table_queries
 from kassabon.sources import sinks
 from kassabon.sources.ordered_table import OrderedTable
@@ -76,3 +77,10 @@ def test_names_meet_searches_with_few_products(spark):
     found = search.search_many(products, asked, 5)
     assert [r["id"] for r in found.orderBy("rank").collect()] == [f"{i:05d}" for i in range(0, 70, 14)]
     assert re.search(r"WindowGroupLimit \[name_search#\d+\].*160", plan_of(found))
+
+
+def test_envelopes_take_one_row_of_a_page(spark):
+    """Of a page's parts only the record is made: no filter throws the others away."""
+    pages = spark.createDataFrame([("<html><h1>Soep</h1></html>", "https://www.spar.nl/soep-5/"), (None, "x")], "html string, url string")
+    lines = product_pages.page_envelopes(pages, F.timestamp_seconds(F.lit(0)))
+    assert lines.count() == 1 and "page_record" in plan_of(lines) and "kind" not in plan_of(lines).split("page_record")[0]
