@@ -3,7 +3,7 @@
 import re
 
 from kassabon.functions import product_pages
-from kassabon.plans import answer_queries, queries, recipe_queries, search, silver, table_queries
+from kassabon.plans import answer_queries, queries, recipe_queries, recipes, search, silver, table_queries
 from kassabon.sources import sinks
 from kassabon.sources.ordered_table import OrderedTable
 from pyspark.sql import functions as F
@@ -84,3 +84,20 @@ def test_envelopes_take_one_row_of_a_page(spark):
     pages = spark.createDataFrame([("<html><h1>Soep</h1></html>", "https://www.spar.nl/soep-5/"), (None, "x")], "html string, url string")
     lines = product_pages.page_envelopes(pages, F.timestamp_seconds(F.lit(0)))
     assert lines.count() == 1 and "page_record" in plan_of(lines) and "kind" not in plan_of(lines).split("page_record")[0]
+
+
+def test_new_items_are_made_once_and_not_dealt_by_text(spark, monkeypatch):
+    """Lists aren't read again for the texts that are searched, and few texts are broadcast; items without a list or an ingredient hold none off."""
+    name = F.element_at(F.array(F.lit("red bolt"), F.lit("blue gear")), (F.col("id") % 2 + 1).cast("int"))
+    products = spark.range(20).select(F.format_string("%02d", "id").alias("id"), F.lit("ah").alias("store_id"), name.alias("name"), name.alias("name_search"), F.col("id").cast("int").alias("current_price_cents"), F.lit(True).alias("is_available"))
+    had = [(1, "a", "red bolt", None, 0, True), (1, None, "eggs", None, 1, False), (1, "c", "eggs", None, 2, False), (2, "b", "red bolt", None, 0, False), (None, "z", "eggs", None, 0, False)]
+    items = spark.createDataFrame(had, "list_id long, recipe_ingredient_id string, ingredient_name string, selected_product_id string, sort_order int, checked boolean")
+    asked = [(1, "a", "red bolt"), (1, "b", "red bolt"), (1, "b", "red bolt"), (1, None, "blue gear"), (1, None, "blue gear"), (3, "a", "xylophone"), (3, "b", None), (None, "z", "blue gear")]
+    wanted = spark.createDataFrame(asked, "list_id long, recipe_ingredient_id string, ingredient_name string")
+    new = [(1, "b", "red bolt", "00", 3, False), (1, None, "blue gear", "01", 4, False), (3, "a", "xylophone", None, 0, False), (3, "b", None, None, 1, False), (None, "z", "blue gear", "01", 0, False)]
+    got = recipes.add_to_lists(items, wanted, products)
+    plan = plan_of(got)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(had + new, key=str)
+    assert "hashpartitioning(query_text" not in plan and plan.count("Scan ExistingRDD[list_id") == 1
+    monkeypatch.setattr(recipes, "BROADCAST_TEXTS", 0)
+    assert sorted(map(tuple, recipes.add_to_lists(items, wanted, products).collect()), key=str) == sorted(had + new, key=str)
