@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: each stage takes what the one before kept.
 
 Stages are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Those that end in Python are written by
+themselves, in small batches: whole rows wait in the executor for what Python says of a batch.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     name = free_name(docs, "told")
     told = language.identify(docs, docs.select("doc_id", "lang", "text"), out=name)
-    return told.filter(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns)
+    return stored(told.filter(F.col(name)["lang"] != language.UNKNOWN).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     done = pii.redacted(docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return stored(done.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text."""
     coded = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
-    return stored(coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids"))  # in small batches
+    return stored(coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids"))
 
 
 STAGES = [
@@ -55,14 +56,17 @@ STAGES = [
     ("SentencePiece", encode_pieces),
 ]
 
+#: Stages that return what they have stored.
+WRITTEN = {identify_language, redact_personal_data, encode_pieces}
+
 #: The stages learn models and draw pseudorandom samples, which SQL doesn't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+        if stage not in WRITTEN:
             docs = stored(docs)
     return docs

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, ship, spans
+from .common import cut, release, ship, spans, trim
 
 #: Labelled rows looked at for a language, and characters of them that its automaton holds: whole rows, but for the last.
 SAMPLE_ROWS = 256
@@ -248,6 +248,7 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", out: str
                 langs += lang
                 scores += score
             yield pd.DataFrame({"lang": langs, "score": scores})
+        trim()
 
     return docs.withColumn(out, told(F.col(text)))
 

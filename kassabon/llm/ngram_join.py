@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, keyed, release, ship, small, spans, stored, unique_ids
+from .common import cut, free_name, keyed, release, ship, small, spans, stored, trim, unique_ids
 from .graph import components
 
 SHINGLE = 5
@@ -155,6 +155,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
         sig = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "sig_a": pa.array(sig[:, 0]), "sig_b": pa.array(sig[:, 1])})
+    trim()
 
 
 # ---------------------------------------------------------------- packed shingles
@@ -223,6 +224,8 @@ def _dealt(parts: int):
                 size += len(h)
         if keys:
             yield rows(keys, sets)
+        del keys, sets
+        trim()
 
     return emit
 
@@ -333,6 +336,7 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = len(mine & other)
             yes.append(100 * both >= LEAST * (len(mine) + len(other) - both))
         yield batch.loc[yes, ["a", "b"]]
+    trim()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:

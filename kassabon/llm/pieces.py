@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship, spans
+from .common import only, ship, spans, trim
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -220,6 +220,7 @@ def encoded(docs: DataFrame, path: str = MODEL, text: str = "text", out: str = "
             made = list(vocab.encode_all(["" if t is None else t for t in part.to_pylist()]))
             ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *made])), mask=part.is_null() if part.null_count else None)
+        trim()
 
     return docs.withColumn(out, ids(F.col(text)))
 

@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship, spans
+from .common import release, ship, spans, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows: a core of so many characters, with a margin on either side.
 CORE, MARGIN = 64, 24
 WINDOW = CORE + 2 * MARGIN
-#: Windows that are read, stretches that are decoded, and characters of text that are looked at, at a time.
-BATCH, IN_STEP, AT_ONCE = 2048, 256, 1 << 20
+#: Windows that are read, stretches that are decoded and characters that these are padded to, and characters of text that are looked at, at a time.
+BATCH, IN_STEP, PADDED, AT_ONCE = 2048, 256, 1 << 18, 1 << 20
 HIDDEN, EMBED = 16, 12
 STEPS, LEARNED_AT_ONCE, SEED = 260, 48, 5
 
@@ -143,8 +143,10 @@ class Tagger:
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(stretches)
         trans = self.w["trans"]
         order = sorted((i for i, e in enumerate(stretches) if len(e)), key=lambda i: -len(stretches[i]))
-        for at in range(0, len(order), IN_STEP):
-            own = order[at : at + IN_STEP]
+        at = 0
+        while at < len(order):
+            own = order[at : at + max(1, min(IN_STEP, PADDED // len(stretches[order[at]])))]
+            at += len(own)
             sizes = np.array([len(stretches[i]) for i in own])
             length = int(sizes[0])
             live = [int(np.searchsorted(-sizes, -t)) for t in range(length)]  # longer than t
@@ -376,6 +378,7 @@ def reported(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 sha = hashlib.sha256(joined(own).encode()).hexdigest()
                 rows.append((*(len(base[k]) for k in KINDS), sha, joined(own + added), len(added)))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+        trim()
 
     return docs.select("doc_id", report(F.col("text")).alias("x")).select("doc_id", "x.*")
 
@@ -400,5 +403,6 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None, text: str = "text")
                     last = max(last, b)
                 out.append("".join(pieces) + whole[last:] if pieces else whole)
             yield pd.Series(out, dtype=object).where(part.notna().to_numpy(), None)
+        trim()
 
     return docs.withColumn(text, redact(F.col(text)))

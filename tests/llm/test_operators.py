@@ -4,8 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -185,6 +189,33 @@ def test_best_path():
         assert tuple(got) == (paths[int(np.argmax(worth))] if len(e) else ())
 
 
+def test_a_long_stretch_does_not_pad_short_ones():
+    tagger, rng = pii.default_tagger(), np.random.default_rng(3)
+    stretches = [rng.standard_normal((n, pii.Tagger.LABELS)).astype(np.float32) for n in (60_000, *[5] * 255, *[900] * 300, 0)]
+    tracemalloc.start()
+    got = tagger.decode(stretches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for path, e in zip(got, stretches, strict=True):
+        assert (path == tagger.decode([e])[0]).all()
+
+
+def test_freed_memory_goes_back():
+    code = """
+import numpy as np
+from kassabon.llm.common import release
+def own():
+    return int(open("/proc/self/statm").read().split()[1]) - int(open("/proc/self/statm").read().split()[2])
+before, held = own(), [np.ones(8000) for _ in range(2000)]
+held = held[-1]
+assert own() - before > 20_000
+release()
+assert own() - before < 5_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
+
+
 def test_tagger_adds_spans():
     """On planted forms: spans that the patterns miss are added wherever windows meet, few others are."""
     held, tagger = random.Random(77), pii.default_tagger()

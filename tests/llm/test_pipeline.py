@@ -1,7 +1,7 @@
 import __spark_entry__
 import corpus_pipeline
 import pytest
-from kassabon.llm import queries
+from kassabon.llm import common, queries
 from kassabon.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,12 @@ def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
+
+
+def test_python_meets_small_batches_only(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    before = {k: spark.conf.get(k) for k in common.ARROW}
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert "EvalPython" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert docs.count() > 0 and before == {k: spark.conf.get(k) for k in common.ARROW}
